@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinseg.llm import exact
+from kinseg.llm import exact, simhash
 from kinseg.llm.shared import table
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -25,7 +30,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracles():
