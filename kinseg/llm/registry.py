@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as vocabulary
 
-from kinseg.llm import exact, simhash
+from kinseg.llm import counts, exact, simhash
 from kinseg.llm.shared import table
 
 
@@ -19,6 +20,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -30,7 +35,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracles():
