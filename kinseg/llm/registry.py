@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from kinseg.llm import counts, exact, packing, simhash
+from kinseg.llm import counts, exact, fertility, packing, simhash
 from kinseg.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -39,7 +43,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracles():
