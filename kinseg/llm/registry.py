@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from kinseg.llm import counts, exact, fertility, packing, simhash, toxicity
+from kinseg.llm import brown, counts, exact, fertility, packing, simhash, toxicity
 from kinseg.llm.shared import table
 
 
@@ -23,6 +23,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracles():

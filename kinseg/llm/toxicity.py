@@ -55,6 +55,8 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
     moves vectors, w and bias together, both labels weighing the same. As all is
     linear after the averages, scoring needs only gain = vector . w of each subword.
     """
+    if len(set(labels)) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
     rng = np.random.default_rng(SEED)
     ids: dict[str, int] = {}
     word_of, window_of, sizes, text_of = array("i"), array("i"), array("i"), array("i")
@@ -68,6 +70,8 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
             text_of.append(k)
     word_of, window_of, text_of = (np.frombuffer(a, np.int32) if len(a) else np.zeros(0, np.int32) for a in (word_of, window_of, text_of))
     sizes, y, n_words, n_windows, n_texts = np.frombuffer(sizes, np.int32).astype(np.float32)[:, None], np.array(labels, np.float32), len(ids), len(sizes), len(texts)
+    if not n_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
     flat, lengths = array("i"), np.zeros(n_words, np.float32)
     for word, i in ids.items():
         own = subwords(word)
