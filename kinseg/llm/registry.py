@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from kinseg.llm import brown, counts, exact, fertility, packing, simhash, toxicity
+from kinseg.llm import brown, chat, counts, exact, fertility, packing, pages, simhash, toxicity
 from kinseg.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -23,6 +27,31 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.digests(chat.render(chat.fold(chat.as_events(rows.unionByName(tricky)))))
+
+
+OP5_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\b'), '<|', '\l'), '|>', '\r'),
+    '<s>', '\s'), '</s>', '\e'), '[INST]', '\i'), '[/INST]', '\j'), '<<SYS>>', '\y'), '<</SYS>>', '\z') AS escaped
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 1 + length(escaped) + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(table(spark, sf_dir, "documents"))
 
@@ -51,8 +80,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op2_main_text": op2_main_text, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracles():
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL}
