@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
@@ -80,7 +81,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op2_main_text": op2_main_text, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"pipeline": corpus_pipeline.run, "op1_simhash_dedup": op1_simhash_dedup, "op2_main_text": op2_main_text, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracles():

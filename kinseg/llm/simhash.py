@@ -7,12 +7,14 @@ distinct 8-byte fingerprints.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinseg.llm.components import components
@@ -23,28 +25,74 @@ SEED = 42
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles are hashed so many at a time, so that a very long text needs no more memory.
 BLOCK = 50_000
+#: Sampled segments, for links by similarity: their number, and the shingles in each.
+SEGMENTS, SAMPLED, NOTHING = 20, 5, np.uint64(2**64 - 1)
+#: All pairs of a sampled segment's texts are compared up to so many; in larger groups each with the smallest and the next.
+SMALL = 24
+#: Fingerprints of candidates are sent to every executor up to so many, joined by a shuffle beyond.
+BROADCAST_KEYS = 400_000
 #: Segment values shared by more fingerprints than this are matched by midpoints instead.
 CROWD = 16
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Signed 64-bit SimHash of a text's word shingles, repeats counted.
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, repeats included, in blocks of bounded size.
 
     Words are runs of anything but space and \\t..\\r, A-Z lowered. Fewer words
-    than a shingle takes: one shingle of them all; none: 0.
+    than a shingle takes: one shingle of them all; none: no block.
     """
     found = text.encode().translate(FOLD).split()
     if not found:
-        return 0
+        return
     if len(found) < words:
         shingles, total = iter([b" ".join(found)]), 1
     else:
         shingles, total = map(b" ".join, zip(*(found[i:] for i in range(words)))), len(found) - words + 1
-    hashes, ones = map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.zeros(BITS, np.int64)
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
     for start in range(0, total, BLOCK):
-        block = np.fromiter(hashes, dtype="<u8", count=min(BLOCK, total - start))
-        ones += np.unpackbits(block.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
+        yield np.fromiter(hashes, dtype="<u8", count=min(BLOCK, total - start))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes along the last axis set each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8), axis=-1, bitorder="little").reshape(*hashes.shape, BITS).sum(axis=-2, dtype=np.int64)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1, bitorder="little").view("<i8")[..., 0]
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """Signed 64-bit SimHash of a text's word shingles, repeats counted; without words 0."""
+    ones, total = np.zeros(BITS, np.int64), 0
+    for block in shingle_hashes(text, words):
+        ones += _majority(block)
+        total += len(block)
+    return int(_packed(ones * 2 > total))
+
+
+def sketch(text: str, words: int) -> tuple[int, list[int | None]]:
+    """fingerprint() and SEGMENTS more SimHashes, each of SAMPLED shingles that texts alike sample alike.
+
+    The shingles are dealt into SEGMENTS * SAMPLED bins by hash and the smallest
+    of each bin is taken, so a segment of two texts of similarity s agrees with a
+    probability of about s to the power SAMPLED. A segment without shingles is None.
+    """
+    ones, total = np.zeros(BITS, np.int64), 0
+    least = np.full(SEGMENTS * SAMPLED, NOTHING, np.uint64)
+    for block in shingle_hashes(text, words):
+        ones += _majority(block)
+        total += len(block)
+        np.minimum.at(least, (block % np.uint64(len(least))).astype(np.int64), block)
+    own = _packed(_majority(least.reshape(SEGMENTS, SAMPLED)) * 2 > SAMPLED)
+    empty = (least.reshape(SEGMENTS, SAMPLED) == NOTHING).all(axis=1)
+    return int(_packed(ones * 2 > total)), [None if e else v for v, e in zip(own.tolist(), empty)]
+
+
+def similarity(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
+    one, two = (set(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)]).tolist()) for t in (a, b))
+    return len(one & two) / len(one | two) if one or two else 1.0
 
 
 def fingerprint_column(text: Column, words: int = 3) -> Column:
@@ -129,23 +177,76 @@ def near_groups(docs: DataFrame, words: int = 3, max_distance: int = 2, segments
     return rows.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, words: int = 3, max_distance: int = 2, segments: int = 2, crowd: int = CROWD) -> DataFrame:
-    """docs with one row of each group of linked fingerprints, all columns as they came.
+def sketch_column(text: Column, words: int) -> Column:
+    @F.arrow_udf("struct<fp:bigint,segments:array<bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [sketch(x.as_py() or "", words) for x in texts]
+        fps, segments = zip(*found) if found else ((), ())
+        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], names=["fp", "segments"])
+
+    return of(text)
 
+
+def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): pairs of fingerprints in texts(fp, segments, text), one row each, whose texts are at least that similar.
+
+    Candidates are the pairs of near(a, b) and texts that share the value of a
+    sampled segment. The pair's whole texts decide. Large groups are compared with their smallest
+    fingerprint and each with its next, so candidates grow with the rows, not their pairs.
+    """
+    keyed = texts.select("fp", F.posexplode("segments").alias("i", "value")).filter("value is not null").select("fp", F.xxhash64("i", "value").alias("key"))
+    keyed = written(keyed, "segments")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
+    keyed = written(keyed.join(groups, "key"), "shared-segments")
+    star = keyed.filter(F.col("n") > SMALL).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    small = keyed.filter(F.col("n") <= SMALL).select("key", "fp")
+    pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").select("a", "b")
+    # The next of a large group: neighbours in the order of fingerprints among texts that share a group's smallest.
+    order = Window.partitionBy("a", F.pmod(F.xxhash64("a", F.shiftright("b", 56)), F.lit(64))).orderBy("b")
+    chain = star.distinct().select(F.lag("b").over(order).alias("a"), "b").filter("a is not null")
+    pairs = written(star.unionByName(pairs).unionByName(chain).unionByName(near).filter("a < b").distinct(), "candidates")
+    named = written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "candidate-texts")
+    if named.count() <= BROADCAST_KEYS:
+        named = F.broadcast(named)
+    wanted = written(texts.select("fp", "text").join(named, "fp"), "candidate-texts")
+
+    @F.arrow_udf("double")
+    def of(ones: pa.Array, twos: pa.Array) -> pa.Array:
+        return pa.array([similarity(a.as_py(), b.as_py(), words) for a, b in zip(ones, twos)], pa.float64())
+
+    both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
+    return both.select("a", "b", of("text_a", "text_b").alias("s")).filter(F.col("s") >= least).select("a", "b")
+
+
+def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance: int = 2, segments: int = 2, crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each group of near copies, all columns as they came.
+
+    Texts are linked whose fingerprints are equal, or whose sets of word shingles
+    have a Jaccard similarity of at least `least`. Candidates are fingerprints
+    within max_distance bits; but near that similarity they differ in some ten
+    bits, more than segment balls can reach at scale, so sampled segments give candidates as well.
     The row with the smallest doc_id of a group stays (a null id after all
-    others; of rows that tie, one). Fingerprints are computed once; the decision is made on
-    slim rows, and texts move only for groups of several rows.
+    others; of rows that tie, one). Null and empty texts are one group; empty in, empty out. Texts are
+    sketched once; decisions are made on slim rows, and texts move only for candidates and groups of several rows.
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     key, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
-    marked = written(plain.withColumn("fp", fingerprint_column(whole(text), words)), "marked")
-    prints = written(marked.groupBy("fp").agg(F.count("*").alias("n")), "prints")
-    roots = components(links(prints.select("fp"), max_distance, segments, crowd))
+    marked = plain.withColumn("sketch", sketch_column(whole(text), words)).withColumn("row", F.monotonically_increasing_id())
+    marked = written(marked.select(*plain.columns, "row", "sketch.fp", "sketch.segments"), "marked")
+    prints = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("row")), "prints")
+    repeated = prints.filter("n > 1").select("fp", F.col("row").alias("first_row"))
+    if repeated.count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    one_each = marked.join(repeated, "fp", "left").filter("first_row is null or first_row = row")
+    near = links(prints.select("fp"), max_distance, segments, crowd)
+    roots = components(similar(one_each.select("fp", "segments", whole(text).alias("text")), near, words, least))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
     several = named.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
     shared = written(named.join(several, "root", "left_semi").select("fp", "root"), "shared")
+    if shared.count() <= BROADCAST_KEYS:
+        shared = F.broadcast(shared)
     single = marked.join(shared.select("fp"), "fp", "left_anti").select(*plain.columns)
     best = (
         marked.join(shared, "fp")
