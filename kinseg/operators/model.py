@@ -117,15 +117,15 @@ def emission_scores(depth: DataFrame, models: DataFrame) -> DataFrame:
     joined = depth.join(F.broadcast(models), ["sample_idx", "gc"], "left").join(lf)
     rd, mu = F.col("rd"), F.exp(F.col("coef1") + F.col("coef2") * F.col("mappability"))
 
-    def copies(state: int) -> Column:
-        k = 0.1 if state == 0 else 0.5 * state
+    def copies(k: Column, state: Column) -> Column:
         size = F.least(F.col("theta") * k, F.lit(float(MAX_SIZE)))
         p, r = size / (size + mu * k), F.ceil(size).cast("int")
         choose = F.get("lf", rd + r - 1) - F.get("lf", rd) - F.get("lf", r - 1)
         score = choose + r * F.log(p) + rd * F.log1p(-p)
         bound = F.when(score.isNull() | F.isnan(score) | (score < -1e300), FLOOR).otherwise(score)
-        edge = lambda own: F.lit(NEAR_ONE if own else FLOOR)
-        found = F.when(rd == 0, edge(state == 0)).when(rd > MAX_DEPTH, edge(state == 4)).otherwise(bound)
+        edge = lambda own: F.when(state == own, NEAR_ONE).otherwise(FLOOR)
+        found = F.when(rd == 0, edge(0)).when(rd > MAX_DEPTH, edge(4)).otherwise(bound)
         return F.when(F.coalesce("theta", F.lit(0.0)) == 0, 0.0).otherwise(found)
 
-    return joined.select(*depth.columns, F.array(*map(copies, range(5))).alias("scores"))
+    shares = F.array(*(F.lit(k) for k in (0.1, 0.5, 1.0, 1.5, 2.0)))
+    return joined.select(*depth.columns, F.transform(shares, copies).alias("scores"))

@@ -4,7 +4,339 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinseg.functions import alignments as al
+from kinseg.functions import tensors
+from kinseg.operators import depth, model, pairs, refine, relops, segment
+from kinseg.plans import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DIGITS = 6
+APART = pairs.reach(ad.MEDIAN, ad.MAD)
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(f'WITH {ad.WINDOWS} SELECT chrom, bin, start, "end", rd0, rd1, rd2 FROM windows')
+def depth_windows(spark, sf_dir):
+    return depth.depth_windows(ad.reads(spark, sf_dir), ad.HOUR, 1, contigs=None)
+
+
+@query(f'WITH {ad.WINDOWS} SELECT chrom, start, "end", gc, mappability FROM windows WHERE gc BETWEEN 30 AND 70 AND mappability >= 0.5')
+def depth_filtered(spark, sf_dir):
+    return depth.usable(ad.windows(spark, sf_dir), 0.5).select("chrom", "start", "end", "gc", "mappability")
+
+
+@query(f"""WITH {ad.WINDOWS}, bad AS (SELECT 'click' AS chrom, o_custkey * 1000 AS start, o_custkey * 1000 + 500 AS "end" FROM orders)
+SELECT chrom, start FROM windows w WHERE gc BETWEEN 30 AND 70 AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.chrom = w.chrom AND w.start BETWEEN b.start AND b."end")""")
+def excluded_windows(spark, sf_dir):
+    o = ad.load(spark, sf_dir, "orders")
+    bad = o.select(F.lit("click").alias("chrom"), (F.col("o_custkey") * 1000).alias("start"), (F.col("o_custkey") * 1000 + 500).alias("end"))
+    return depth.usable(ad.windows(spark, sf_dir), 0.0, bad).select("chrom", "start")
+
+
+@query(r"""WITH c AS (SELECT p_partkey, upper(p_name) AS b FROM part)
+SELECT p_partkey, CASE WHEN length(b) - length(replace(b, 'N', '')) >= 10 THEN -1 ELSE (100 * (2 * length(b) - length(replace(b, 'G', '')) - length(replace(b, 'C', ''))) // length(b))::INT END AS gc FROM c""")
+def gc_percent(spark, sf_dir):
+    return ad.load(spark, sf_dir, "part").select("p_partkey", depth.gc_percent(F.upper("p_name")).alias("gc"))
+
+
+@query(r"""WITH bases AS (SELECT string_agg(upper(p_name), '' ORDER BY p_partkey) AS b FROM part), w AS (SELECT unnest(generate_series(0, (length(b) - 2) // 150)) AS bin, b FROM bases),
+s AS (SELECT bin, substr(b, (bin * 150 + 2)::INT, 150) AS x FROM w)
+SELECT 'c' AS chrom, bin, CASE WHEN length(x) - length(replace(x, 'N', '')) >= 10 THEN -1 ELSE (100 * (2 * length(x) - length(replace(x, 'G', '')) - length(replace(x, 'C', ''))) // length(x))::INT END AS gc FROM s WHERE length(x) > 0""")
+def gc_windows(spark, sf_dir):
+    """The names of all parts, end to end, as one contig in uneven chunks."""
+    p = ad.load(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("bases"))
+
+    before = F.coalesce(F.sum(F.length("bases")).over(Window.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return depth.gc_windows(p.select(F.lit("c").alias("chrom"), (before + 1).cast("int").alias("chunk_start"), "bases"), 150)
+
+
+@query(f"""WITH {ad.SIGNAL}, b AS (SELECT chrom, unnest(generate_series(start0 // 250, (end0 - 1) // 250)) AS bin, start0, end0, value FROM signal),
+m AS (SELECT chrom, bin, sum(value * (least(end0, (bin + 1) * 250) - greatest(start0, bin * 250))) / 250 AS m FROM b GROUP BY ALL)
+SELECT chrom, bin, round(CASE WHEN bin < max(bin) OVER (PARTITION BY chrom) THEN m ELSE 0 END, {DIGITS}) AS mappability FROM m""")
+def bin_mean_signal(spark, sf_dir):
+    return depth.bin_mean_signal(ad.signal(spark, sf_dir), 250).withColumn("mappability", F.round("mappability", DIGITS))
+
+
+@query(f"""WITH {ad.SIGNAL}, {ad.calls_sql('c', 0)}
+SELECT call_id, round(coalesce(sum(value * (least(end0, "end") - greatest(start0, start - 1))), 0) / (any_value("end") - any_value(start) + 1), {DIGITS}) AS mappability
+FROM c LEFT JOIN signal s ON s.chrom = c.chrom AND start0 + 1 <= "end" AND start <= end0 GROUP BY call_id""")
+def interval_mean_signal(spark, sf_dir):
+    found = depth.interval_mean_signal(ad.calls(spark, sf_dir, 0), ad.signal(spark, sf_dir), 1000)
+    return found.select("call_id", F.round("mappability", DIGITS).alias("mappability"))
+
+
+@query(f"""WITH {ad.ALIGNMENTS}, x AS (SELECT sample, abs(tlen) AS x FROM alignments WHERE flag & 1 = 1 AND flag & 64 = 64 AND flag & 3084 = 0 AND facing = 'FR'),
+r AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, row_number() OVER (PARTITION BY sample ORDER BY x) - 1 AS i FROM x),
+m AS (SELECT sample, median(x) AS median FROM r WHERE i >= greatest(floor(n * 0.05) - 1, 0) AND i <= floor(n * 0.95) - 1 GROUP BY sample),
+c AS (SELECT sample, median(x) AS c FROM x GROUP BY sample)
+SELECT m.sample, m.median, (SELECT median(abs(x - c.c)) FROM x WHERE x.sample = m.sample) AS mad FROM m JOIN c USING (sample)""")
+def insert_stats(spark, sf_dir):
+    return pairs.insert_statistics(pairs.insert_sizes(ad.alignments(spark, sf_dir)))
+
+
+def _parameters(spark):
+    return spark.createDataFrame([(f"s{i}", 250.0, 10.0) for i in range(3)], "sample string, median double, mad double")
+
+
+DISCORDANT = f"""{ad.ALIGNMENTS}, found AS (SELECT *, CASE WHEN facing = 'FR' AND abs(tlen) > 250 + 10 * 9 THEN 'DELETION' WHEN facing = 'RF' THEN 'DUPLICATION' END AS sv_type
+  FROM alignments WHERE flag & 1 = 1 AND flag & 3340 = 0 AND abs(mate_start - start) <= 10000000 AND mapq <> 0)"""
+
+
+@query(f"WITH {DISCORDANT} SELECT sample, chrom, sv_type, count(*) AS n, sum(start) AS places FROM found WHERE sv_type IS NOT NULL GROUP BY ALL")
+def pair_types(spark, sf_dir):
+    found = pairs.discordant(ad.alignments(spark, sf_dir), _parameters(spark))
+    return found.groupBy("sample", "chrom", "sv_type").agg(F.count("*").alias("n"), F.sum("start").alias("places"))
+
+
+@query(f"""WITH {DISCORDANT}, n AS (SELECT *, row_number() OVER (PARTITION BY sample, chrom, sv_type, qname ORDER BY start, ord) - 1 AS i FROM found WHERE sv_type IS NOT NULL)
+SELECT sample, chrom, sv_type, min(start) AS left_first, min("end") AS right_first, max(start) AS left_second, max("end") AS right_second
+FROM n GROUP BY sample, chrom, sv_type, qname, i // 2 HAVING count(*) = 2""")
+def mate_pairs(spark, sf_dir):
+    return pairs.read_pairs(pairs.discordant(ad.alignments(spark, sf_dir), _parameters(spark)))
+
+
+@query(f"""WITH {ad.PAIRS}, {ad.REGIONS} SELECT sample_idx, chrom, left_first, right_first, left_second, right_second FROM pairs p WHERE NOT EXISTS (
+  SELECT 1 FROM regions r WHERE r.chrom = p.chrom AND ((r.start <= p.right_first AND p.left_first <= r."end") OR (r.start <= p.right_second AND p.left_second <= r."end")))""")
+def exclude_pairs(spark, sf_dir):
+    return pairs.exclude_pairs(ad.pairs(spark, sf_dir), ad.regions(spark, sf_dir), 1000).drop("sv_type")
+
+
+@query(f"""WITH {ad.WINDOWS}, d AS (SELECT 0 AS sample_idx, gc, chrom, start, rd0 AS rd FROM windows UNION ALL SELECT 1, gc, chrom, start, rd1 FROM windows UNION ALL SELECT 2, gc, chrom, start, rd2 FROM windows),
+q AS (SELECT sample_idx, gc, quantile_cont(rd, 0.05) AS lo, quantile_cont(rd, 0.95) AS hi FROM d GROUP BY ALL HAVING count(*) > 20),
+t AS (SELECT d.*, row_number() OVER (PARTITION BY sample_idx, gc ORDER BY chrom, start) AS n FROM d JOIN q USING (sample_idx, gc) WHERE rd BETWEEN lo AND hi)
+SELECT sample_idx, gc, count(*) AS n, sum(rd) AS reads FROM t WHERE n <= 50 GROUP BY ALL""")
+def gc_quantile_trim(spark, sf_dir):
+    rows = model.trimmed(model.long_depth(ad.windows(spark, sf_dir)), 0.1, 20)
+    kept = model.sampled(rows, 50, F.lit(0))
+    return kept.groupBy("sample_idx", "gc").agg(F.count("*").alias("n"), F.sum("rd").alias("reads"))
+
+
+def _models(spark):
+    """A model for every second stratum: theta, intercept and slope by rule."""
+    rows = spark.range(3).crossJoin(spark.range(30, 71, 2).withColumnRenamed("id", "g"))
+    return rows.select(F.col("id").cast("int").alias("sample_idx"), F.col("g").cast("int").alias("gc"), (F.col("g") / 4.0).alias("theta"), (F.col("id") * 0.25).alias("coef1"), F.lit(0.5).alias("coef2"))
+
+
+EMISSION = f"""WITH {ad.WINDOWS}, d AS (SELECT 0 AS sample_idx, * FROM windows UNION ALL SELECT 1, * FROM windows UNION ALL SELECT 2, * FROM windows),
+e AS (SELECT sample_idx, chrom, start, state, CASE sample_idx WHEN 0 THEN rd0 WHEN 1 THEN rd1 ELSE rd2 END AS rd, gc % 2 = 0 AS fitted,
+  exp(sample_idx * 0.25 + 0.5 * mappability) * CASE state WHEN 0 THEN 0.1 ELSE 0.5 * state END AS mu, least(gc / 4.0 * CASE state WHEN 0 THEN 0.1 ELSE 0.5 * state END, 500) AS size FROM d, (SELECT unnest([0, 1, 2, 3, 4]) AS state))
+SELECT sample_idx, chrom, start, state, round(CASE WHEN NOT fitted THEN 0 WHEN rd = 0 THEN CASE state WHEN 0 THEN -1e-100 ELSE -1000 END WHEN rd > 5000 THEN CASE state WHEN 4 THEN -1e-100 ELSE -1000 END
+  ELSE lgamma(rd + ceil(size)) - lgamma(rd + 1) - lgamma(ceil(size)) + ceil(size) * ln(size / (size + mu)) + rd * ln(1 - size / (size + mu)) END, {DIGITS}) + 0.0 AS score FROM e"""
+
+
+@query(EMISSION)
+def nb_emission(spark, sf_dir):
+    scored = model.emission_scores(model.long_depth(ad.windows(spark, sf_dir)), _models(spark))
+    rows = scored.select("sample_idx", "chrom", "start", F.posexplode("scores").alias("state", "s"))
+    return rows.select("sample_idx", "chrom", "start", "state", F.round(F.col("s") + 0.0, DIGITS).alias("score"))
+
+
+@query()
+def nb_models(spark, sf_dir):
+    return model.depth_models(ad.windows(spark, sf_dir), 0.025, 20)
+
+
+def _table(spark, array, names):
+    import numpy as np
+
+    index = np.indices(array.shape).reshape(array.ndim, -1)
+    rows = [(*map(int, i), float(v)) for i, v in zip(index.T, array.ravel())]
+    return spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", value double").withColumn("value", F.round("value", 9))
+
+
+GAMETES = f"""gamete(c, h, w) AS (VALUES (0,0,1.0::DOUBLE),(1,0,.5),(1,1,.5),(2,0,{tensors.A}/2),(2,1,1-{tensors.A}),(2,2,{tensors.A}/2),(3,0,{tensors.A}/2),(3,3,{tensors.A}/2),(3,1,(1-{tensors.A})/2),(3,2,(1-{tensors.A})/2),(4,1,.25),(4,3,.25),(4,2,.5)),
+cn AS (SELECT unnest([0,1,2,3,4]) AS c), mendel AS (SELECT f.c AS f, m.c AS m, o.c AS o, coalesce((SELECT sum(a.w * b.w) FROM gamete a, gamete b WHERE a.c = f.c AND b.c = m.c AND least(4, a.h + b.h) = o.c), 0) AS p,
+  coalesce((SELECT sum(a.w * b.w) FROM gamete a, gamete b WHERE a.c = f.c AND b.c = m.c AND least(4, a.h + b.h) = o.c AND NOT (a.c IN (2, 3) AND a.h IN (0, a.c)) AND NOT (b.c IN (2, 3) AND b.h IN (0, b.c))), 0) AS main FROM cn f, cn m, cn o)"""
+
+
+@query(f"""WITH {GAMETES}, k AS (SELECT *, sum((main = 0)::INT) OVER (PARTITION BY f, m) AS n FROM mendel)
+SELECT f, m, o, round(p * (1 - 1e-4) + CASE WHEN main = 0 THEN 1e-4 * CASE WHEN n = 3 THEN CASE WHEN p = 0 THEN .333 ELSE .3333 END ELSE 1.0 / n END ELSE 0 END, 9) AS value FROM k""")
+def inheritance_table(spark, sf_dir):
+    return _table(spark, tensors.inheritance(), "fmo")
+
+
+HAPLOTYPES = "hap(c1, c2, a1, a2, b1, b2, w) AS (VALUES " + ", ".join(f"({c1},{c2},{s[0]},{s[1]},{s[3]},{s[4]},({w.replace('b', str(tensors.B))})::DOUBLE)" for (c1, c2), splits in tensors.HAPLOTYPES.items() for s, w in splits) + "), rows AS (SELECT * FROM hap UNION ALL SELECT c2, c1, a2, a1, b2, b1, w FROM hap WHERE c1 <> c2), gam AS (SELECT c1, c2, a1 AS x, a2 AS y, w / 2 AS w FROM rows UNION ALL SELECT c1, c2, b1, b2, w / 2 FROM rows)"
+
+
+@query(f"WITH {HAPLOTYPES} SELECT f.c1 AS f1, f.c2 AS f2, m.c1 AS m1, m.c2 AS m2, least(4, f.x + m.x) AS o1, least(4, f.y + m.y) AS o2, round(sum(f.w * m.w), 9) AS value FROM gam f, gam m GROUP BY ALL")
+def haplotype_transmission(spark, sf_dir):
+    return _table(spark, tensors.transmission(), ["f1", "f2", "m1", "m2", "o1", "o2"]).filter("value > 0")
+
+
+@query(f"""WITH {GAMETES}, {HAPLOTYPES}, hand AS (SELECT f.c1 AS f1, f.c2 AS f2, m.c1 AS m1, m.c2 AS m2, least(4, f.x + m.x) AS o1, least(4, f.y + m.y) AS o2, sum(f.w * m.w) AS h FROM gam f, gam m GROUP BY ALL),
+mv AS (SELECT x.c AS a, y.c AS b, CASE WHEN x.c = y.c THEN 1 - 4e-5 ELSE 1e-5 END AS t FROM cn x, cn y),
+j AS (SELECT b.f AS f1, b.m AS m1, b.o AS o1, a.f AS f2, a.m AS m2, a.o AS o2, b.p > 0 AS ok1, a.p > 0 AS ok2 FROM mendel b, mendel a)
+SELECT f1 * 25 + m1 * 5 + o1 AS before, f2 * 25 + m2 * 5 + o2 AS after, round(ln(tf.t * tm.t * CASE WHEN ok1 AND ok2 AND coalesce(h, 0) > 0 THEN h ELSE tt.t END), 6) AS value
+FROM j LEFT JOIN hand USING (f1, f2, m1, m2, o1, o2) JOIN mv tf ON tf.a = f1 AND tf.b = f2 JOIN mv tm ON tm.a = m1 AND tm.b = m2 JOIN mv tt ON tt.a = o1 AND tt.b = o2""")
+def transition_tensor(spark, sf_dir):
+    return _table(spark, tensors.joint_transition(), ["before", "after"]).withColumn("value", F.round("value", 6))
+
+
+@query()
+def viterbi_trace(spark, sf_dir):
+    w = segment.contigs(ad.windows(spark, sf_dir), 3 * ad.HOUR, 500 * ad.HOUR)
+    return segment.decode(w, _models(spark))
+
+
+@query(f"""WITH RECURSIVE {ad.WINDOWS}, numbered AS (SELECT chrom, start, "end", row_number() OVER (PARTITION BY chrom ORDER BY start) AS n FROM windows WHERE gc < 66),
+fold AS (SELECT chrom, n, start, "end", 0::BIGINT AS contig, start AS first FROM numbered WHERE n = 1 UNION ALL
+SELECT w.chrom, w.n, w.start, w."end", CASE WHEN w."end" - f.start + 1 > 7200 OR f."end" - f.first + 1 > 36000 THEN f.contig + 1 ELSE f.contig END, CASE WHEN w."end" - f.start + 1 > 7200 OR f."end" - f.first + 1 > 36000 THEN w.start ELSE f.first END
+FROM fold f JOIN numbered w ON w.chrom = f.chrom AND w.n = f.n + 1) SELECT chrom, start, contig FROM fold""")
+def contig_split(spark, sf_dir):
+    return segment.contigs(ad.windows(spark, sf_dir).filter("gc < 66"), 2 * ad.HOUR, 10 * ad.HOUR).select("chrom", "start", "contig")
+
+
+RUNS = f"""{ad.STATES}, r AS (SELECT chrom, contig, start, "end", CASE s0 WHEN 0 THEN 1 WHEN 4 THEN 3 ELSE s0 END AS s0, CASE s1 WHEN 0 THEN 1 WHEN 4 THEN 3 ELSE s1 END AS s1, CASE s2 WHEN 0 THEN 1 WHEN 4 THEN 3 ELSE s2 END AS s2 FROM states),
+l AS (SELECT *, CASE WHEN lag("end") OVER w IS NULL OR start <> lag("end") OVER w + 1 OR s0 <> lag(s0) OVER w OR s1 <> lag(s1) OVER w OR s2 <> lag(s2) OVER w THEN 1 ELSE 0 END AS fresh FROM r WHERE NOT (s0 = 2 AND s1 = 2 AND s2 = 2) WINDOW w AS (PARTITION BY chrom, contig ORDER BY start)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom, contig ORDER BY start) AS run FROM l),
+runs AS (SELECT chrom, contig, min(start) AS start, max("end") AS "end", s0, s1, s2 FROM g GROUP BY chrom, contig, run, s0, s1, s2)"""
+CLUSTERS = f"""{RUNS}, k AS (SELECT *, CASE WHEN lag("end") OVER w IS NULL OR start - lag("end") OVER w - 1 > 10000 THEN 1 ELSE 0 END AS fresh FROM runs WINDOW w AS (PARTITION BY chrom, contig ORDER BY start)),
+clusters AS (SELECT chrom, contig, start, "end", s0, s1, s2, sum(fresh) OVER (PARTITION BY chrom, contig ORDER BY start) AS cluster FROM k)"""
+MERGED = f"""{CLUSTERS}, span AS (SELECT chrom, contig, cluster, min(start) AS start, max("end") AS "end", count(*) AS n, sum("end" - start + 1) AS covered FROM clusters GROUP BY ALL),
+votes AS (SELECT chrom, contig, cluster, "end" - start + 1 AS v, 0 AS sample, s0 AS state FROM clusters UNION ALL SELECT chrom, contig, cluster, "end" - start + 1, 1, s1 FROM clusters UNION ALL SELECT chrom, contig, cluster, "end" - start + 1, 2, s2 FROM clusters
+  UNION ALL SELECT chrom, contig, cluster, "end" - start + 1 - covered, unnest([0, 1, 2]), 2 FROM span WHERE n > 1),
+tally AS (SELECT chrom, contig, cluster, sample, state, sum(v) AS v FROM votes GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY chrom, contig, cluster, sample ORDER BY v DESC, state) AS n FROM tally),
+merged AS (SELECT chrom, contig, any_value(s.start) AS start, any_value(s."end") AS "end", max(state) FILTER (sample = 0) AS s0, max(state) FILTER (sample = 1) AS s1, max(state) FILTER (sample = 2) AS s2 FROM span s JOIN best b USING (chrom, contig, cluster) WHERE b.n = 1 GROUP BY chrom, contig, cluster)"""
+
+
+@query(f'WITH {RUNS} SELECT chrom, contig, start, "end", s0, s1, s2 FROM runs')
+def state_runs(spark, sf_dir):
+    return segment.state_runs(ad.states(spark, sf_dir))
+
+
+@query(f'WITH {CLUSTERS} SELECT chrom, contig, start, "end", s0, s1, s2, cluster FROM clusters')
+def gap_merge(spark, sf_dir):
+    return segment.gap_clusters(segment.state_runs(ad.states(spark, sf_dir)))
+
+
+@query(f'WITH {MERGED} SELECT chrom, contig, start, "end", s0, s1, s2 FROM merged')
+def majority_state(spark, sf_dir):
+    return segment.majority_states(segment.gap_clusters(segment.state_runs(ad.states(spark, sf_dir))))
+
+
+@query(f"""WITH {MERGED} SELECT chrom, start, "end", CASE WHEN s0 < 2 THEN 'DELETION' WHEN s0 = 2 THEN 'REFERENCE' ELSE 'DUPLICATION' END AS type0, CASE WHEN s1 < 2 THEN 'DELETION' WHEN s1 = 2 THEN 'REFERENCE' ELSE 'DUPLICATION' END AS type1,
+  CASE WHEN s2 < 2 THEN 'DELETION' WHEN s2 = 2 THEN 'REFERENCE' ELSE 'DUPLICATION' END AS type2, 0.0::DOUBLE AS score, 'RD' AS evidence FROM merged WHERE NOT (s0 = 2 AND s1 = 2 AND s2 = 2) ORDER BY chrom, start""")
+def call_annotate(spark, sf_dir):
+    merged = segment.majority_states(segment.gap_clusters(segment.state_runs(ad.states(spark, sf_dir))))
+    return segment.annotated(merged, None).orderBy("chrom", "start", "end")
+
+
+@query()
+def single_link(spark, sf_dir):
+    return pairs.components(ad.pairs(spark, sf_dir), APART)
+
+
+@query()
+def max_clique(spark, sf_dir):
+    return pairs.pair_calls(pairs.components(ad.pairs(spark, sf_dir), APART), APART, ad.MEDIAN, ad.MAD)
+
+
+@query(f"""WITH {ad.PAIRS}, l AS (SELECT *, CASE WHEN left_first - lag(left_first) OVER w >= {APART} OR lag(left_first) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM pairs WINDOW w AS (PARTITION BY chrom ORDER BY left_first, right_first, left_second, right_second, sample_idx)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY left_first, right_first, left_second, right_second, sample_idx) AS island FROM l)
+SELECT chrom, island, count(*) FILTER (sample_idx = 0) AS f, count(*) FILTER (sample_idx = 1) AS m, count(*) FILTER (sample_idx = 2) AS o FROM i GROUP BY chrom, island
+HAVING (o > 1 AND (f > 1 OR m > 1)) OR (o > 2 AND f < 2 AND m < 2) OR (o < 2 AND (f > 2 OR m > 2))""")
+def trio_support(spark, sf_dir):
+    cut = pairs.pair_islands(ad.pairs(spark, sf_dir), APART)
+    counts = cut.groupBy("chrom", "island").agg(*(F.count_if(F.col("sample_idx") == i).alias(c) for i, c in enumerate("fmo")))
+    return counts.filter(pairs.supported(F.col("f"), F.col("m"), F.col("o")))
+
+
+BOUNDS = f"""{ad.PAIRS}, b AS (SELECT chrom, left_first // 1000 AS place, max(right_first) AS start, min(left_second) AS "end" FROM pairs GROUP BY ALL)"""
+
+
+@query(f'WITH {BOUNDS} SELECT chrom, place, start, "end" FROM b')
+def clique_bounds(spark, sf_dir):
+    p = ad.pairs(spark, sf_dir).withColumn("place", F.floor(F.col("left_first") / 1000))
+    return p.groupBy("chrom", "place").agg(F.max("right_first").alias("start"), F.min("left_second").alias("end"))
+
+
+@query(f"""WITH {BOUNDS} SELECT chrom, place, round(sum((x - {ad.MEDIAN}) ** 2 - (x - {ad.MEDIAN} - length) ** 2) / (2.0 * {ad.MAD} * {ad.MAD}), {DIGITS}) AS llr
+FROM (SELECT p.chrom, place, right_second - left_first + 1 AS x, b."end" - b.start + 1 AS length FROM pairs p JOIN b ON b.chrom = p.chrom AND b.place = p.left_first // 1000) GROUP BY ALL""")
+def pair_llr(spark, sf_dir):
+    bounds = clique_bounds(spark, sf_dir)
+    p = ad.pairs(spark, sf_dir).withColumn("place", F.floor(F.col("left_first") / 1000)).join(bounds, ["chrom", "place"])
+    x = F.col("right_second") - F.col("left_first") + 1 - ad.MEDIAN
+    gain = F.sum(x * x - (x - (F.col("end") - F.col("start") + 1)) * (x - (F.col("end") - F.col("start") + 1)))
+    return p.groupBy("chrom", "place").agg(F.round(gain / (2.0 * ad.MAD * ad.MAD), DIGITS).alias("llr"))
+
+
+@query(f"""WITH {ad.calls_sql('p', 0)}, {ad.calls_sql('d', 1)}, m AS (SELECT p.call_id AS pid, d.call_id AS did FROM p JOIN d ON p.chrom = d.chrom AND p.start <= d."end" AND d.start <= p."end"
+  WHERE least((least(p."end", d."end") - greatest(p.start, d.start) + 1) / (p."end" - p.start + 1), (least(p."end", d."end") - greatest(p.start, d.start) + 1) / (d."end" - d.start + 1)) > 0.5)
+SELECT chrom, start, "end", type0, type1, type2, CASE WHEN call_id IN (SELECT pid FROM m) THEN 'RD:RP' ELSE 'RP' END AS evidence FROM p
+UNION ALL SELECT chrom, start, "end", type0, type1, type2, 'RD' FROM d WHERE call_id NOT IN (SELECT did FROM m)""")
+def reciprocal_overlap_merge(spark, sf_dir):
+    return refine.reciprocal_overlaps(ad.calls(spark, sf_dir, 0), ad.calls(spark, sf_dir, 1), 0.5, 1000)
+
+
+@query()
+def ordered_merge(spark, sf_dir):
+    return refine.merge_calls(ad.calls(spark, sf_dir, 0), ad.calls(spark, sf_dir, 1))
+
+
+@query(f"""WITH {ad.calls_sql('c', 0)} SELECT call_id, chrom, 0 AS "window", start - 200 AS start, CASE WHEN "end" - start + 1 > 400 THEN start + 200 ELSE "end" + 200 END AS "end" FROM c
+UNION ALL SELECT call_id, chrom, 1, "end" - 200, "end" + 200 FROM c WHERE "end" - start + 1 > 400""")
+def breakpoint_windows(spark, sf_dir):
+    return refine.breakpoint_windows(ad.calls(spark, sf_dir, 0))
+
+
+CLIPS = f"""WITH {ad.ALIGNMENTS}, {ad.calls_sql('c', 0)}, w AS (SELECT call_id, chrom, unnest(CASE WHEN "end" - start + 1 > 401 THEN [{{'s': start - 200, 'e': start + 200, 'f': true, 'l': false}}, {{'s': "end" - 200, 'e': "end" + 200, 'f': false, 'l': true}}] ELSE [{{'s': start - 200, 'e': "end" + 200, 'f': true, 'l': true}}] END) AS x FROM c),
+w2 AS (SELECT call_id, chrom, x['s'] AS s, x['e'] AS e, x['f'] AS f, x['l'] AS l FROM w), w3 AS (SELECT a.call_id, a.chrom, CASE WHEN b.s IS NULL THEN a.s ELSE least(a.s, b.s) END AS s, CASE WHEN b.s IS NULL THEN a.e ELSE greatest(a.e, b.e) END AS e, b.s IS NOT NULL OR a.f AS f, b.s IS NOT NULL OR a.l AS l FROM w2 a LEFT JOIN w2 b ON a.call_id = b.call_id AND a.s <> b.s AND a.s <= b.e AND b.s <= a.e),
+w4 AS (SELECT DISTINCT * FROM w3), t AS (SELECT call_id, unnest([0, 1, 2]) AS sample_idx, unnest([type0, type1, type2]) AS type FROM c),
+p AS (SELECT *, cigar LIKE '30S%' AS lefty, CASE WHEN cigar LIKE '30S%' THEN start ELSE "end" END AS at FROM alignments WHERE cigar LIKE '%S%' AND mapq <> 0),
+m AS (SELECT w4.call_id, sample_idx, ord, at, lefty, f, l, type FROM p JOIN w4 ON p.chrom = w4.chrom AND p.at BETWEEN w4.s AND w4.e JOIN t USING (call_id, sample_idx) WHERE type <> 'REFERENCE'),
+v AS (SELECT call_id, sample_idx, ord, at, 'start' AS edge FROM m WHERE f AND ((type = 'DELETION') <> lefty) UNION ALL SELECT call_id, sample_idx, ord, at, 'end' FROM m WHERE l AND ((type = 'DELETION') = lefty)),
+n AS (SELECT call_id, edge, at, count(*) AS n, min(sample_idx * 1000000000000 + ord) AS seen FROM v GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY call_id, edge ORDER BY n DESC, seen) AS r FROM n)
+SELECT call_id, max(at) FILTER (edge = 'start') AS start, max(at) FILTER (edge = 'end') AS "end" FROM b WHERE r = 1 AND n > 1 GROUP BY call_id HAVING max(at) FILTER (edge = 'start') < max(at) FILTER (edge = 'end')"""
+
+
+@query(CLIPS)
+def softclip_mode(spark, sf_dir):
+    return refine.soft_clip_breakpoints(ad.calls(spark, sf_dir, 0), ad.alignments(spark, sf_dir))
+
+
+@query(f"""WITH {ad.REGIONS}, {ad.PAIRS} SELECT p.chrom, p.left_first AS start, p.right_second AS "end", r.start AS r_start, r."end" AS r_end FROM pairs p JOIN regions r ON p.chrom = r.chrom AND p.left_first <= r."end" AND r.start <= p.right_second""")
+def overlap_join(spark, sf_dir):
+    spans = ad.pairs(spark, sf_dir).select("chrom", F.col("left_first").alias("start"), F.col("right_second").alias("end"))
+    return relops.overlap_join(spans, ad.regions(spark, sf_dir), 1000).drop("r_chrom")
+
+
+@query(f"""WITH {ad.REGIONS}, l AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM regions),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT chrom, min(start) AS start, max("end") AS "end" FROM g GROUP BY chrom, run""")
+def merged_intervals(spark, sf_dir):
+    return relops.merge_intervals(ad.regions(spark, sf_dir), ["chrom"])
+
+
+@query(f"WITH {ad.ALIGNMENTS} SELECT facing, count(*) AS n FROM alignments GROUP BY facing")
+def orientations(spark, sf_dir):
+    return ad.alignments(spark, sf_dir).groupBy(al.orientation().alias("facing")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ad.calls_sql('c', 0)}, {ad.calls_sql('d', 1)}, b AS (SELECT chrom, start, "end", 1.0 * call_id AS quality FROM c UNION ALL SELECT chrom, start, "end", 1.0 * call_id FROM d),
+l AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT chrom, max_by(start, quality) AS start, max_by("end", quality) AS "end", max(quality) AS quality FROM g GROUP BY chrom, run""")
+def best_of_overlaps(spark, sf_dir):
+    """Of each group of overlapping calls the one of best quality."""
+    both = ad.calls(spark, sf_dir, 0).unionByName(ad.calls(spark, sf_dir, 1)).select("chrom", "start", "end", (F.col("call_id") * 1.0).alias("quality"))
+
+    def begins(window):
+        before = F.max("end").over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return before.isNull() | (F.col("start") > before)
+
+    runs = relops.islands(both, ["chrom"], ["start", "end"], begins, "run")
+    return runs.groupBy("chrom", "run").agg(F.max_by("start", "quality").alias("start"), F.max_by("end", "quality").alias("end"), F.max("quality").alias("quality")).drop("run")
