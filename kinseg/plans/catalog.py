@@ -296,11 +296,11 @@ def breakpoint_windows(spark, sf_dir):
 CLIPS = f"""WITH {ad.ALIGNMENTS}, {ad.calls_sql('c', 0)}, w AS (SELECT call_id, chrom, unnest(CASE WHEN "end" - start + 1 > 401 THEN [{{'s': start - 200, 'e': start + 200, 'f': true, 'l': false}}, {{'s': "end" - 200, 'e': "end" + 200, 'f': false, 'l': true}}] ELSE [{{'s': start - 200, 'e': "end" + 200, 'f': true, 'l': true}}] END) AS x FROM c),
 w2 AS (SELECT call_id, chrom, x['s'] AS s, x['e'] AS e, x['f'] AS f, x['l'] AS l FROM w), w3 AS (SELECT a.call_id, a.chrom, CASE WHEN b.s IS NULL THEN a.s ELSE least(a.s, b.s) END AS s, CASE WHEN b.s IS NULL THEN a.e ELSE greatest(a.e, b.e) END AS e, b.s IS NOT NULL OR a.f AS f, b.s IS NOT NULL OR a.l AS l FROM w2 a LEFT JOIN w2 b ON a.call_id = b.call_id AND a.s <> b.s AND a.s <= b.e AND b.s <= a.e),
 w4 AS (SELECT DISTINCT * FROM w3), t AS (SELECT call_id, unnest([0, 1, 2]) AS sample_idx, unnest([type0, type1, type2]) AS type FROM c),
-p AS (SELECT *, cigar LIKE '30S%' AS lefty, CASE WHEN cigar LIKE '30S%' THEN start ELSE "end" END AS at FROM alignments WHERE cigar LIKE '%S%' AND mapq <> 0),
-m AS (SELECT w4.call_id, sample_idx, ord, at, lefty, f, l, type FROM p JOIN w4 ON p.chrom = w4.chrom AND p.at BETWEEN w4.s AND w4.e JOIN t USING (call_id, sample_idx) WHERE type <> 'REFERENCE'),
-v AS (SELECT call_id, sample_idx, ord, at, 'start' AS edge FROM m WHERE f AND ((type = 'DELETION') <> lefty) UNION ALL SELECT call_id, sample_idx, ord, at, 'end' FROM m WHERE l AND ((type = 'DELETION') = lefty)),
-n AS (SELECT call_id, edge, at, count(*) AS n, min(sample_idx * 1000000000000 + ord) AS seen FROM v GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY call_id, edge ORDER BY n DESC, seen) AS r FROM n)
-SELECT call_id, max(at) FILTER (edge = 'start') AS start, max(at) FILTER (edge = 'end') AS "end" FROM b WHERE r = 1 AND n > 1 GROUP BY call_id HAVING max(at) FILTER (edge = 'start') < max(at) FILTER (edge = 'end')"""
+p AS (SELECT *, cigar LIKE '30S%' AS lefty, CASE WHEN cigar LIKE '30S%' THEN start ELSE "end" END AS place FROM alignments WHERE cigar LIKE '%S%' AND mapq <> 0),
+m AS (SELECT w4.call_id, sample_idx, ord, place, lefty, f, l, type FROM p JOIN w4 ON p.chrom = w4.chrom AND p.place BETWEEN w4.s AND w4.e JOIN t USING (call_id, sample_idx) WHERE type <> 'REFERENCE'),
+v AS (SELECT call_id, sample_idx, ord, place, 'start' AS edge FROM m WHERE f AND ((type = 'DELETION') <> lefty) UNION ALL SELECT call_id, sample_idx, ord, place, 'end' FROM m WHERE l AND ((type = 'DELETION') = lefty)),
+n AS (SELECT call_id, edge, place, count(*) AS n, min(sample_idx * 1000000000000 + ord) AS seen FROM v GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY call_id, edge ORDER BY n DESC, seen) AS r FROM n)
+SELECT call_id, max(place) FILTER (edge = 'start') AS start, max(place) FILTER (edge = 'end') AS "end" FROM b WHERE r = 1 AND n > 1 GROUP BY call_id HAVING max(place) FILTER (edge = 'start') < max(place) FILTER (edge = 'end')"""
 
 
 @query(CLIPS)
