@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from kinseg.llm import brown, chat, counts, exact, fertility, packing, pages, simhash, toxicity
+from kinseg.llm import brown, chat, counts, exact, fertility, packing, pages, pieces, simhash, toxicity
 from kinseg.llm.shared import table
 
 
@@ -66,6 +66,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -81,7 +85,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"pipeline": corpus_pipeline.run, "op1_simhash_dedup": op1_simhash_dedup, "op2_main_text": op2_main_text, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"pipeline": corpus_pipeline.run, "op1_simhash_dedup": op1_simhash_dedup, "op2_main_text": op2_main_text, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_token_counts": op10_token_counts}
 
 
 def oracles():
