@@ -76,17 +76,13 @@ def exact_groups(docs: DataFrame, **limits) -> DataFrame:
         refined.select("doc_id", "full_hash", F.coalesce("full_hash", full_hash(whole("text"))).alias("text_sha256"), F.monotonically_increasing_id().alias("row")),
         "exact-rows",
     )
-    found = groups(rows)
-    joined = rows.join(found, "full_hash", "left")
-    alone = F.col("winner").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("winner.doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(alone, True).otherwise(F.col("winner.row") == F.col("row")).alias("kept"),
-        "full_hash",
-        "text_sha256",
-    )
+    # Rows without a full hash stay out of the join, where their nulls would meet in one
+    # task; the groups are written first, so that Spark can split a hot text's rows.
+    alone = rows.filter("full_hash is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash", "text_sha256")
+    found = written(groups(rows), "exact-groups")
+    kept = F.col("winner.row") == F.col("row")
+    shared = rows.filter("full_hash is not null").join(found, "full_hash")
+    return alone.unionByName(shared.select("doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "full_hash", "text_sha256"))
 
 
 def drop_exact(docs: DataFrame, **limits) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+_FOLDER: ContextVar[str] = ContextVar("folder", default="tables")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder of this application below spark.checkpoint.dir, which all executors share.
 
@@ -32,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     running df again, and df runs once however often the result is used.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{_FOLDER.get()}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -47,12 +53,22 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; call it once results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+def clean(spark: SparkSession, folder: str = "") -> None:
+    """Delete every scratch table of this application, or those of one folder; call it once results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{folder}".rstrip("/"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def folder(name: str) -> Iterator[None]:
+    """Within, written() puts its tables into a folder of their own, which clean() can delete alone."""
+    token = _FOLDER.set(name)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+
+
 def whole(text: Column | str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
