@@ -147,7 +147,8 @@ def links(prints: DataFrame, max_distance: int = 2, segments: int = 2, crowd: in
     crowded = written(crowded, "crowded")
     entries = table.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("match")).unionByName(crowded.select("key", F.lit(None).cast("long").alias("match")))
     probes = prints.select("fp", F.explode(F.concat(*map(probed, range(segments)))).alias("key"))
-    met = probes.join(entries, "key").filter(F.col("match").isNull() | ((F.col("fp") < F.col("match")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("match"))) <= max_distance)))
+    # Spark takes the exploded probes for as small as the file they come from and would broadcast them.
+    met = probes.hint("merge").join(entries, "key").filter(F.col("match").isNull() | ((F.col("fp") < F.col("match")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("match"))) <= max_distance)))
     met = written(met.select("fp", "match"), "matches")
     pairs = met.filter("match is not null").select(F.col("fp").alias("a"), F.col("match").alias("b"))
     dense = met.filter("match is null").select("fp").distinct()
