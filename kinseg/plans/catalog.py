@@ -95,7 +95,7 @@ DISCORDANT = f"""{ad.ALIGNMENTS}, found AS (SELECT *, CASE WHEN facing = 'FR' AN
   FROM alignments WHERE flag & 1 = 1 AND flag & 3340 = 0 AND abs(mate_start - start) <= 10000000 AND mapq <> 0)"""
 
 
-@query(f"WITH {DISCORDANT} SELECT sample, chrom, sv_type, count(*) AS n, sum(start) AS places FROM found WHERE sv_type IS NOT NULL GROUP BY ALL")
+@query(f"WITH {DISCORDANT} SELECT sample, chrom, sv_type, count(*) AS n, sum(start)::BIGINT AS places FROM found WHERE sv_type IS NOT NULL GROUP BY ALL")
 def pair_types(spark, sf_dir):
     found = pairs.discordant(ad.alignments(spark, sf_dir), _parameters(spark))
     return found.groupBy("sample", "chrom", "sv_type").agg(F.count("*").alias("n"), F.sum("start").alias("places"))
@@ -117,7 +117,7 @@ def exclude_pairs(spark, sf_dir):
 @query(f"""WITH {ad.WINDOWS}, d AS (SELECT 0 AS sample_idx, gc, chrom, start, rd0 AS rd FROM windows UNION ALL SELECT 1, gc, chrom, start, rd1 FROM windows UNION ALL SELECT 2, gc, chrom, start, rd2 FROM windows),
 q AS (SELECT sample_idx, gc, quantile_cont(rd, 0.05) AS lo, quantile_cont(rd, 0.95) AS hi FROM d GROUP BY ALL HAVING count(*) > 20),
 t AS (SELECT d.*, row_number() OVER (PARTITION BY sample_idx, gc ORDER BY chrom, start) AS n FROM d JOIN q USING (sample_idx, gc) WHERE rd BETWEEN lo AND hi)
-SELECT sample_idx, gc, count(*) AS n, sum(rd) AS reads FROM t WHERE n <= 50 GROUP BY ALL""")
+SELECT sample_idx, gc, count(*) AS n, sum(rd)::BIGINT AS reads FROM t WHERE n <= 50 GROUP BY ALL""")
 def gc_quantile_trim(spark, sf_dir):
     rows = model.trimmed(model.long_depth(ad.windows(spark, sf_dir)), 0.1, 20)
     kept = model.sampled(rows, 50, F.lit(0))
