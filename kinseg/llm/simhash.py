@@ -27,8 +27,10 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK = 50_000
 #: Sampled segments, for links by similarity: their number, and the shingles in each.
 SEGMENTS, SAMPLED, NOTHING = 20, 5, np.uint64(2**64 - 1)
-#: All pairs of a sampled segment's texts are compared up to so many; in larger groups each with the smallest and the next.
-SMALL = 24
+#: All pairs of a sampled segment's texts are compared at once up to so many; larger groups are first thinned out by leaders, in so many rounds.
+SMALL, ROUNDS = 24, 3
+#: Bits of a text's outline, which bounds its similarity to others; texts of a large group compared in one cell, along either side.
+OUTLINE, CELL = 1024, 512
 #: Fingerprints of candidates are sent to every executor up to so many, joined by a shuffle beyond.
 BROADCAST_KEYS = 400_000
 #: Segment values shared by more fingerprints than this are matched by midpoints instead.
@@ -71,22 +73,27 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(_packed(ones * 2 > total))
 
 
-def sketch(text: str, words: int) -> tuple[int, list[int | None]]:
-    """fingerprint() and SEGMENTS more SimHashes, each of SAMPLED shingles that texts alike sample alike.
+def sketch(text: str, words: int) -> tuple[int, list[int | None], int, list[int]]:
+    """fingerprint(), SEGMENTS more SimHashes, each of SAMPLED shingles that texts alike sample alike, and an outline.
 
     The shingles are dealt into SEGMENTS * SAMPLED bins by hash and the smallest
     of each bin is taken, so a segment of two texts of similarity s agrees with a
     probability of about s to the power SAMPLED. A segment without shingles is None.
+    The outline is the number of distinct shingles and a bitmap of them, see may_be_alike().
     """
     ones, total = np.zeros(BITS, np.int64), 0
     least = np.full(SEGMENTS * SAMPLED, NOTHING, np.uint64)
+    distinct, marks = np.zeros(0, np.uint64), np.zeros(OUTLINE, np.uint8)
     for block in shingle_hashes(text, words):
         ones += _majority(block)
         total += len(block)
         np.minimum.at(least, (block % np.uint64(len(least))).astype(np.int64), block)
+        distinct = np.union1d(distinct, block)
+        marks[(block >> np.uint64(32)) % np.uint64(OUTLINE)] = 1
     own = _packed(_majority(least.reshape(SEGMENTS, SAMPLED)) * 2 > SAMPLED)
     empty = (least.reshape(SEGMENTS, SAMPLED) == NOTHING).all(axis=1)
-    return int(_packed(ones * 2 > total)), [None if e else v for v, e in zip(own.tolist(), empty)]
+    outline = _packed(marks.reshape(-1, BITS)).tolist()
+    return int(_packed(ones * 2 > total)), [None if e else v for v, e in zip(own.tolist(), empty)], len(distinct), outline
 
 
 def similarity(a: str, b: str, words: int) -> float:
@@ -179,44 +186,104 @@ def near_groups(docs: DataFrame, words: int = 3, max_distance: int = 2, segments
 
 
 def sketch_column(text: Column, words: int) -> Column:
-    @F.arrow_udf("struct<fp:bigint,segments:array<bigint>>")
+    @F.arrow_udf("struct<fp:bigint,segments:array<bigint>,size:bigint,outline:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         found = [sketch(x.as_py() or "", words) for x in texts]
-        fps, segments = zip(*found) if found else ((), ())
-        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], names=["fp", "segments"])
+        columns = zip(*found) if found else [()] * 4
+        kinds = [pa.int64(), pa.list_(pa.int64())] * 2
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["fp", "segments", "size", "outline"])
 
     return of(text)
 
 
+def may_be_alike(least: float) -> Column:
+    """Whether two texts with size_a, outline_a, size_b, outline_b can be that similar; never false where they are.
+
+    Each bit in which the bitmaps differ stands for a shingle that only one of the
+    texts has, and with d such shingles of both sizes' sum s the similarity is (s - d) / (s + d).
+    """
+    differ = sum((F.bit_count(F.col("outline_a")[i].bitwiseXOR(F.col("outline_b")[i])) for i in range(OUTLINE // BITS)), F.lit(0))
+    close = differ <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    return close & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6)
+
+
+def divided(large: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, fp, label, main, n, outside): members of the groups that the links found so far do not connect.
+
+    label is a member's component, main the group's commonest, outside the number of members in others.
+    """
+    roots = components(found).withColumnRenamed("node", "fp")
+    labelled = written(large.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label")), "labelled")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("m"))
+    apart = most.filter("m < n").select("key", "main", "n", (F.col("n") - F.col("m")).alias("outside"))
+    return written(labelled.join(apart, "key"), "divided")
+
+
 def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): pairs of fingerprints in texts(fp, segments, text), one row each, whose texts are at least that similar.
+    """(a, b): pairs of fingerprints in texts(fp, segments, size, outline, text), one row each, whose texts are at least that similar.
 
     Candidates are the pairs of near(a, b) and texts that share the value of a
-    sampled segment. The pair's whole texts decide. Large groups are compared with their smallest
-    fingerprint and each with its next, so candidates grow with the rows, not their pairs.
+    sampled segment. The pair's whole texts decide. The links connect whatever
+    the comparison of all candidates would. In a group of more than SMALL texts
+    a few rounds compare a leader, the member with most links so far, with those
+    not yet connected to it: edited copies lead to the text they were made of,
+    and that to all others. Whatever the rounds leave unconnected is compared in
+    full, cell by cell, so candidates grow with the square of a group's size only
+    where its texts are not alike; outlines rule out most of these without the texts.
     """
-    keyed = texts.select("fp", F.posexplode("segments").alias("i", "value")).filter("value is not null").select("fp", F.xxhash64("i", "value").alias("key"))
-    keyed = written(keyed, "segments")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
-    keyed = written(keyed.join(groups, "key"), "shared-segments")
-    star = keyed.filter(F.col("n") > SMALL).select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    small = keyed.filter(F.col("n") <= SMALL).select("key", "fp")
-    pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").select("a", "b")
-    # The next of a large group: neighbours in the order of fingerprints among texts that share a group's smallest.
-    order = Window.partitionBy("a", F.pmod(F.xxhash64("a", F.shiftright("b", 56)), F.lit(64))).orderBy("b")
-    chain = star.distinct().select(F.lag("b").over(order).alias("a"), "b").filter("a is not null")
-    pairs = written(star.unionByName(pairs).unionByName(chain).unionByName(near).filter("a < b").distinct(), "candidates")
-    named = written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "candidate-texts")
-    if named.count() <= BROADCAST_KEYS:
-        named = F.broadcast(named)
-    wanted = written(texts.select("fp", "text").join(named, "fp"), "candidate-texts")
+    outlines = written(texts.select("fp", "size", "outline"), "outlines")
+    of_a, of_b = (outlines.toDF(c, f"size_{c}", f"outline_{c}") for c in "ab")
 
     @F.arrow_udf("double")
     def of(ones: pa.Array, twos: pa.Array) -> pa.Array:
         return pa.array([similarity(a.as_py(), b.as_py(), words) for a, b in zip(ones, twos)], pa.float64())
 
-    both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
-    return both.select("a", "b", of("text_a", "text_b").alias("s")).filter(F.col("s") >= least).select("a", "b")
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select("a", "b").distinct(), "candidates")
+        named = written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "candidate-texts")
+        if named.count() <= BROADCAST_KEYS:
+            named = F.broadcast(named)
+        wanted = written(texts.select("fp", "text").join(named, "fp"), "candidate-texts")
+        both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
+        return written(both.select("a", "b", of("text_a", "text_b").alias("s")).filter(F.col("s") >= least).select("a", "b"), "similar")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter("a < b").distinct()
+        return pairs.join(of_a, "a").join(of_b, "b").filter(may_be_alike(least)).select("a", "b")
+
+    keyed = texts.select("fp", F.posexplode("segments").alias("i", "value")).filter("value is not null").select("fp", F.xxhash64("i", "value").alias("key"))
+    keyed = written(keyed, "segments")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = written(keyed.join(groups, "key"), "shared-segments")
+    small = keyed.filter(F.col("n") <= SMALL).select("key", "fp")
+    pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").select("a", "b")
+    found = alike(possible(pairs.unionByName(near.select("a", "b"))))
+    large = keyed.filter(F.col("n") > SMALL).select("key", "fp")
+    apart, led = divided(large, found), None
+    for _ in range(ROUNDS):
+        if apart.isEmpty():
+            return found
+        ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp")))
+        able = apart.join(ends.groupBy("fp").agg(F.count("*").alias("links")), "fp", "left")
+        if led is not None:
+            able = able.join(led.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
+        rank = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("key", "fp"), "fp")
+        leaders = able.groupBy("key").agg(F.max_by(F.struct("fp", "label"), rank).alias("l"))
+        leaders = written(leaders.select("key", F.col("l.fp").alias("leader"), F.col("l.label").alias("of")), "leaders")
+        led = leaders if led is None else led.unionByName(leaders)
+        pairs = apart.join(leaders, "key").filter("label <> of").select(F.least("leader", "fp").alias("a"), F.greatest("leader", "fp").alias("b"))
+        found = found.unionByName(alike(possible(pairs))).distinct()
+        apart = divided(large, found)
+    rows, columns = (F.ceil(F.col(c) / CELL).cast("int") for c in ("outside", "n"))
+    members = apart.join(outlines, "fp").withColumn("rows", rows).withColumn("columns", columns)
+    deal = F.xxhash64(F.lit("cell"), "fp")
+    one = members.filter("label <> main").select("key", F.pmod(deal, "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), *(F.col(c).alias(f"{c}_a") for c in ("fp", "label", "size", "outline")))
+    two = members.select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(deal, "columns").alias("column"), *(F.col(c).alias(f"{c}_b") for c in ("fp", "label", "size", "outline")))
+    # Spark takes the exploded rows for as small as the file they come from and would broadcast them.
+    met = one.hint("merge").join(two, ["key", "row", "column"]).filter((F.col("label_a") != F.col("label_b")) & may_be_alike(least))
+    rest = alike(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")))
+    return found.unionByName(rest)
 
 
 def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance: int = 2, segments: int = 2, crowd: int = CROWD) -> DataFrame:
@@ -234,14 +301,14 @@ def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance:
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     key, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
     marked = plain.withColumn("sketch", sketch_column(whole(text), words)).withColumn("row", F.monotonically_increasing_id())
-    marked = written(marked.select(*plain.columns, "row", "sketch.fp", "sketch.segments"), "marked")
+    marked = written(marked.select(*plain.columns, "row", "sketch.*"), "marked")
     prints = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("row")), "prints")
     repeated = prints.filter("n > 1").select("fp", F.col("row").alias("first_row"))
     if repeated.count() <= BROADCAST_KEYS:
         repeated = F.broadcast(repeated)
     one_each = marked.join(repeated, "fp", "left").filter("first_row is null or first_row = row")
     near = links(prints.select("fp"), max_distance, segments, crowd)
-    roots = components(similar(one_each.select("fp", "segments", whole(text).alias("text")), near, words, least))
+    roots = components(similar(one_each.select("fp", "segments", "size", "outline", whole(text).alias("text")), near, words, least))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
     several = named.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")

@@ -133,6 +133,37 @@ def test_drop_near_catches_edited_copies_and_leaves_others(spark, none):
     assert simhash.drop_near(none).count() == 0
 
 
+def changed(base, seed, n=2):
+    """base with n words replaced by words of their own."""
+    out = [*base]
+    for j, at in enumerate(np.random.default_rng(seed).choice(len(base), n, replace=False)):
+        out[at] = f"own{seed}x{j}"
+    return " ".join(out)
+
+
+def test_drop_near_links_a_thousand_copies_through_their_base(spark):
+    base = prose(21, 100).split()
+    rows = [(5000, " ".join(base))] + [(i, changed(base, i)) for i in range(1000)] + [(6000, prose(22, 100))]
+    # Two changed words may lie as far apart as to cost ten of 96 shingles: the base is 0.81 alike, another copy about 0.66.
+    want = {0, 6000} | {i for i, t in rows if simhash.similarity(rows[0][1], t, 5) < 0.8}
+    got = sorted(r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(want)
+
+
+def test_large_groups_are_linked_as_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
+    monkeypatch.setattr(simhash, "CELL", 16)
+    head = prose(31, 60).split()
+    # Texts with a common head but different ends, each end with copies of one changed word: groups that no leader connects.
+    rows = [(k * 10 + i, changed([*head, *prose(40 + k, 60).split()], 1000 + k * 10 + i, min(i, 1))) for k in range(12) for i in range(6)]
+    sets = {i: set(np.concatenate([*simhash.shingle_hashes(t, 5)]).tolist()) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = grouped(sorted(sets), alike)
+    got = sorted(r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(set(root.values())) and len(got) >= 12
+
+
 def test_fertility_base_counts(odd, none, documents):
     for docs in (odd, documents):
         got = fertility.quality(docs, path("piece_bpe_32k.model"))
