@@ -8,10 +8,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinseg.llm.shared import whole, written
+from kinseg.llm.shared import LOWER, UPPER, whole, written
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -23,12 +24,14 @@ FIRST_BYTE, PAST_BYTES = 3, 259
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai")
 #: A worker keeps the pieces of so many distinct words, then starts anew.
 KEPT = 400_000
-#: A band reaches so many interquartile ranges from the median; both sides are also at least FLOOR wide.
+#: A band reaches so many interquartile ranges from the median; both sides are also at least FLOOR wide,
+#: about the reach that the distinct texts of one language give.
 REACH = 4.0
-FLOOR = {"chars_per_token": 0.1, "byte_share": 0.1, "entropy": 0.05}
-#: Languages or scripts with fewer sound documents use the band of all documents.
-LEAST_DOCS = 200
-MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,chars_per_token:double,byte_share:double,entropy:double,stratum:string>"
+FLOOR = {"chars_per_token": 0.16, "byte_share": 0.1, "entropy": 0.36}
+#: Quartiles of n texts are uncertain by some root of n: bands are wider by this over that root.
+UNSURE = 3.0
+FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,chars_per_token:double,byte_share:double,entropy:double,stratum:string,digest:bigint>"
 
 
 class Pieces(dict):
@@ -83,19 +86,20 @@ def measure(text: str, lang: str | None, vocabulary: Pieces) -> tuple:
     lines = [line for line in raw.split(b"\n") if line.strip()]
     ids = np.frombuffer(b"".join(map(vocabulary.__getitem__, words)), "<u2")
     stratum = lang or f"script {script(text)}"
+    last = (stratum, xxhash.xxh64_intdigest(b" ".join(words).translate(FOLD)) - 2**63)
     base = (len(words), n_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words))
     if not len(ids):
-        return (*base, 0.0, 0.0, 0.0, stratum)
+        return (*base, 0.0, 0.0, 0.0, *last)
     uses = np.bincount(ids)
     share = uses[uses > 0] / len(ids)
     entropy = float(-(share * np.log2(share)).sum() / np.log2(len(ids))) if len(ids) > 1 else 0.0
-    return (*base, n_chars / len(ids), float(uses[FIRST_BYTE:PAST_BYTES].sum() / len(ids)), entropy, stratum)
+    return (*base, n_chars / len(ids), float(uses[FIRST_BYTE:PAST_BYTES].sum() / len(ids)), entropy, *last)
 
 
 def measures(text: Column, lang: Column, path: str) -> Column:
     """Column of MEASURES; path is a SentencePiece model file."""
     fields = [f.split(":")[0] for f in MEASURES[7:-1].split(",")]
-    kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.string()]
+    kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.string(), pa.int64()]
 
     @F.arrow_udf(MEASURES)
     def of(texts: pa.Array, langs: pa.Array) -> pa.Array:
@@ -111,21 +115,22 @@ def base_failed() -> Column:
     return (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
 
 
-def bands(measured: DataFrame, reach: float = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """stratum, words (median length) and <measure>_mid, <measure>_reach per language or script, from all sound documents.
+def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
+    """stratum, words (median length) and <measure>_mid, <measure>_reach per language or script, from its own sound documents.
 
-    Quantiles are mergeable sketches; a hot language adds one row per task. The
-    stratum null holds the bands of all documents together.
+    Texts that differ in space and the case of A-Z only count once, so copies
+    cannot pull a band onto themselves. The fewer texts a stratum has, the wider its bands.
+    Quantiles are mergeable sketches; a hot language or text adds one row per task.
     """
-    sound = measured.filter(~F.col("failed"))
+    values = F.struct("m.n_words", *(f"m.{name}" for name in FLOOR))
+    once = measured.filter(~F.col("failed")).groupBy(F.col("m.stratum").alias("stratum"), F.col("m.digest").alias("digest")).agg(F.min(values).alias("m"))
     stats = [F.count("*").alias("docs"), F.percentile_approx("m.n_words", 0.5).alias("words")]
     for name in FLOOR:
         stats += [F.percentile_approx(f"m.{name}", [0.25, 0.5, 0.75], 10_000).alias(name)]
-    by = sound.groupBy(F.col("m.stratum").alias("stratum")).agg(*stats).filter(F.col("docs") >= least_docs)
-    together = sound.agg(*stats).withColumn("stratum", F.lit(None).cast("string")).filter("docs > 0")
-    found = by.unionByName(together)
+    found = once.groupBy("stratum").agg(*stats)
+    wider = 1 + UNSURE / F.sqrt("docs")
     for name, floor in FLOOR.items():
-        found = found.withColumn(f"{name}_mid", F.col(name)[1]).withColumn(f"{name}_reach", F.greatest(reach * (F.col(name)[2] - F.col(name)[0]), F.lit(floor)))
+        found = found.withColumn(f"{name}_mid", F.col(name)[1]).withColumn(f"{name}_reach", wider * F.greatest(reach * (F.col(name)[2] - F.col(name)[0]), F.lit(floor)))
     return found.select("stratum", "words", *(f"{n}_{s}" for n in FLOOR for s in ("mid", "reach")))
 
 
@@ -137,12 +142,9 @@ def judged(measured: DataFrame, **limits) -> DataFrame:
     characters per token are bounded on both sides, byte fallback above only.
     """
     limit = written(bands(measured, **limits), "bands")
-    own = limit.filter("stratum is not null")
-    together = limit.filter("stratum is null").select(*(F.col(c).alias(f"all_{c}") for c in limit.columns if c != "stratum"))
-    joined = measured.join(F.broadcast(together), F.lit(True), "left").join(own, F.col("m.stratum") == F.col("stratum"), "left")
-    pick = lambda c: F.coalesce(F.col(c), F.col(f"all_{c}"))
-    slack = F.sqrt(F.greatest(F.lit(1.0), pick("words") / F.greatest(F.col("m.n_words"), F.lit(1))))
-    far = {n: (F.col(f"m.{n}") - pick(f"{n}_mid")) / (pick(f"{n}_reach") * slack) for n in FLOOR}
+    joined = measured.join(limit, F.col("m.stratum") == F.col("stratum"), "left")
+    slack = F.sqrt(F.greatest(F.lit(1.0), F.col("words") / F.greatest(F.col("m.n_words"), F.lit(1))))
+    far = {n: (F.col(f"m.{n}") - F.col(f"{n}_mid")) / (F.col(f"{n}_reach") * slack) for n in FLOOR}
     fits = (F.abs(far["chars_per_token"]) <= 1) & (F.abs(far["entropy"]) <= 1) & (far["byte_share"] <= 1)
     return joined.select(*(measured[c] for c in measured.columns), (~F.col("failed") & F.coalesce(fits, F.lit(True))).alias("kept"))
 
@@ -156,7 +158,7 @@ def quality(docs: DataFrame, path: str, **limits) -> DataFrame:
     """
     seen = docs.select("doc_id", measures(whole("text"), F.col("lang").cast("string"), path).alias("m"))
     seen = written(seen.withColumn("failed", base_failed()), "fertility")
-    return judged(seen, **limits).select("doc_id", "m.*", F.col("failed").alias("base_failed"), "kept")
+    return judged(seen, **limits).select("doc_id", "m.*", F.col("failed").alias("base_failed"), "kept").drop("digest")
 
 
 def keep_sound(docs: DataFrame, path: str, **limits) -> DataFrame:

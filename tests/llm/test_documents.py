@@ -191,6 +191,20 @@ def test_fertility_rejects_what_the_vocabulary_does_not_fit(spark):
     assert all(got[i].kept for i in range(300))
 
 
+def test_fertility_bands_hold_whatever_is_copied_and_in_small_strata(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang = 'fr'")
+    model = path("piece_bpe_32k.model")
+    alone = {r.doc_id: r for r in fertility.quality(docs, model).collect()}
+    sound = sorted((r for r in alone.values() if r.kept), key=lambda r: r.chars_per_token)
+    # As many copies of a text at the edge as five of six rows, in several spellings.
+    text = docs.filter(F.col("doc_id") == sound[0].doc_id).first().text
+    copies = spark.createDataFrame([(10**9 + i, (text, text.upper(), f" {text}\n")[i % 3], "fr") for i in range(5 * len(alone))], "doc_id long, text string, lang string")
+    few = spark.createDataFrame([(2 * 10**9 + i, " ".join(f"{'zxqjkw'[(i + j) % 6] * 3}{j}" for j in range(120)), "xx") for i in range(4)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in fertility.quality(docs.unionByName(copies).unionByName(few), model).collect()}
+    assert all(got[i] == alone[i].kept for i in alone)
+    assert all(got[2 * 10**9 + i] for i in range(4))
+
+
 def test_toxicity_learns_stems_and_ignores_held_out_labels(spark, none):
     mean = ["grumblix", "snarfoid", "blorgish"]
     rng = np.random.default_rng(8)
