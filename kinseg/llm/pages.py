@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 from kinseg.llm.labelled_pages import PAGES
 from kinseg.llm.shared import whole
 
-#: Elements whose content is never text of the page.
-OPAQUE = "script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|button|audio|video|head|title"
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<skip>{OPAQUE})\b[^>]*?(?:/>|>.*?(?:</(?P=skip)\s*>|$))|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose content is never text of the page: code up to its end tag or the end of the page, others only if they are closed.
+CODE = "script|style"
+NESTING = frozenset("noscript template svg math object canvas audio video".split())
+OPAQUE = frozenset("iframe select textarea button title".split()) | NESTING
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<code>{CODE})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</(?P=code)\s*>|$))|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,9 +45,10 @@ FEATURES = ("words", "linked", "boiler", "main", "heading", "words_before", "lin
 DEPTH, LEAST_LEAF = 8, 1
 
 
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is page furniture, and whether it holds the article."""
-    boiler, main = tag in BOILER_TAGS or (tag == "header" and not in_main), tag in MAIN_TAGS
+def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is page furniture, whether only its words or being a form say it may be, and whether it holds the article."""
+    boiler, maybe = (tag in BOILER_TAGS and tag != "form") or (tag == "header" and not in_main), tag == "form"
+    main = tag in MAIN_TAGS
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -53,15 +57,41 @@ def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
             boiler, main = boiler or value in BOILER_ROLES, main or value == "main"
         elif name in ("class", "id"):
             found = {w.lower() for w in WORD.findall(value)}
-            boiler = boiler or bool(found & BOILER_WORDS) or (not in_main and bool(found & HEADER_WORDS))
+            maybe = maybe or bool(found & BOILER_WORDS) or (not in_main and bool(found & HEADER_WORDS))
             main = main or bool(found & MAIN_WORDS)
-    return boiler, main
+    return boiler, maybe and tag not in ("html", "body"), main
+
+
+def _closed(tokens: list[re.Match]) -> dict[int, int]:
+    """For the number of each start tag of an OPAQUE element that has an end tag, the number of that."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, token in enumerate(tokens):
+        if token["tag"] is None or (tag := token["tag"].lower()) not in OPAQUE:
+            continue
+        above = opened.setdefault(tag, [])
+        if token["end"]:
+            if above:
+                found[above.pop()] = i
+        elif not token["attrs"].endswith("/"):
+            if tag not in NESTING:
+                above.clear()
+            above.append(i)
+    return found
 
 
 def blocks(page: str) -> list[tuple]:
-    """The blocks of a page that hold text, in order, as in FIELDS."""
+    """The blocks of a page that hold text, in order, as in FIELDS.
+
+    Words of class names and forms mark furniture, but not where they enclose
+    the article: the element marked as such with most words, if it has at least as many as the page has outside all furniture.
+    """
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []
+    # Of an open element: tag, furniture, numbers of what may be furniture, in the article, number of the outermost element marked as article.
+    stack: list[tuple[str, bool, tuple[int, ...], bool, int | None]] = []
+    outside = ("", False, (), False, None)
+    marks: list[tuple[bool, tuple[int, ...], int | None]] = []
+    around: dict[int, tuple[int, ...]] = {}
     parts: list[str] = []
     state = {"linked": 0, "links": 0, "heading": 0}
 
@@ -70,8 +100,9 @@ def blocks(page: str) -> list[tuple]:
         parts.clear()
         if text:
             words = text.count(" ") + 1
-            top = stack[-1] if stack else ("", False, False)
-            out.append((text, words, min(1.0, state["linked"] / words), int(top[1]), int(top[2]), state["heading"]))
+            top = stack[-1] if stack else outside
+            out.append((text, words, min(1.0, state["linked"] / words), 0, int(top[3]), state["heading"]))
+            marks.append((top[1], top[2], top[4]))
         state["linked"] = 0
 
     def add(text: str) -> None:
@@ -80,11 +111,15 @@ def blocks(page: str) -> list[tuple]:
             if state["links"]:
                 state["linked"] += len(text.split())
 
-    at = 0
-    for token in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    closed = _closed(tokens)
+    at = i = 0
+    while i < len(tokens):
+        number, token = i, tokens[i]
         add(page[at : token.start()])
-        at = token.end()
-        if (name := token["tag"]) is None:
+        i = closed.get(number, number) + 1
+        at = tokens[i - 1].end()
+        if (name := token["tag"]) is None or name.lower() in OPAQUE:
             continue
         tag, ending = name.lower(), bool(token["end"])
         if tag == "br":
@@ -101,14 +136,25 @@ def blocks(page: str) -> list[tuple]:
         elif tag not in VOID and (tag in BLOCKS or tag in ("span", "a")) and not token["attrs"].endswith("/"):
             while tag in CLOSES and stack and stack[-1][0] in (*CLOSES[tag], "b", "i", "span", "a"):
                 stack.pop()
-            above = stack[-1] if stack else ("", False, False)
-            boiler, main = _kind(tag, token["attrs"], above[2])
-            if tag in BLOCKS or boiler:
-                stack.append((tag, above[1] or boiler, above[2] or main))
+            above = stack[-1] if stack else outside
+            boiler, maybe, main = _kind(tag, token["attrs"], above[3])
+            if tag in BLOCKS or boiler or maybe:
+                home = above[4]
+                if main and home is None and tag not in ("html", "body"):
+                    home, around[number] = number, above[2]
+                stack.append((tag, above[1] or boiler, (*above[2], number) if maybe else above[2], above[3] or main, home))
         if tag in BLOCKS:
             state["heading"] = 0 if ending else int(tag[1:]) if re.fullmatch("h[1-6]", tag) else 0
     add(page[at:])
     flush()
+    words: Counter = Counter()
+    for block, (boiler, maybe, home) in zip(out, marks):
+        if home is not None and not boiler:
+            words[home] += block[1]
+    free = sum(b[1] for b, (boiler, maybe, _) in zip(out, marks) if not boiler and not maybe)
+    article = max(words, key=words.get, default=None)
+    enclosing = set(around[article]) if article is not None and words[article] >= free else set()
+    out = [(*b[:3], int(boiler or not enclosing.issuperset(maybe)), *b[4:]) for b, (boiler, maybe, _) in zip(out, marks)]
     if any(b[4] for b in out):
         out = [(*b[:4], b[4] or -1, b[5]) for b in out]
     return out

@@ -36,6 +36,27 @@ def test_unclosed_article_and_repeated_rows(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+ARTICLE = "<article><h1>Head</h1><p>The first paragraph of the article has a good number of words in it.</p><p>So has the second paragraph, which follows it at once.</p></article>"
+SAID = "Head\nThe first paragraph of the article has a good number of words in it.\nSo has the second paragraph, which follows it at once."
+
+
+@pytest.mark.parametrize("html", [
+    "<html><head><meta charset=u><title>T</title><body>{}",
+    "<body><nav>menu</nav><button>Go{}<button>y</button>",
+    "<body><select><option>{}",
+    "<body><iframe src=x>{}",
+    "<body><svg>{}",
+    "<body><svg><svg><text>a</text></svg><text>words of a drawing</text></svg>{}",
+    "<body><video-player src=x></video-player>{}",
+    "<body><svg-icon>{}</svg-icon>",
+    "<body class='has-sidebar'>{}",
+    "<body><form id=aspnetForm><nav>menu</nav>{}</form>",
+    "<body><div class='social-page'>{}<div class=related><article><p>A card on another page that is related to this one.</p></article></div></div>",
+])
+def test_the_article_survives_unclosed_elements_and_furniture_around_it(spark, html):
+    assert text_of(spark, html.format(ARTICLE)).text == SAID
+
+
 def test_a_very_long_page(spark):
     body = "".join(f"<p>Paragraph number {i} has some words in it.</p>" for i in range(20_000))
     assert text_of(spark, f"<article>{body}</article>").text.count("\n") == 19_999
