@@ -8,7 +8,7 @@ mask per conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template: START role newline text END.
@@ -56,8 +56,11 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, mask.
 
     mask gives, per turn, three runs of characters (head, text, tail) as chars and whether the
-    loss covers them: the texts of loss_role.
+    loss covers them: the texts of loss_role. Every message is rendered, in order of
+    turn, a null turn first, then of role and text. A null role or text is empty, a
+    null conv_id a conversation of its own; no messages, no rows. Other columns are ignored.
     """
+    messages = messages.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     head = F.concat(F.lit(START), escaped(F.col("role"), (*CODES, LINE)), F.lit("\n"))
     body = escaped(F.col("text"))
     run = lambda chars, loss: F.struct(chars.cast("int").alias("chars"), loss.alias("loss"))
@@ -70,7 +73,10 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def parsed(rendered: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns: role, text and loss text of each turn, read back from the string and its mask."""
+    """conv_id, formatted, turns: role, text and loss text of each turn, read back from the string and its mask.
+
+    An empty string has no turns; rows repeat and null ids stay as they came.
+    """
     pieces = F.split("formatted", "<\\|im_end\\|>\n")
     cut = rendered.withColumn("pieces", F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
 
@@ -85,7 +91,7 @@ def parsed(rendered: DataFrame) -> DataFrame:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """One row per conversation: what parsed() finds, as counts and digests."""
+    """One row per conversation: what parsed() finds, as counts and digests; no rows for no rows."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform("turns", lambda t: t["loss"]), "")
     read = parsed(rendered).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), learnt.alias("learnt"), F.char_length("formatted").cast("long").alias("formatted_chars"))
@@ -93,5 +99,13 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished messages (conv_id, turn, role, text) as an event log: one message per row."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    """A table of finished messages (conv_id, turn, role, text) as an event log, in which every row is one message.
+
+    Its `turn` is a structure of the row's turn and its number among the rows of
+    that turn, in order of role and text, so rows that repeat or share a turn,
+    null turns too, all stay. Other columns are ignored; no rows, no events.
+    """
+    plain = conversations.select("conv_id", "turn", "role", "text")
+    among = Window.partitionBy("conv_id", "turn").orderBy(*(F.coalesce(c, F.lit("")) for c in ("role", "text")))
+    own = F.struct(F.col("turn").alias("turn"), F.row_number().over(among).alias("part"))
+    return plain.select("conv_id", F.col("turn").alias("seq"), own.alias("turn"), F.lit("message").alias("kind"), "role", "text")

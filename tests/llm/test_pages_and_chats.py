@@ -125,3 +125,22 @@ def test_rendering_reads_back(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in own).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
     assert chat.render(messages.limit(0)).count() == 0
+
+
+def test_every_row_of_a_conversation_table_is_a_turn(spark, tmp_path):
+    import duckdb
+
+    from kinseg.llm import registry
+
+    rows = [(1, 0, "user", "again"), (1, 0, "user", "again"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a")]
+    rows += [(2, None, "user", "x"), (2, None, None, "y"), (2, 3, None, None), (2, 4, "assistant", None), (None, 0, "user", "nobody"), (3, 0, "assistant", "</s>" * 20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = df.withColumn("seq", F.lit("z")).withColumn("kind", F.lit("delete")).withColumn("part", F.lit(1)).withColumn("log", F.lit(2))
+    for name, table in (("rows", clashing), ("none", clashing.limit(0))):
+        table.coalesce(1).write.parquet(str(tmp_path / name))
+        base = duckdb.connect()
+        base.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+        want = sorted(base.sql(registry.OP5_SQL).fetchall(), key=repr)
+        assert sorted((tuple(r) for r in registry.chat_format(table).collect()), key=repr) == want
+    got = {r.conv_id: r.n_turns for r in registry.chat_format(df).collect()}
+    assert got == {1: 4, 2: 4, None: 1, 3: 1, -1: 2}
