@@ -28,16 +28,24 @@ def full_hash(text: Column) -> Column:
     return F.sha2(folded(text).cast("binary"), 256)
 
 
-def surviving_keys(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def within(docs: DataFrame, keys: DataFrame, on: list[str], broadcast_keys: int) -> DataFrame:
+    """The rows of docs whose columns `on` are in keys, which go to the executors whole up to broadcast_keys of them."""
+    return docs.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, on, "left_semi")
+
+
+def surviving_keys(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(len, prefix) of the groups that may hold equal texts.
 
-    First lengths that occur twice, then within them prefix hashes that occur
-    twice. Both counts combine on the map side, so a hot length or prefix sends
-    one row per task. Lowering A-Z keeps the length, so lengths need no folding.
+    First the lengths that occur twice; then, for texts of these lengths alone,
+    the prefix hashes that occur twice within a length. Both counts combine on the
+    map side, so a hot length or prefix sends one row per task; where lengths are
+    too many to broadcast, only the first prefix_chars of a text move. Lowering
+    A-Z keeps the length, so lengths need no folding.
     """
-    pairs = written(docs.select(_length(whole("text")).alias("len"), _prefix(whole("text"), prefix_chars).alias("prefix")).groupBy("len", "prefix").agg(F.count("*").alias("n")), "exact-pairs")
-    lengths = pairs.groupBy("len").agg(F.sum("n").alias("n_len")).filter("n_len > 1").select("len")
-    return pairs.filter("n > 1").join(lengths, "len", "left_semi").select("len", "prefix")
+    sized = docs.select(_length(whole("text")).alias("len"), F.substring(whole("text"), 1, prefix_chars).alias("head"))
+    lengths = written(sized.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len"), "exact-lengths")
+    kept = within(sized, lengths, ["len"], broadcast_keys)
+    return kept.groupBy("len", _prefix(F.col("head"), prefix_chars).alias("prefix")).agg(F.count("*").alias("n")).filter("n > 1").select("len", "prefix")
 
 
 def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -47,7 +55,7 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, broadcast_keys: in
     counted: up to broadcast_keys of them go to the executors whole, so that no
     text is shuffled; beyond that the join shuffles by key, and Spark splits hot keys.
     """
-    keys = written(surviving_keys(docs, prefix_chars), "exact-keys").select(F.col("len").alias("_len"), F.col("prefix").alias("_prefix"), F.lit(True).alias("_hit"))
+    keys = written(surviving_keys(docs, prefix_chars, broadcast_keys), "exact-keys").select(F.col("len").alias("_len"), F.col("prefix").alias("_prefix"), F.lit(True).alias("_hit"))
     if keys.count() <= broadcast_keys:
         keys = F.broadcast(keys)
     text = whole(docs["text"])
@@ -89,7 +97,9 @@ def drop_exact(docs: DataFrame, **limits) -> DataFrame:
     """docs with one row of each set of equal texts, all columns as they came.
 
     Rows outside surviving groups pass without a shuffle; of the others each task
-    first keeps its own best row per text, so a hot text moves once per task.
+    first keeps its own best row per text, so a hot text moves once per task. The
+    row with the largest doc_id stays, a null id before all others only; null and
+    empty texts are equal; of rows that tie, one stays. Empty in, empty out.
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])

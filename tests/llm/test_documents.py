@@ -47,6 +47,17 @@ def test_exact_groups_on_odd_rows(odd, none):
     assert exact.exact_groups(none).count() == 0
 
 
+def test_prefixes_are_hashed_for_repeated_lengths_only(spark, monkeypatch):
+    """The rows that reach the prefix step are those of lengths that occur twice."""
+    rows = [(i, "x" * n) for i, n in enumerate((1, 2, 3, 3, 4, 5, 5))] + [(9, "yyy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    monkeypatch.setattr(exact, "within", lambda d, keys, on, limit, real=exact.within: met.append(real(d, keys, on, limit)) or met[-1])
+    keys = exact.surviving_keys(docs)
+    assert sorted(r.head for r in met[0].collect()) == ["xxx", "xxx", "xxxxx", "xxxxx", "yyy"]
+    assert sorted(r.len for r in keys.collect()) == [3, 5]
+
+
 @pytest.mark.parametrize("limit", [0, 400_000])
 def test_drop_exact_keeps_one_row_with_the_largest_id(odd, none, limit):
     got = exact.drop_exact(odd, broadcast_keys=limit)
