@@ -1,6 +1,12 @@
-"""A small labelled table of pages: blocks of main text begin with a plus sign, all others are page furniture."""
+"""A small labelled table of pages: blocks of main text begin with a plus sign, all others are page furniture.
 
-PAGES = (
+Every page is there twice: as written, and with bare divs in place of all elements and
+names that say what they hold, so that only words and links tell its blocks apart.
+"""
+
+import re
+
+WRITTEN = (
     # An article element with short and long paragraphs; an advert that reads like prose.
     """<html><head><title>Harbour</title></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Sport</a></li></ul></nav>
     <div class="ad">Our mattresses carry you through the night, and the first hundred nights are free.</div>
@@ -49,4 +55,28 @@ PAGES = (
     """<body><div class="page"><p>+In the third year the orchard bore for the first time, and the whole street came to pick.</p><p>+Eleven kinds.</p><p>+What could not be eaten was pressed, and the juice kept until Easter in the cool cellar under the church.</p></div></body>""",
     """<body><nav><a href="/">Up</a></nav><article><h1>+One line</h1><p>+Done.</p></article></body>""",
     """<body><nav><ul><li><a href="/x">The</a></li><li><a href="/y">mill,</a></li></ul></nav><div class="ad">Buy two and pay one.</div><article><h1>+The wheel turns</h1><p><b>+The wheel turns<br><p>+Water is back in the race since Sunday, and the miller grinds by night as well.</p><p>+Slowly.""",
+    # An article that ends in a list of its sources, and sections whose names only seem to name furniture.
+    """<body><nav><a href="/">Institute</a> <a href="/p">Papers</a></nav><article class="post comments-open"><h1>+Tides in closed basins</h1><p>+A closed basin has tides of its own, a few millimetres high, which wind and air pressure hide on most days.</p>
+    <section class="related-work"><h2>+Related work</h2><p>+Earlier surveys measured three lakes with floats and found nothing, since their floats were heavier than the tide was strong.</p><p>+Later ones used pressure gauges.</p></section>
+    <div class="form-notes"><p>+The gauges were read by hand every hour for a year, and the readings were written into bound books that the institute still keeps.</p></div>
+    <h2>+Sources</h2><ul><li>+<a href="/s1">Survey of the northern lakes</a></li><li>+<a href="/s2">Gauges and their errors</a></li><li>+<a href="/s3">A year of hourly readings</a></li></ul>
+    <div class="related-stories"><h3>Read next</h3><p><a href="/n">The lake that empties itself every summer</a></p></div><div class="share-bar"><a href="/f">Share</a></div></article><footer>Institute of Waters</footer></body>""",
+    """<body><header class="page-header"><a href="/">The Beacon</a></header><main><div class="story"><h1>+Night shift at the lighthouse</h1><p>+The keeper climbs two hundred steps at dusk, trims nothing and lights nothing, for the lamp has been electric for forty years.</p><ul><li>+Check the lens</li><li>+Log the weather</li><li>+Call the <a href="/c">coast guard</a></li></ul>
+    <p>+Then the long watch begins, with tea, a radio and the sound of the sea far below the gallery.</p><div class="social-links"><a href="/a">Post</a> <a href="/b">Mail</a></div><div class="recommended-reading"><ul><li><a href="/r">Ships that never came home</a></li><li><a href="/q">Fog and how to hear it</a></li></ul></div></div></main><div class="site-notice"><p>We use a new sign-in.</p></div></body>""",
+    """<body><nav><a href="/">Encyclopedia</a></nav><article><h1>+The guild of rope makers</h1><section class="social-history"><h2>+Social history</h2><p>+The guild took boys of twelve, who turned the wheel for three years before they were allowed to touch the hemp itself.</p><p>+Girls were not taken.</p></section><section class="form-factors"><h2>+Forms of rope</h2><p>+Ropes were laid left or right, and a sailor could tell the town of a rope by its lay, even at night and in the rain.</p></section>
+    <section id="notice-board"><h2>+The notice board</h2><p>+Prices hung on a board beside the door, in chalk, and changed with every ship that brought hemp from the east.</p></section><div class="related-topics"><h3>See more</h3><ul><li><a href="/h">Hemp</a></li><li><a href="/w">Wheels</a></li></ul></div><div class="share-this"><p>Send to a friend</p><a href="/m">Mail</a></div></article></body>""",
+    # Bare pages: menus and link lists around long paragraphs with a link here and there, and short lines at the end.
+    """<body><div><div><a href="/1">Home</a></div><div><a href="/2">Blog</a></div><div><a href="/3">Archive</a></div><div><a href="/4">Contact us</a></div></div><div><h1>+How we moved the piano</h1><div>+It took six of us, two planks and a borrowed van to bring the piano from the third floor into the street below.</div><div>+The <a href="/v">van</a> belonged to a baker, and everything that we carried in it that week smelled of rye and caraway.</div><div>+Nobody was hurt.</div><div>+The piano was not in tune afterwards, but then it had not been in tune before, and its new owner does not play.</div></div>
+    <div><h3>More stories</h3><div><a href="/5">How we lost the key</a></div><div><a href="/6">How we found it again under the stove</a></div></div><div>All rights reserved</div></body>""",
+    """<body><ul><li><a href="/l1">Products and services</a></li><li><a href="/l2">Customer support</a></li><li><a href="/l3">Company</a></li></ul><h1>+New pumps for old wells</h1><p>+Wells that were dug by hand a century ago can be brought back with pumps that draw no more than a light bulb does.</p><p>+Three villages have tried it. Their wells had been dry for a decade because the water table had sunk below the reach of the hand pumps.</p><h2>+What it costs</h2><p>+A pump costs as much as a bicycle, and the panel that drives it about twice that, says the <a href="/coop">cooperative</a> that builds both.</p><p><a href="/l4">Terms</a> <a href="/l5">Privacy</a> <a href="/l6">Site map</a></p><p>Page 1 of 1</p></body>""",
+    """<body><div><a href="/x1">Front page</a> <a href="/x2">Weather</a> <a href="/x3">Traffic</a></div><h2>+A bridge of ropes</h2><p>+Every spring the people of both banks meet and weave the bridge anew from grass ropes as thick as an arm.</p><p>+The old bridge is cut and falls into the gorge.</p><p>+Crossing it takes courage in any year, and in its last month rather more, since the ropes stretch until the middle nearly touches the river.</p><div><a href="/y1">The gorge in pictures</a></div><div><a href="/y2">Other bridges worth a walk</a></div><div><a href="/y3">Letters to the editor</a></div><div>Printed weekly</div></body>""",
 )
+
+
+def bare(page: str) -> str:
+    """The page with divs for the elements, and without the names and roles, that say what they hold."""
+    page = re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section|form|dialog)\b", r"<\1div", page)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|[^\s>]+)""", "", page)
+
+
+PAGES = tuple(page for written in WRITTEN for page in (written, bare(written)))

@@ -6,9 +6,6 @@ the joined text are DataFrame expressions over the array of blocks.
 
 from __future__ import annotations
 
-import html
-import re
-from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -18,146 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinseg.llm.labelled_pages import PAGES
+from kinseg.llm.markup import blocks
 from kinseg.llm.shared import whole
 
-#: Elements whose content is never text of the page: code up to its end tag or the end of the page, others only if they are closed.
-CODE = "script|style"
-NESTING = frozenset("noscript template svg math object canvas audio video".split())
-OPAQUE = frozenset("iframe select textarea button title".split()) | NESTING
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<code>{CODE})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</(?P=code)\s*>|$))|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A new one of these ends an open one of the same kind.
-CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-MAIN_TAGS = frozenset("article main".split())
-#: Words in class names and ids that name page furniture, or the article.
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
-MAIN_WORDS = frozenset("article content entry main post story".split())
-HEADER_WORDS = frozenset(["header"])
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: What is known of a block; main is 1 in the article, -1 outside the page's article, 0 where the page marks none.
-FIELDS = "array<struct<text:string,words:int,linked:double,boiler:int,main:int,heading:int>>"
+#: What is known of a block, see markup.blocks().
+FIELDS = "array<struct<text:string,words:int,linked:double,furniture:int,article:int,heading:int>>"
 #: What the tree sees: of a block and of the ones before and after it.
-FEATURES = ("words", "linked", "boiler", "main", "heading", "words_before", "linked_before", "words_after", "linked_after")
-DEPTH, LEAST_LEAF = 8, 1
-
-
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is page furniture, whether only its words or being a form say it may be, and whether it holds the article."""
-    boiler, maybe = (tag in BOILER_TAGS and tag != "form") or (tag == "header" and not in_main), tag == "form"
-    main = tag in MAIN_TAGS
-    for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            boiler = True
-        elif name == "role":
-            boiler, main = boiler or value in BOILER_ROLES, main or value == "main"
-        elif name in ("class", "id"):
-            found = {w.lower() for w in WORD.findall(value)}
-            maybe = maybe or bool(found & BOILER_WORDS) or (not in_main and bool(found & HEADER_WORDS))
-            main = main or bool(found & MAIN_WORDS)
-    return boiler, maybe and tag not in ("html", "body"), main
-
-
-def _closed(tokens: list[re.Match]) -> dict[int, int]:
-    """For the number of each start tag of an OPAQUE element that has an end tag, the number of that."""
-    found: dict[int, int] = {}
-    opened: dict[str, list[int]] = {}
-    for i, token in enumerate(tokens):
-        if token["tag"] is None or (tag := token["tag"].lower()) not in OPAQUE:
-            continue
-        above = opened.setdefault(tag, [])
-        if token["end"]:
-            if above:
-                found[above.pop()] = i
-        elif not token["attrs"].endswith("/"):
-            if tag not in NESTING:
-                above.clear()
-            above.append(i)
-    return found
-
-
-def blocks(page: str) -> list[tuple]:
-    """The blocks of a page that hold text, in order, as in FIELDS.
-
-    Words of class names and forms mark furniture, but not where they enclose
-    the article: the element marked as such with most words, if it has at least as many as the page has outside all furniture.
-    """
-    out: list[tuple] = []
-    # Of an open element: tag, furniture, numbers of what may be furniture, in the article, number of the outermost element marked as article.
-    stack: list[tuple[str, bool, tuple[int, ...], bool, int | None]] = []
-    outside = ("", False, (), False, None)
-    marks: list[tuple[bool, tuple[int, ...], int | None]] = []
-    around: dict[int, tuple[int, ...]] = {}
-    parts: list[str] = []
-    state = {"linked": 0, "links": 0, "heading": 0}
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            words = text.count(" ") + 1
-            top = stack[-1] if stack else outside
-            out.append((text, words, min(1.0, state["linked"] / words), 0, int(top[3]), state["heading"]))
-            marks.append((top[1], top[2], top[4]))
-        state["linked"] = 0
-
-    def add(text: str) -> None:
-        if text:
-            parts.append(text)
-            if state["links"]:
-                state["linked"] += len(text.split())
-
-    tokens = list(TOKEN.finditer(page))
-    closed = _closed(tokens)
-    at = i = 0
-    while i < len(tokens):
-        number, token = i, tokens[i]
-        add(page[at : token.start()])
-        i = closed.get(number, number) + 1
-        at = tokens[i - 1].end()
-        if (name := token["tag"]) is None or name.lower() in OPAQUE:
-            continue
-        tag, ending = name.lower(), bool(token["end"])
-        if tag == "br":
-            parts.append(" ")
-        elif tag == "a":
-            state["links"] = 0 if ending else 1
-        if tag in BLOCKS:
-            flush()
-            state["links"] = 0
-        if ending:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-        elif tag not in VOID and (tag in BLOCKS or tag in ("span", "a")) and not token["attrs"].endswith("/"):
-            while tag in CLOSES and stack and stack[-1][0] in (*CLOSES[tag], "b", "i", "span", "a"):
-                stack.pop()
-            above = stack[-1] if stack else outside
-            boiler, maybe, main = _kind(tag, token["attrs"], above[3])
-            if tag in BLOCKS or boiler or maybe:
-                home = above[4]
-                if main and home is None and tag not in ("html", "body"):
-                    home, around[number] = number, above[2]
-                stack.append((tag, above[1] or boiler, (*above[2], number) if maybe else above[2], above[3] or main, home))
-        if tag in BLOCKS:
-            state["heading"] = 0 if ending else int(tag[1:]) if re.fullmatch("h[1-6]", tag) else 0
-    add(page[at:])
-    flush()
-    words: Counter = Counter()
-    for block, (boiler, maybe, home) in zip(out, marks):
-        if home is not None and not boiler:
-            words[home] += block[1]
-    free = sum(b[1] for b, (boiler, maybe, _) in zip(out, marks) if not boiler and not maybe)
-    article = max(words, key=words.get, default=None)
-    enclosing = set(around[article]) if article is not None and words[article] >= free else set()
-    out = [(*b[:3], int(boiler or not enclosing.issuperset(maybe)), *b[4:]) for b, (boiler, maybe, _) in zip(out, marks)]
-    if any(b[4] for b in out):
-        out = [(*b[:4], b[4] or -1, b[5]) for b in out]
-    return out
+FEATURES = ("words", "linked", "furniture", "article", "heading", "words_before", "linked_before", "words_after", "linked_after")
+#: A tree's depth and the blocks that a leaf holds at least; of equally good cuts the first is taken.
+DEPTH, LEAST_LEAF = 10, 3
 
 
 def features(found: list[tuple]) -> np.ndarray:
@@ -187,15 +53,24 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
     return f, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
+def learnt(pages: tuple[str, ...]) -> tuple:
+    """The tree of labelled pages, whose main blocks begin with a plus sign.
+
+    It first asks whether the page says that the block is furniture, then
+    whether it lies outside the page's article, on a page that marks none, or
+    inside, and is grown on the blocks of each case.
+    """
+    found = [blocks(page) for page in pages]
+    x, y = np.vstack([features(f) for f in found]), np.array([b[0].startswith("+") for f in found for b in f], float)
+    says, mark = FEATURES.index("furniture"), FEATURES.index("article")
+    named = x[:, says] > 1.5
+    outside, unmarked, inside = (grow(x[~named & (x[:, mark] == case)], y[~named & (x[:, mark] == case)]) for case in (-1, 0, 1))
+    return says, 1.5, (mark, -0.5, outside, (mark, 0.5, unmarked, inside)), grow(x[named], y[named])
+
+
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    """The tree learnt from the labelled pages, whose main blocks begin with a plus sign."""
-    x, y = [], []
-    for page in PAGES:
-        found = blocks(page)
-        x.append(features(found))
-        y += [b[0].startswith("+") for b in found]
-    return grow(np.vstack(x), np.array(y, float))
+    return learnt(PAGES)
 
 
 def decided(node: tuple, value: Callable[[str], Column]) -> Column:
@@ -208,7 +83,7 @@ def decided(node: tuple, value: Callable[[str], Column]) -> Column:
 
 def block_column(page: Column) -> Column:
     kinds = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-    names = ["text", "words", "linked", "boiler", "main", "heading"]
+    names = ["text", "words", "linked", "furniture", "article", "heading"]
 
     @F.arrow_udf(FIELDS)
     def of(pages: pa.Array) -> pa.Array:
