@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinseg.llm.shared import whole, written
-from kinseg.llm.terms import FREQUENT, frequency_floor, term_counts
+from kinseg.llm.terms import FREQUENT, commonest, term_counts
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -84,8 +84,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, frequent: int = F
     spark = docs.sparkSession
     table = term_counts(docs, lambda text: pretokens(text, specials(path)))
     table = written(table.withColumn("pieces", piece_count(path)("term")), "pretokens")
-    floor = frequency_floor(table, frequent)
-    known = spark.sparkContext.broadcast({r.term: r.pieces for r in table.filter(F.col("n") >= floor).select("term", "pieces").toLocalIterator()})
+    common = commonest(table, frequent)
+    known = spark.sparkContext.broadcast({r.term: r.pieces for r in table.filter(common).select("term", "pieces").toLocalIterator()})
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, marks = known.value, specials(path)
@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, frequent: int = F
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     parts = written(numbered.mapInArrow(resolve, "row long, doc_id long, n_bytes long, n long, term string"), "pretokens-by-row")
     rare = parts.filter("term is not null").select("row", "term", "n")
-    found = rare.join(table.filter(F.col("n") < floor).select("term", "pieces"), "term").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    found = rare.join(table.filter(~common).select("term", "pieces"), "term").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     whole_rows = parts.filter("term is null").select("row", "doc_id", "n_bytes", "n")
     counted = whole_rows.join(found, "row", "left").withColumn("n_tokens", F.col("n") + F.coalesce("more", F.lit(0)))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -11,13 +11,15 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinseg.llm.shared import whole
 
 #: Frequent terms that are sent to every executor: at most so many, some 20 bytes each.
 FREQUENT = 200_000
+#: Terms of equal frequency are told apart by so many slots of a hash.
+SLOTS = 4096
 #: A task counts so many distinct terms in memory before it passes them on.
 HELD = 400_000
 
@@ -47,17 +49,23 @@ def term_counts(texts: DataFrame, split: Callable[[str], Iterable]) -> DataFrame
     return texts.select(whole("text").alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def frequency_floor(counts: DataFrame, bound: int = FREQUENT) -> int:
-    """The smallest n for which at most `bound` terms occur n times or more, up to rounding in eighths of an octave.
+def commonest(counts: DataFrame, bound: int = FREQUENT) -> Column:
+    """A condition on counts(term, n) that holds for at most `bound` terms, none of them rarer, to an eighth of an octave, than any other.
 
-    Only a histogram of at most some 500 rows reaches the driver.
+    Terms of the last such step that has room for some only are chosen by hash. Only two
+    histograms of at most some 500 and SLOTS rows reach the driver.
     """
-    bucket = F.floor(F.log2("n") * 8).cast("int")
-    total, floor = 0, None
-    for row in counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("terms"), F.min("n").alias("n")).orderBy(F.desc("bucket")).toLocalIterator():
-        total += row.terms
-        if total > bound:
-            break
-        floor = row.n
-    return 2**62 if floor is None else floor
-
+    step = F.floor(F.log2("n") * 8).cast("int")
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int")
+    held = 0
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("terms")).orderBy(F.desc("step")).toLocalIterator():
+        if held + row.terms > bound:
+            cut = 0
+            for part in counts.filter(step == row.step).groupBy(slot.alias("slot")).agg(F.count("*").alias("terms")).orderBy("slot").toLocalIterator():
+                held += part.terms
+                if held > bound:
+                    break
+                cut = part.slot + 1
+            return (step > row.step) | ((step == row.step) & (slot < cut))
+        held += row.terms
+    return F.lit(True)

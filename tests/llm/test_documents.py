@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinseg.llm import brown, counts, exact, fertility, packing, pieces, simhash, toxicity
 from kinseg.llm.components import components
+from kinseg.llm.terms import commonest
 
 from .conftest import prose
 
@@ -246,9 +247,12 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert toxicity.keep_civil(odd, empty).columns == odd.columns
 
 
-@pytest.mark.parametrize("frequent", [5, 200_000])
-def test_language_model_counts(documents, frequent):
-    got = {r.doc_id: r for r in brown.scores(documents, frequent).collect()}
+SIZES = [{"frequent": 60, "vocabulary": 30, "core": 8}, {"frequent": 200_000, "vocabulary": 500, "core": 40}, {}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_language_model_counts(documents, sizes):
+    got = {r.doc_id: r for r in brown.scores(documents, **sizes).collect()}
     words = {r.doc_id: [*SPLIT.findall(lowered(r.text)), "\n"] for r in documents.collect()}
     seen = Counter(w for i, ws in words.items() if crc32(str(i).encode()) % 7 != 2 for w in ws)
     total, kinds = sum(seen.values()), len(seen)
@@ -260,12 +264,85 @@ def test_language_model_counts(documents, frequent):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(9)
-    follow = rng.integers(0, 20, (30, 30)).astype(float)
-    own = brown.exchange(follow, classes=6)
-    step = 10 ** brown.transitions(follow, own, 6)
-    assert np.abs(step.sum(axis=1) - 1).max() < 1e-9 and own[0] == 0 and (own[1:] > 0).all()
+@pytest.mark.parametrize("sizes", SIZES[:2])
+def test_language_model_scores_by_brute_force(documents, sizes):
+    """Given the class of every word, all else is counted and multiplied here, token by token."""
+    texts = {r.doc_id: SPLIT.findall(lowered(r.text)) for r in documents.collect()}
+    teach = [ws for i, ws in texts.items() if crc32(str(i).encode()) % 7 != 2]
+    train = documents.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2)
+    model = brown.Model(train, **sizes)
+    kind = {w.decode(): int(model.own[i + 1]) for i, w in enumerate(model.words)} | {r.term: r.k for r in model.rare.collect()}
+    usual = {w.decode() for w in model.words[: model.vocabulary]}
+    seen = Counter(w for ws in teach for w in ws)
+    assert set(kind) == set(seen) and 0 not in kind.values() and model.vocabulary == sizes["vocabulary"]
+
+    def steps(ws):
+        before = 0
+        for w in [*ws, None]:
+            yield before, w
+            before = kind[w] if w in usual else brown.OTHER
+
+    counts = np.zeros((49, 49))
+    for ws in teach:
+        for before, w in steps(ws):
+            counts[before, 0 if w is None else kind[w]] += 1
+            if w is not None and seen[w] == 1:
+                counts[before, 48] += 1
+    share = (counts.sum(0) + 1) / (counts.sum() + 49)
+    chance = (counts + 20 * share) / (counts.sum(1) + 20)[:, None]
+    assert np.abs(chance.sum(1) - 1).max() < 1e-12
+    size = Counter()
+    for w, n in seen.items():
+        size[kind[w]] += n
+    got = {r.doc_id: r.score for r in brown.scores(documents, **sizes).collect()}
+    for i, ws in texts.items():
+        want = 0.0
+        for before, w in steps(ws):
+            k = 0 if w is None else kind.get(w, 48)
+            want += np.log10(chance[before, k]) + (np.log10(seen[w] / size[k]) if w in seen else 0)
+        assert abs(got[i] - want) < 1e-8 * abs(want) + 1e-8
+
+
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(4)
+    follow = rng.integers(0, 9, (40, 40)).astype(float)
+    np.fill_diagonal(follow, 0)
+    own = np.r_[0, rng.integers(1, 6, 39)]
+
+    def likelihood(own):
+        member = np.eye(6)[own]
+        pair = member.T @ follow @ member
+        h = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+        return h(pair) - h(pair.sum(0)) - h(pair.sum(1))
+
+    member = np.eye(6)[own]
+    right, left, without = follow[7:8] @ member, (follow.T @ member)[7:8], (member.T @ follow @ member)[None]
+    without[0, own[7]] -= right[0]
+    without[0, :, own[7]] -= left[0]
+    got = brown.gains(right, left, without)[0]
+    want = np.array([likelihood(np.r_[own[:7], k, own[8:]]) for k in range(1, 6)])
+    assert np.abs(got[1:] - got[own[7]] - want + likelihood(own)).max() < 1e-9
+
+
+def test_rounds_over_all_words_find_planted_classes(spark):
+    """Words 1 to 60 of two kinds that follow each other; a few of either kind start in their class."""
+    rng = np.random.default_rng(5)
+    pairs = [(int(u), int(v), int(n)) for u in range(1, 61) for v in range(1, 61) if u % 2 != v % 2 for n in [rng.integers(0, 6)] if n]
+    own = np.array([0, 1, 2, 1, 2, *[-1] * 56])
+    df = spark.createDataFrame(pairs, "u int, v int, n long")
+    for turn in range(brown.SPREAD):
+        own = brown.spread(df, own, turn)
+    kinds = [{int(k) for k in own[start::2]} for start in (1, 2)]
+    assert own[0] == 0 and not kinds[0] & kinds[1] and not (kinds[0] | kinds[1]) & {-1, 0}
+
+
+def test_commonest_terms_are_bounded_whatever_the_ties(spark):
+    rows = [(f"t{i}", 1 + (i < 3) * 100 + (3 <= i < 10) * 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "term string, n long")
+    for bound in (0, 2, 5, 10, 500, 2999, 3000, 10_000):
+        got = [r.n for r in df.filter(commonest(df, bound)).collect()]
+        assert len(got) <= bound and len(got) >= min(bound, 3000) * 0.9 - 2
+        assert bound < 3 or got.count(101) == 3
 
 
 def test_exchange_finds_planted_classes():
