@@ -7,7 +7,7 @@ distinct 8-byte fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -29,6 +29,10 @@ BLOCK = 50_000
 SEGMENTS, SAMPLED, NOTHING = 20, 5, np.uint64(2**64 - 1)
 #: All pairs of a sampled segment's texts are compared at once up to so many; larger groups are first thinned out by leaders, in so many rounds.
 SMALL, ROUNDS = 24, 3
+#: Where the donors of empty bins lie: for each bin so many tries, the same for all texts.
+DONORS = np.random.default_rng(SEED).integers(0, SEGMENTS * SAMPLED, (SEGMENTS * SAMPLED, 96))
+#: Shingles are counted in so many slots, by hash, to tell rare from common ones.
+SLOTS = 1 << 18
 #: Bits of a text's outline, which bounds its similarity to others; texts of a large group compared in one cell, along either side.
 OUTLINE, CELL = 1024, 512
 #: Fingerprints of candidates are sent to every executor up to so many, joined by a shuffle beyond.
@@ -78,7 +82,9 @@ def sketch(text: str, words: int) -> tuple[int, list[int | None], int, list[int]
 
     The shingles are dealt into SEGMENTS * SAMPLED bins by hash and the smallest
     of each bin is taken, so a segment of two texts of similarity s agrees with a
-    probability of about s to the power SAMPLED. A segment without shingles is None.
+    probability of about s to the power SAMPLED. An empty bin borrows from a bin
+    drawn at random, the same for all texts, so that the segments of short texts
+    are samples of several shingles as well. Segments are None without any shingle.
     The outline is the number of distinct shingles and a bitmap of them, see may_be_alike().
     """
     ones, total = np.zeros(BITS, np.int64), 0
@@ -90,15 +96,21 @@ def sketch(text: str, words: int) -> tuple[int, list[int | None], int, list[int]
         np.minimum.at(least, (block % np.uint64(len(least))).astype(np.int64), block)
         distinct = np.union1d(distinct, block)
         marks[(block >> np.uint64(32)) % np.uint64(OUTLINE)] = 1
-    own = _packed(_majority(least.reshape(SEGMENTS, SAMPLED)) * 2 > SAMPLED)
-    empty = (least.reshape(SEGMENTS, SAMPLED) == NOTHING).all(axis=1)
     outline = _packed(marks.reshape(-1, BITS)).tolist()
-    return int(_packed(ones * 2 > total)), [None if e else v for v, e in zip(own.tolist(), empty)], len(distinct), outline
+    if not total:
+        return 0, [None] * SEGMENTS, 0, outline
+    if (empty := np.flatnonzero(least == NOTHING)).size:
+        lent = least[DONORS[empty]]
+        first = (lent != NOTHING).argmax(axis=1)
+        lent = lent[np.arange(len(empty)), first]
+        least[empty] = np.where(lent == NOTHING, least[least != NOTHING][0], lent)
+    own = _packed(_majority(least.reshape(SEGMENTS, SAMPLED)) * 2 > SAMPLED)
+    return int(_packed(ones * 2 > total)), own.tolist(), len(distinct), outline
 
 
 def similarity(a: str, b: str, words: int) -> float:
     """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
-    one, two = (set(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)]).tolist()) for t in (a, b))
+    one, two = (set(shingle_set(t, words).tolist()) for t in (a, b))
     return len(one & two) / len(one | two) if one or two else 1.0
 
 
@@ -220,17 +232,81 @@ def divided(large: DataFrame, found: DataFrame) -> DataFrame:
     return written(labelled.join(apart, "key"), "divided")
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def rare_shingles(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(key, fp): the rarest shingles of texts(fp, text), so many that two texts at least that similar share one.
+
+    Of texts of n shingles that is all but least * n of them, and one more, in an
+    order that all texts share: the one of their hash's count in SLOTS slots over
+    all of texts, then of the hash. Passages that many texts share come last, so
+    texts that have little else in common do not meet. Only the SLOTS counts reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                total += np.bincount((shingle_set(text.as_py() or "", words) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    table = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    uses = np.zeros(SLOTS, np.int64)
+    uses[table["slot"].to_numpy()] = table["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(uses)
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            found = shingle_set(text.as_py() or "", words)
+            order = np.lexsort((found, shared.value[(found % np.uint64(SLOTS)).astype(np.int64)]))
+            out.append(found[order[: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]].view(np.int64).tolist())
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return texts.select(F.explode(of("text")).alias("key"), "fp")
+
+
+def led(groups: DataFrame, found: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """found and what leaders add to it, and divided() of the groups(key, fp) that are still in parts, None without any.
+
+    In each round a leader of every group, the member with most links that was
+    not one yet, is compared with those not connected to it: edited copies lead
+    to the text they were made of, and that to all others.
+    """
+    apart, leaders = divided(groups, found), None
+    for _ in range(ROUNDS):
+        if apart.isEmpty():
+            return found, None
+        ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp")))
+        able = apart.join(ends.groupBy("fp").agg(F.count("*").alias("links")), "fp", "left")
+        if leaders is not None:
+            able = able.join(leaders.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
+        rank = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("key", "fp"), "fp")
+        new = able.groupBy("key").agg(F.max_by(F.struct("fp", "label"), rank).alias("l"))
+        new = written(new.select("key", F.col("l.fp").alias("leader"), F.col("l.label").alias("of")), "leaders")
+        leaders = new if leaders is None else leaders.unionByName(new)
+        pairs = apart.join(new, "key").filter("label <> of").select(F.least("leader", "fp").alias("a"), F.greatest("leader", "fp").alias("b"))
+        found = written(found.unionByName(alike(pairs)).distinct(), "found")
+        apart = divided(groups, found)
+    return found, None if apart.isEmpty() else apart
+
+
 def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> DataFrame:
     """(a, b): pairs of fingerprints in texts(fp, segments, size, outline, text), one row each, whose texts are at least that similar.
 
     Candidates are the pairs of near(a, b) and texts that share the value of a
     sampled segment. The pair's whole texts decide. The links connect whatever
-    the comparison of all candidates would. In a group of more than SMALL texts
-    a few rounds compare a leader, the member with most links so far, with those
-    not yet connected to it: edited copies lead to the text they were made of,
-    and that to all others. Whatever the rounds leave unconnected is compared in
-    full, cell by cell, so candidates grow with the square of a group's size only
-    where its texts are not alike; outlines rule out most of these without the texts.
+    the comparison of all candidates would. Groups of more than SMALL texts are
+    first led(). Members of those that this leaves in parts meet again wherever
+    they share one of their rare_shingles(), which misses no pair; groups of more than
+    SMALL texts there are led(), and what is still in parts is compared in full,
+    cell by cell. So candidates grow with the square of a group's size only for
+    texts that share rare shingles and are not alike.
     """
     outlines = written(texts.select("fp", "size", "outline"), "outlines")
     of_a, of_b = (outlines.toDF(c, f"size_{c}", f"outline_{c}") for c in "ab")
@@ -239,7 +315,7 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
     def of(ones: pa.Array, twos: pa.Array) -> pa.Array:
         return pa.array([similarity(a.as_py(), b.as_py(), words) for a, b in zip(ones, twos)], pa.float64())
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.select("a", "b").distinct(), "candidates")
         named = written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "candidate-texts")
         if named.count() <= BROADCAST_KEYS:
@@ -248,33 +324,33 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
         both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
         return written(both.select("a", "b", of("text_a", "text_b").alias("s")).filter(F.col("s") >= least).select("a", "b"), "similar")
 
-    def possible(pairs: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a < b").distinct()
-        return pairs.join(of_a, "a").join(of_b, "b").filter(may_be_alike(least)).select("a", "b")
-
-    keyed = texts.select("fp", F.posexplode("segments").alias("i", "value")).filter("value is not null").select("fp", F.xxhash64("i", "value").alias("key"))
-    keyed = written(keyed, "segments")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = written(keyed.join(groups, "key"), "shared-segments")
-    small = keyed.filter(F.col("n") <= SMALL).select("key", "fp")
-    pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").select("a", "b")
-    found = alike(possible(pairs.unionByName(near.select("a", "b"))))
-    large = keyed.filter(F.col("n") > SMALL).select("key", "fp")
-    apart, led = divided(large, found), None
-    for _ in range(ROUNDS):
-        if apart.isEmpty():
-            return found
-        ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp")))
-        able = apart.join(ends.groupBy("fp").agg(F.count("*").alias("links")), "fp", "left")
-        if led is not None:
-            able = able.join(led.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
-        rank = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("key", "fp"), "fp")
-        leaders = able.groupBy("key").agg(F.max_by(F.struct("fp", "label"), rank).alias("l"))
-        leaders = written(leaders.select("key", F.col("l.fp").alias("leader"), F.col("l.label").alias("of")), "leaders")
-        led = leaders if led is None else led.unionByName(leaders)
-        pairs = apart.join(leaders, "key").filter("label <> of").select(F.least("leader", "fp").alias("a"), F.greatest("leader", "fp").alias("b"))
-        found = found.unionByName(alike(possible(pairs))).distinct()
-        apart = divided(large, found)
+        return compared(pairs.join(of_a, "a").join(of_b, "b").filter(may_be_alike(least)))
+
+    def counted(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The groups(key, fp) of up to SMALL, and of more texts."""
+        groups = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        keyed = written(keyed.join(groups, "key"), name)
+        return keyed.filter(F.col("n") <= SMALL).drop("n"), keyed.filter(F.col("n") > SMALL).drop("n")
+
+    def pairs_of(small: DataFrame) -> DataFrame:
+        return small.toDF(*(c if c == "key" else f"{c}_a" for c in small.columns)).join(small.toDF(*(c if c == "key" else f"{c}_b" for c in small.columns)), "key").filter("fp_a < fp_b")
+
+    keyed = texts.select("fp", F.posexplode("segments").alias("i", "value")).filter("value is not null").select(F.xxhash64("i", "value").alias("key"), "fp")
+    small, large = counted(written(keyed, "segments"), "shared-segments")
+    found = alike(pairs_of(small).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).unionByName(near.select("a", "b")))
+    found, apart = led(large, found, alike)
+    if apart is None:
+        return found
+    members = written(apart.select("fp", "label").distinct(), "apart")
+    wanted = written(texts.select("fp", "text").join(members.select("fp"), "fp", "left_semi"), "apart-texts")
+    small, large = counted(written(rare_shingles(wanted, words, least), "rare-shingles"), "shared-shingles")
+    labelled = small.join(members, "fp").select("key", "fp", "label")
+    met = pairs_of(labelled).filter("label_a <> label_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    found, apart = led(large, written(found.unionByName(alike(met)).distinct(), "found"), alike)
+    if apart is None:
+        return found
     rows, columns = (F.ceil(F.col(c) / CELL).cast("int") for c in ("outside", "n"))
     members = apart.join(outlines, "fp").withColumn("rows", rows).withColumn("columns", columns)
     deal = F.xxhash64(F.lit("cell"), "fp")
@@ -282,8 +358,7 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
     two = members.select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(deal, "columns").alias("column"), *(F.col(c).alias(f"{c}_b") for c in ("fp", "label", "size", "outline")))
     # Spark takes the exploded rows for as small as the file they come from and would broadcast them.
     met = one.hint("merge").join(two, ["key", "row", "column"]).filter((F.col("label_a") != F.col("label_b")) & may_be_alike(least))
-    rest = alike(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")))
-    return found.unionByName(rest)
+    return found.unionByName(compared(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))))
 
 
 def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance: int = 2, segments: int = 2, crowd: int = CROWD) -> DataFrame:

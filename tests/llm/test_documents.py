@@ -176,6 +176,32 @@ def test_large_groups_are_linked_as_by_all_pairs(spark, monkeypatch):
     assert got == sorted(set(root.values())) and len(got) >= 12
 
 
+def test_near_copies_among_texts_with_a_common_passage_against_all_pairs(spark):
+    """Copies of a few texts with one to nine changed words, and many texts that share half of their words, all in large groups."""
+    passage = prose(51, 70).split()
+    rows = [(k * 1000 + i, changed([*passage, *prose(60 + k, 130).split()], k * 1000 + i, i % 10)) for k in range(3) for i in range(110)]
+    rows += [(9000 + i, " ".join([*passage, *prose(900 + i, 40 + i % 50).split()])) for i in range(150)]
+    rows += [(9500 + i, " ".join([*passage[:12], f"end{i}"])) for i in range(120)]
+    sets = {i: set(np.concatenate([*simhash.shingle_hashes(t, 5)]).tolist()) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = grouped(sorted(sets), alike)
+    got = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set(root.values())
+    # No text goes that has no near copy; of those that should go, nearly all do.
+    assert want <= got and len(got - want) <= 0.02 * (len(rows) - len(want)) and len(rows) - len(want) > 250
+
+
+def test_rare_shingles_meet_wherever_texts_are_alike(spark):
+    base = prose(71, 60).split()
+    rows = [(i, " ".join(base[: 60 - i % 7]) + f" tail{i}") for i in range(40)] + [(100, ""), (101, "one two"), (102, "one two")]
+    met = defaultdict(set)
+    for r in simhash.rare_shingles(spark.createDataFrame(rows, "fp long, text string"), 5, 0.8).collect():
+        met[r.key].add(r.fp)
+    together = {(a, b) for group in met.values() for a in group for b in group}
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    assert all((a, b) in together for a in sets for b in sets if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def test_fertility_base_counts(odd, none, documents):
     for docs in (odd, documents):
         got = fertility.quality(docs, path("piece_bpe_32k.model"))
