@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections import Counter
 from functools import lru_cache
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinseg.llm.shared import LOWER, UPPER, whole, written
@@ -23,15 +24,17 @@ MAX_REPEAT_PERCENT = 50
 FIRST_BYTE, PAST_BYTES = 3, 259
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai")
 #: A worker keeps the pieces of so many distinct words, then starts anew.
-KEPT = 400_000
+KEPT = 200_000
 #: A band reaches so many interquartile ranges from the median; both sides are also at least FLOOR wide,
 #: about the reach that the distinct texts of one language give.
 REACH = 4.0
-FLOOR = {"chars_per_token": 0.16, "byte_share": 0.1, "entropy": 0.36}
+FLOOR = {"chars_per_token": 0.16, "chars_per_token_multi": 0.16, "byte_share": 0.1, "entropy": 0.36}
+#: Quartiles are taken of values in steps of one over GRID, of lengths in steps of one over LENGTHS of a natural logarithm.
+GRID, LENGTHS = 1000, 100
 #: Quartiles of n texts are uncertain by some root of n: bands are wider by this over that root.
 UNSURE = 3.0
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,chars_per_token:double,byte_share:double,entropy:double,stratum:string,digest:bigint>"
+MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,chars_per_token:double,chars_per_token_multi:double,byte_share:double,entropy:double,stratum:string,digest:bigint>"
 
 
 class Pieces(dict):
@@ -50,9 +53,28 @@ class Pieces(dict):
         return found
 
 
+class Counts(dict):
+    """Maps a word's bytes to the number of its tokens, with the space before it, in a file of byte-level ranks."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[word] = len(self.encode(" " + word.decode()))
+        return found
+
+
 @lru_cache(maxsize=1)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def vocabularies(path: str, multi: str) -> tuple[Pieces, Counts]:
+    return Pieces(path), Counts(multi)
 
 
 def repeat_words(words: list) -> int:
@@ -78,7 +100,7 @@ def script(text: str) -> str:
     return name if best[name] else "none"
 
 
-def measure(text: str, lang: str | None, vocabulary: Pieces) -> tuple:
+def measure(text: str, lang: str | None, vocabulary: Pieces, multi: Counts) -> tuple:
     """The values of MEASURES for one text."""
     raw = text.encode()
     words = raw.split()
@@ -89,22 +111,22 @@ def measure(text: str, lang: str | None, vocabulary: Pieces) -> tuple:
     last = (stratum, xxhash.xxh64_intdigest(b" ".join(words).translate(FOLD)) - 2**63)
     base = (len(words), n_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words))
     if not len(ids):
-        return (*base, 0.0, 0.0, 0.0, *last)
+        return (*base, 0.0, 0.0, 0.0, 0.0, *last)
     uses = np.bincount(ids)
     share = uses[uses > 0] / len(ids)
     entropy = float(-(share * np.log2(share)).sum() / np.log2(len(ids))) if len(ids) > 1 else 0.0
-    return (*base, n_chars / len(ids), float(uses[FIRST_BYTE:PAST_BYTES].sum() / len(ids)), entropy, *last)
+    return (*base, n_chars / len(ids), n_chars / sum(map(multi.__getitem__, words)), float(uses[FIRST_BYTE:PAST_BYTES].sum() / len(ids)), entropy, *last)
 
 
-def measures(text: Column, lang: Column, path: str) -> Column:
-    """Column of MEASURES; path is a SentencePiece model file."""
+def measures(text: Column, lang: Column, path: str, multi: str) -> Column:
+    """Column of MEASURES; path is a SentencePiece model file, multi a file of byte-level ranks for many languages."""
     fields = [f.split(":")[0] for f in MEASURES[7:-1].split(",")]
-    kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.string(), pa.int64()]
+    kinds = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.string(), pa.int64()]
 
     @F.arrow_udf(MEASURES)
     def of(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        known = pieces(path)
-        rows = [measure(t.as_py() or "", x, known) for t, x in zip(texts, langs.to_pylist())]
+        known = vocabularies(path, multi)
+        rows = [measure(t.as_py() or "", x, *known) for t, x in zip(texts, langs.to_pylist())]
         columns = zip(*rows) if rows else [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
 
@@ -120,18 +142,26 @@ def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
 
     Texts that differ in space and the case of A-Z only count once, so copies
     cannot pull a band onto themselves. The fewer texts a stratum has, the wider its bands.
-    Quantiles are mergeable sketches; a hot language or text adds one row per task.
+    Quartiles are exact up to the grid: values are counted by step, on the map
+    side first, so that a hot language sends one row per step and task, and the
+    same table gives the same bands however it is partitioned.
     """
     values = F.struct("m.n_words", *(f"m.{name}" for name in FLOOR))
     once = measured.filter(~F.col("failed")).groupBy(F.col("m.stratum").alias("stratum"), F.col("m.digest").alias("digest")).agg(F.min(values).alias("m"))
-    stats = [F.count("*").alias("docs"), F.percentile_approx("m.n_words", 0.5).alias("words")]
-    for name in FLOOR:
-        stats += [F.percentile_approx(f"m.{name}", [0.25, 0.5, 0.75], 10_000).alias(name)]
-    found = once.groupBy("stratum").agg(*stats)
+    steps = [F.struct(F.lit(name).alias("name"), F.round(F.col(f"m.{name}") * GRID).cast("long").alias("step")) for name in FLOOR]
+    steps.append(F.struct(F.lit("words").alias("name"), F.round(F.log("m.n_words") * LENGTHS).cast("long").alias("step")))
+    counted = once.select("stratum", F.explode(F.array(*steps)).alias("x")).groupBy("stratum", "x.name", "x.step").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("stratum", "name")
+    placed = counted.withColumn("docs", F.sum("n").over(own)).withColumn("below", F.sum("n").over(own.orderBy("step")))
+    quarter = {q: F.min(F.when(F.col("below") * 4 >= F.col("docs") * q, F.col("step"))) for q in (1, 2, 3)}
+    found = placed.groupBy("stratum", "name").agg(F.first("docs").alias("docs"), *(column.alias(f"q{q}") for q, column in quarter.items()))
     wider = 1 + UNSURE / F.sqrt("docs")
+    out = [F.max(F.when(F.col("name") == "words", F.exp(F.col("q2") / LENGTHS))).alias("words")]
     for name, floor in FLOOR.items():
-        found = found.withColumn(f"{name}_mid", F.col(name)[1]).withColumn(f"{name}_reach", wider * F.greatest(reach * (F.col(name)[2] - F.col(name)[0]), F.lit(floor)))
-    return found.select("stratum", "words", *(f"{n}_{s}" for n in FLOOR for s in ("mid", "reach")))
+        its = F.col("name") == name
+        out.append(F.max(F.when(its, F.col("q2") / GRID)).alias(f"{name}_mid"))
+        out.append(F.max(F.when(its, wider * F.greatest(reach * (F.col("q3") - F.col("q1")) / GRID, F.lit(floor)))).alias(f"{name}_reach"))
+    return found.groupBy("stratum").agg(*out)
 
 
 def judged(measured: DataFrame, **limits) -> DataFrame:
@@ -139,32 +169,34 @@ def judged(measured: DataFrame, **limits) -> DataFrame:
 
     A text shorter than its stratum's median length gets a band wider by the root
     of how much shorter it is, as its shares vary that much more. Entropy and
-    characters per token are bounded on both sides, byte fallback above only.
+    characters per token of both vocabularies are bounded on both sides, byte fallback above only.
     """
     limit = written(bands(measured, **limits), "bands")
     joined = measured.join(limit, F.col("m.stratum") == F.col("stratum"), "left")
     slack = F.sqrt(F.greatest(F.lit(1.0), F.col("words") / F.greatest(F.col("m.n_words"), F.lit(1))))
     far = {n: (F.col(f"m.{n}") - F.col(f"{n}_mid")) / (F.col(f"{n}_reach") * slack) for n in FLOOR}
-    fits = (F.abs(far["chars_per_token"]) <= 1) & (F.abs(far["entropy"]) <= 1) & (far["byte_share"] <= 1)
+    fits = far["byte_share"] <= 1
+    for name in ("chars_per_token", "chars_per_token_multi", "entropy"):
+        fits = fits & (F.abs(far[name]) <= 1)
     return joined.select(*(measured[c] for c in measured.columns), (~F.col("failed") & F.coalesce(fits, F.lit(True))).alias("kept"))
 
 
-def quality(docs: DataFrame, path: str, **limits) -> DataFrame:
-    """One row per document: doc_id, the base counts, the three fertility measures, stratum, base_failed, kept.
+def quality(docs: DataFrame, path: str, multi: str, **limits) -> DataFrame:
+    """One row per document: doc_id, the base counts, the four fertility measures, stratum, base_failed, kept.
 
     A null or empty text has no words and fails the base rules; a null lang is
     judged by the script of the text; repeated rows and null ids come back as
     they came; an empty table gives no rows. Other columns are ignored.
     """
-    seen = docs.select("doc_id", measures(whole("text"), F.col("lang").cast("string"), path).alias("m"))
+    seen = docs.select("doc_id", measures(whole("text"), F.col("lang").cast("string"), path, multi).alias("m"))
     seen = written(seen.withColumn("failed", base_failed()), "fertility")
     return judged(seen, **limits).select("doc_id", "m.*", F.col("failed").alias("base_failed"), "kept").drop("digest")
 
 
-def keep_sound(docs: DataFrame, path: str, **limits) -> DataFrame:
-    """The documents that quality() keeps, all columns as they came."""
+def keep_sound(docs: DataFrame, path: str, multi: str, **limits) -> DataFrame:
+    """The documents that quality() keeps, all columns as they came; nulls, empty texts, repeated rows and empty tables as there."""
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text, lang = (F.col(f"c{columns.index(c)}") for c in ("text", "lang"))
-    seen = written(plain.withColumn("m", measures(whole(text), lang.cast("string"), path)).withColumn("failed", base_failed()), "fertility")
+    seen = written(plain.withColumn("m", measures(whole(text), lang.cast("string"), path, multi)).withColumn("failed", base_failed()), "fertility")
     return judged(seen, **limits).filter("kept").select(*plain.columns).toDF(*columns)

@@ -21,7 +21,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

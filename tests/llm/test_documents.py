@@ -1,5 +1,6 @@
 """The document operators against brute force, on odd rows and on the small tables."""
 
+import base64
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -18,6 +19,7 @@ from kinseg.llm.terms import commonest
 from .conftest import prose
 
 SMALL = "/root/testdata/sf0.001"
+VOCABULARIES = path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -204,7 +206,7 @@ def test_rare_shingles_meet_wherever_texts_are_alike(spark):
 
 def test_fertility_base_counts(odd, none, documents):
     for docs in (odd, documents):
-        got = fertility.quality(docs, path("piece_bpe_32k.model"))
+        got = fertility.quality(docs, *VOCABULARIES)
         want = []
         for r in docs.collect():
             text = r.text or ""
@@ -215,30 +217,73 @@ def test_fertility_base_counts(odd, none, documents):
             want.append((r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)))
         assert pairs_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
         assert got.filter("kept and base_failed").count() == 0
-    assert fertility.quality(none, path("piece_bpe_32k.model")).count() == 0
-    kept = fertility.keep_sound(odd, path("piece_bpe_32k.model"))
+    assert fertility.quality(none, *VOCABULARIES).count() == 0
+    kept = fertility.keep_sound(odd, *VOCABULARIES)
     assert kept.columns == odd.columns
 
 
+def test_fertility_verdicts_by_brute_force_and_whatever_the_partitions(spark):
+    """Measures by the libraries, quartiles by sorting, bands and slack by hand."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+    from sentencepiece import SentencePieceProcessor
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = {r.doc_id: r for r in fertility.quality(docs, *VOCABULARIES).collect()}
+    again = fertility.quality(docs.repartition(7, "text"), *VOCABULARIES).select("doc_id", "kept").collect()
+    assert {r.doc_id: r.kept for r in again} == {i: r.kept for i, r in got.items()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARIES[1], "rb"))}
+    multi = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces_of = SentencePieceProcessor(model_file=VOCABULARIES[0])
+    names = ("chars_per_token", "chars_per_token_multi", "byte_share", "entropy")
+    values, strata = {}, defaultdict(dict)
+    for r in docs.collect():
+        w = SPLIT.findall(r.text or "")
+        ids = Counter(i for x in w for i in pieces_of.encode(x))
+        n, chars = sum(ids.values()), sum(map(len, w))
+        shares = np.array(list(ids.values())) / max(n, 1)
+        own = (chars / n, chars / sum(len(multi.encode_ordinary(" " + x)) for x in w), sum(c for i, c in ids.items() if 3 <= i < 259) / n, -(shares * np.log2(shares)).sum() / np.log2(n)) if n > 1 else (0,) * 4
+        values[r.doc_id] = own
+        if n > 1:
+            assert np.allclose(own, [got[r.doc_id][k] for k in names])
+        if not got[r.doc_id].base_failed:
+            strata[r.lang][" ".join(w).encode().translate(fertility.FOLD)] = (len(w), *own)
+    for r in docs.collect():
+        if got[r.doc_id].base_failed:
+            assert not got[r.doc_id].kept
+            continue
+        table = np.array(sorted(strata[r.lang].values()))
+        wide = 1 + 3 / np.sqrt(len(table))
+        words = np.sort(table[:, 0])[(len(table) + 1) // 2 - 1]
+        slack = np.sqrt(max(1, words / got[r.doc_id].n_words))
+        worst = -np.inf
+        for k, name in enumerate(names):
+            column = np.sort(table[:, k + 1])
+            q1, q2, q3 = (column[-(-len(column) * q // 4) - 1] for q in (1, 2, 3))
+            far = (values[r.doc_id][k] - q2) / (wide * max(4 * (q3 - q1), fertility.FLOOR[name]) * slack)
+            worst = max(worst, far if name == "byte_share" else abs(far))
+        # The grid may decide what lies within a hundredth of a limit.
+        assert got[r.doc_id].kept == (worst <= 1) or abs(worst - 1) < 0.02
+
+
 def test_fertility_rejects_what_the_vocabulary_does_not_fit(spark):
     rows = [(i, prose(i, 200), "en") for i in range(300)]
     # Words that only bytes can spell, no 3-word window twice: sound by the base rules. Each has one marker and 8 byte pieces.
     rows.append((1000, " ".join(chr(0x1FA80 + i % 14) + chr(0x1FA90 + i // 14) for i in range(196)), "en"))
-    got = {r.doc_id: r for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path("piece_bpe_32k.model")).collect()}
+    got = {r.doc_id: r for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), *VOCABULARIES).collect()}
     assert got[1000].byte_share == 8 / 9 and not got[1000].base_failed and not got[1000].kept
     assert all(got[i].kept for i in range(300))
 
 
 def test_fertility_bands_hold_whatever_is_copied_and_in_small_strata(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang = 'fr'")
-    model = path("piece_bpe_32k.model")
-    alone = {r.doc_id: r for r in fertility.quality(docs, model).collect()}
+    alone = {r.doc_id: r for r in fertility.quality(docs, *VOCABULARIES).collect()}
     sound = sorted((r for r in alone.values() if r.kept), key=lambda r: r.chars_per_token)
     # As many copies of a text at the edge as five of six rows, in several spellings.
     text = docs.filter(F.col("doc_id") == sound[0].doc_id).first().text
     copies = spark.createDataFrame([(10**9 + i, (text, text.upper(), f" {text}\n")[i % 3], "fr") for i in range(5 * len(alone))], "doc_id long, text string, lang string")
     few = spark.createDataFrame([(2 * 10**9 + i, " ".join(f"{'zxqjkw'[(i + j) % 6] * 3}{j}" for j in range(120)), "xx") for i in range(4)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r.kept for r in fertility.quality(docs.unionByName(copies).unionByName(few), model).collect()}
+    got = {r.doc_id: r.kept for r in fertility.quality(docs.unionByName(copies).unionByName(few), *VOCABULARIES).collect()}
     assert all(got[i] == alone[i].kept for i in alone)
     assert all(got[2 * 10**9 + i] for i in range(4))
 
