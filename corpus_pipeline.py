@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts fail the base rules and go. Repeated rows are judged alike. Empty in, empty out.
     """
-    return fertility.keep_sound(docs, path("piece_bpe_32k.model"))
+    return fertility.keep_sound(docs, path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken"))
 
 
 @stage
@@ -45,19 +45,30 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of texts equal after lowering A-Z the row with the largest doc_id stays; of identical rows, one."""
+    """Operator 8: of texts equal after lowering A-Z the row with the largest doc_id stays; of identical rows, one.
+
+    Null and empty texts are equal. Empty in, empty out.
+    """
     return exact.drop_exact(docs)
 
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked fingerprints the row with the smallest doc_id stays."""
+    """Operator 1: of each group of near copies the row with the smallest doc_id stays, a null id only where there is no other.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Multi-index
+    hashing of SimHash fingerprints and sampled shingles find them; the whole texts decide. Null and
+    empty texts are one group; of repeated rows one stays. Empty in, empty out.
+    """
     return simhash.drop_near(docs)
 
 
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: every remaining document in windows of at most 2048 tokens, one row per piece."""
+    """Operator 7: every remaining document in windows of at most 2048 tokens, one row per piece.
+
+    A null or empty text is its end alone; repeated rows are packed as they come. Empty in, empty out.
+    """
     return packing.pack(docs, path("word_bpe_49k.json"))
 
 
