@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kinseg.llm.shared import forget, written
 
-JUMPS = 3
+#: Steps along the pointers in a round.
+JUMPS = 1
 
 
 def components(edges: DataFrame) -> DataFrame:

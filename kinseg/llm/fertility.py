@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinseg.llm.shared import LOWER, UPPER, whole, written
+from kinseg.llm.shared import LOWER, UPPER, held, whole, written
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -24,7 +23,7 @@ MAX_REPEAT_PERCENT = 50
 FIRST_BYTE, PAST_BYTES = 3, 259
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai")
 #: A worker keeps the pieces of so many distinct words, then starts anew.
-KEPT = 200_000
+KEPT = 400_000
 #: A band reaches so many interquartile ranges from the median; both sides are also at least FLOOR wide,
 #: about the reach that the distinct texts of one language give.
 REACH = 4.0
@@ -72,9 +71,8 @@ class Counts(dict):
         return found
 
 
-@lru_cache(maxsize=1)
 def vocabularies(path: str, multi: str) -> tuple[Pieces, Counts]:
-    return Pieces(path), Counts(multi)
+    return held(("fertility", path, multi), lambda: (Pieces(path), Counts(multi)))
 
 
 def repeat_words(words: list) -> int:

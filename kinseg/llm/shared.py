@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: The letters that the contracts fold, and their lower-case forms.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What make() gives for this key, kept by the Python worker until it is asked for something else.
+
+    A worker serves one operator after another; the caches of those before would stay in its memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what the Python worker holds; for operators that hold nothing."""
+    _HELD.clear()
+
+
 _FOLDER: ContextVar[str] = ContextVar("folder", default="tables")
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder of this application below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (single-machine tests) a temporary folder takes its place.
+    Only where that setting is absent on a single machine (tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kinseg-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/kinseg-{spark.sparkContext.applicationId}"

@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinseg.llm.components import components
-from kinseg.llm.shared import LOWER, UPPER, whole, written
+from kinseg.llm.shared import LOWER, UPPER, release, whole, written
 
 BITS = 64
 SEED = 42
@@ -28,7 +28,7 @@ BLOCK = 50_000
 #: Sampled segments, for links by similarity: their number, and the shingles in each.
 SEGMENTS, SAMPLED, NOTHING = 20, 5, np.uint64(2**64 - 1)
 #: All pairs of a sampled segment's texts are compared at once up to so many; larger groups are first thinned out by leaders, in so many rounds.
-SMALL, ROUNDS = 24, 3
+SMALL, ROUNDS = 24, 2
 #: Where the donors of empty bins lie: for each bin so many tries, the same for all texts.
 DONORS = np.random.default_rng(SEED).integers(0, SEGMENTS * SAMPLED, (SEGMENTS * SAMPLED, 96))
 #: Shingles are counted in so many slots, by hash, to tell rare from common ones.
@@ -200,6 +200,7 @@ def near_groups(docs: DataFrame, words: int = 3, max_distance: int = 2, segments
 def sketch_column(text: Column, words: int) -> Column:
     @F.arrow_udf("struct<fp:bigint,segments:array<bigint>,size:bigint,outline:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
+        release()
         found = [sketch(x.as_py() or "", words) for x in texts]
         columns = zip(*found) if found else [()] * 4
         kinds = [pa.int64(), pa.list_(pa.int64())] * 2
@@ -247,6 +248,7 @@ def rare_shingles(texts: DataFrame, words: int, least: float) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -291,7 +293,7 @@ def led(groups: DataFrame, found: DataFrame, alike: Callable[[DataFrame], DataFr
         new = written(new.select("key", F.col("l.fp").alias("leader"), F.col("l.label").alias("of")), "leaders")
         leaders = new if leaders is None else leaders.unionByName(new)
         pairs = apart.join(new, "key").filter("label <> of").select(F.least("leader", "fp").alias("a"), F.greatest("leader", "fp").alias("b"))
-        found = written(found.unionByName(alike(pairs)).distinct(), "found")
+        found = found.unionByName(alike(pairs))
         apart = divided(groups, found)
     return found, None if apart.isEmpty() else apart
 
@@ -313,6 +315,7 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
 
     @F.arrow_udf("double")
     def of(ones: pa.Array, twos: pa.Array) -> pa.Array:
+        release()
         return pa.array([similarity(a.as_py(), b.as_py(), words) for a, b in zip(ones, twos)], pa.float64())
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -348,7 +351,7 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
     small, large = counted(written(rare_shingles(wanted, words, least), "rare-shingles"), "shared-shingles")
     labelled = small.join(members, "fp").select("key", "fp", "label")
     met = pairs_of(labelled).filter("label_a <> label_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    found, apart = led(large, written(found.unionByName(alike(met)).distinct(), "found"), alike)
+    found, apart = led(large, found.unionByName(alike(met)), alike)
     if apart is None:
         return found
     rows, columns = (F.ceil(F.col(c) / CELL).cast("int") for c in ("outside", "n"))

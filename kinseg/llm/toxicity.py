@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinseg.llm.shared import remainder, whole, written
+from kinseg.llm.shared import held, remainder, whole, written
 
 TOKEN = re.compile(r"[^\W_]+(?:['’*@$!][^\W_]+)*")
 #: Hashed subword buckets, width of a vector, lengths of the character n-grams.
@@ -143,9 +143,6 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(worst, -500, 500))))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
     """The model of train() from at most `sample` documents of each label, or None where a label is missing.
 
@@ -181,12 +178,13 @@ def score_column(text: Column, model, spark) -> Column:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        if (scorer := _SCORERS.get(name)) is None:
+        def make() -> Scorer:
             buckets, gain, bias = shared.value
             dense = np.zeros(BUCKETS, np.float32)
             dense[buckets] = gain
-            _SCORERS.clear()
-            scorer = _SCORERS[name] = Scorer(dense, bias)
+            return Scorer(dense, bias)
+
+        scorer = held(("toxicity", name), make)
         return pa.array([scorer.score(t.as_py() or "") for t in texts], pa.float64())
 
     return of(text)

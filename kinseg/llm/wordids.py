@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import regex
 
 from kinseg.llm.counts import library, spelled
+from kinseg.llm.shared import held
 
 #: Fixed value: the pattern of the word tokenizer's pre-tokenizer.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
@@ -52,7 +51,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One cache per Python worker, kept between its tasks."""
-    return WordIds(path)
+    return held(("word ids", path), lambda: WordIds(path))
