@@ -70,13 +70,13 @@ def bin_mean_signal(signal: DataFrame, window: int, flush_last: bool = False) ->
 
 def interval_mean_signal(calls: DataFrame, signal: DataFrame, bucket: int) -> DataFrame:
     """calls plus mappability: the signal's mean over each closed interval (chrom, start, end), uncovered bases 0."""
-    marked = calls.withColumn("_call", F.monotonically_increasing_id())
+    place = ["chrom", "start", "end"]
     items = signal.select("chrom", (F.col("start0") + 1).alias("start"), F.col("end0").alias("end"), "value")
-    met = overlap_join(marked, items, bucket)
+    met = overlap_join(calls.select(*place).distinct(), items, bucket)
     part = F.col("r_value") * (F.least("end", "r_end") - F.greatest("start", "r_start") + 1)
-    sums = met.groupBy("_call").agg(F.sum(part).alias("_sum"))
+    sums = met.groupBy(*place).agg(F.sum(part).alias("_sum"))
     length = F.col("end") - F.col("start") + 1
-    return marked.join(sums, "_call", "left").select(*calls.columns, (F.coalesce("_sum", F.lit(0.0)) / length).alias("mappability"))
+    return calls.join(sums, place, "left").select(*calls.columns, (F.coalesce("_sum", F.lit(0.0)) / length).alias("mappability"))
 
 
 def read_depth(reads: DataFrame, reference: DataFrame, signal: DataFrame, window: int = 200, min_mapq: int = 0) -> DataFrame:

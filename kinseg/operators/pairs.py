@@ -57,10 +57,11 @@ def read_pairs(found: DataFrame) -> DataFrame:
 
 def exclude_pairs(pairs: DataFrame, regions: DataFrame, bucket: int = 100_000) -> DataFrame:
     """Pairs neither read of which overlaps a region (closed intervals)."""
-    marked = pairs.withColumn("_pair", F.monotonically_increasing_id())
+    place = ["chrom", "left_first", "right_first", "left_second", "right_second"]
     ends = F.explode(F.array(F.struct(F.col("left_first").alias("start"), F.col("right_first").alias("end")), F.struct(F.col("left_second").alias("start"), F.col("right_second").alias("end"))))
-    hit = overlap_join(marked.select("chrom", "_pair", ends.alias("e")).select("chrom", "_pair", "e.start", "e.end"), regions, bucket).select("_pair").distinct()
-    return marked.join(hit, "_pair", "left_anti").drop("_pair")
+    reads = pairs.select(*place).distinct().select(*place, ends.alias("e")).select(*place, "e.start", "e.end")
+    hit = overlap_join(reads, regions, bucket).select(*place).distinct()
+    return pairs.join(hit, place, "left_anti")
 
 
 def reach(median: int, mad: int) -> float:

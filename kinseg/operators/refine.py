@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinseg.functions.alignments import PAIRED, has, left_clipped, one_end_anchored, orientation, right_clipped, soft_clip_evidence
-from kinseg.operators.relops import merge_intervals, overlap_join, top1
+from kinseg.operators.relops import islands, merge_intervals, overlap_join, per_group, top1
 
 TYPES = ("type0", "type1", "type2")
 MARGIN, MOST_READS, LEAST_READS = 1000, 1999, 2
@@ -24,52 +26,56 @@ def shared_fraction() -> Column:
 
 def reciprocal_overlaps(pair_calls: DataFrame, depth_calls: DataFrame, share: float = 0.5, bucket: int = 1_000_000) -> DataFrame:
     """Relational merge: pair calls with a depth call overlapping both ways by more than `share` become RD:RP; depth calls so matched go; all others stay."""
-    columns = ["chrom", "start", "end", *TYPES]
-    pairs = pair_calls.select(*columns).withColumn("_p", F.monotonically_increasing_id())
-    depths = depth_calls.select(*columns).withColumn("d", F.monotonically_increasing_id())
-    met = overlap_join(pairs, depths, bucket).filter(shared_fraction() > share).select("_p", "r_d")
-    matched = met.select("_p").distinct().withColumn("_hit", F.lit(True))
-    ours = pairs.join(matched, "_p", "left").select(*columns, F.when(F.col("_hit"), "RD:RP").otherwise("RP").alias("evidence"))
-    theirs = depths.join(met.select(F.col("r_d").alias("d")).distinct(), "d", "left_anti").select(*columns, F.lit("RD").alias("evidence"))
+    place = ["chrom", "start", "end"]
+    pairs, depths = (calls.select(*place, *TYPES) for calls in (pair_calls, depth_calls))
+    met = overlap_join(pairs.select(*place).distinct(), depths.select(*place).distinct(), bucket).filter(shared_fraction() > share)
+    matched = met.select(*place).distinct().withColumn("_hit", F.lit(True))
+    ours = pairs.join(matched, place, "left").select(*place, *TYPES, F.when(F.col("_hit"), "RD:RP").otherwise("RP").alias("evidence"))
+    theirs = depths.join(met.select(*(F.col(f"r_{c}").alias(c) for c in place)).distinct(), place, "left_anti").select(*place, *TYPES, F.lit("RD").alias("evidence"))
     return ours.unionByName(theirs)
 
 
-def merged_pass(pairs: list[tuple], depths: list[tuple], share: float) -> list[tuple]:
-    """One pass over both sorted lists of (start, end, ...): apart, the earlier leaves; overlapping, both move on, as one RD:RP or as two."""
-    out, i, j = [], 0, 0
-    while i < len(pairs) and j < len(depths):
-        p, d = pairs[i], depths[j]
-        if p[0] > d[1]:
-            out.append((*d, "RD"))
-            j += 1
-            continue
-        if d[0] > p[1]:
-            out.append((*p, "RP"))
-            i += 1
+def merged_heads(calls: pd.DataFrame, share: float) -> pd.DataFrame:
+    """The merge of one stretch of calls with `evidence` RP or RD, sorted by start and end.
+
+    The first calls of either kind meet. Apart, the one that ends first is done.
+    Overlapping, both are done: as one call at the pair call's place if either
+    is covered by more than `share`, else as two.
+    """
+    start, end, kind = (calls[c].to_numpy() for c in ("start", "end", "evidence"))
+    lines = {k: deque(np.flatnonzero(kind == k).tolist()) for k in ("RP", "RD")}
+    joint, gone = set(), set()
+    while all(lines.values()):
+        heads = [line[0] for line in lines.values()]
+        common = end[heads].min() - start[heads].max() + 1
+        if common <= 0:
+            lines[kind[min(heads, key=lambda i: end[i])]].popleft()
             continue
-        common = min(p[1], d[1]) - max(p[0], d[0]) + 1
-        if common / (p[1] - p[0] + 1) > share and common / (d[1] - d[0] + 1) > share:
-            out.append((*p, "RD:RP"))
-        else:
-            out += [(*d, "RD"), (*p, "RP")] if p[0] >= d[0] else [(*p, "RP"), (*d, "RD")]
-        i, j = i + 1, j + 1
-    return out + [(*p, "RP") for p in pairs[i:]] + [(*d, "RD") for d in depths[j:]]
+        if (common > share * (end[heads] - start[heads] + 1)).all():
+            joint.add(heads[0])
+            gone.add(heads[1])
+        for line in lines.values():
+            line.popleft()
+    merged = calls.assign(evidence=["RD:RP" if i in joint else k for i, k in enumerate(kind)])
+    return merged.drop(index=list(gone))
 
 
 def merge_calls(pair_calls: DataFrame, depth_calls: DataFrame, share: float = 0.5) -> DataFrame:
-    """Order-dependent merge of both call sets, contig by contig; types need not agree and the pair call's place wins.
+    """Order-dependent merge of both call sets; types need not agree and the pair call's place wins.
 
-    A contig's calls are some thousand rows at most, so one task per contig holds them.
+    Where no call of either set covers a position, all calls before it are done
+    before any after it, so the stretches between such positions are merged apart from each other.
     """
     columns = ["chrom", "start", "end", *TYPES]
+    name = lambda df, kind: df.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), *columns[1:], F.lit(kind).alias("evidence"))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        both = [list(x.sort_values(["start", "end"])[columns[1:]].itertuples(index=False, name=None)) for x in (left, right)]
-        out = pd.DataFrame(merged_pass(*both, share), columns=[*columns[1:], "evidence"])
-        return out.assign(chrom=key[0])[[*columns, "evidence"]]
+    def begins(window):
+        before = F.max("end").over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return before.isNull() | (F.col("start") > before)
 
-    name = lambda df: df.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), *columns[1:])
-    return name(pair_calls).groupBy("chrom").cogroup(name(depth_calls).groupBy("chrom")).applyInPandas(run, CALL)
+    both = islands(name(pair_calls, "RP").unionByName(name(depth_calls, "RD")), ["chrom"], ["start", "end"], begins)
+    columns.append("evidence")
+    return per_group(both, ["chrom", "island"], ["start", "end", *TYPES], lambda calls: merged_heads(calls, share)[columns], CALL)
 
 
 def breakpoint_windows(calls: DataFrame, size: int = 400) -> DataFrame:

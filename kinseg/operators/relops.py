@@ -24,9 +24,9 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int, how: str = "inn
         met = spread(left).join(r, (F.col(key) == F.col(f"r_{key}")) & (F.col("_bucket") == F.col("_r_bucket")))
         met = met.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_bucket") == F.floor(F.greatest("start", "r_start") / bucket)))
         return met.drop("_bucket", "_r_bucket")
-    marked = left.withColumn("_row", F.monotonically_increasing_id())
-    hits = overlap_join(marked, right, bucket, key=key).select("_row").distinct()
-    return marked.join(hits, "_row", how).drop("_row")
+    place = [key, "start", "end"]
+    hits = overlap_join(left.select(*place).distinct(), right, bucket, key=key).select(*place).distinct()
+    return left.join(hits, place, how)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column | None], Column] | Column, name: str = "island") -> DataFrame:

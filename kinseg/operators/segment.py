@@ -109,10 +109,14 @@ def depth_calls(windows: DataFrame, models: DataFrame, signal: DataFrame | None
 
 
 def annotated(merged: DataFrame, signal: DataFrame | None, bucket: int = 1_000_000) -> DataFrame:
-    """Types instead of states, mappability as score, without calls that are diploid in all samples."""
+    """Types instead of states, mappability as score, without calls that are diploid in all samples.
+
+    Contigs match whether or not the calls or the signal write chr before their names.
+    """
     calls = merged.filter(~((F.col("s0") == 2) & (F.col("s1") == 2) & (F.col("s2") == 2)))
     typed = calls.select("chrom", "start", "end", *(sv_type(F.col(s)).alias(f"type{i}") for i, s in enumerate(STATES)))
     if signal is None:
         return typed.select("*", F.lit(0.0).alias("score"), F.lit("RD").alias("evidence"))
-    scored = interval_mean_signal(typed, signal, bucket)
-    return scored.select("chrom", "start", "end", "type0", "type1", "type2", F.col("mappability").alias("score"), F.lit("RD").alias("evidence"))
+    plain = lambda df: df.withColumn("chrom", F.regexp_replace("chrom", "^chr", ""))
+    scored = interval_mean_signal(plain(typed.withColumn("_name", F.col("chrom"))), plain(signal), bucket)
+    return scored.select(F.col("_name").alias("chrom"), "start", "end", "type0", "type1", "type2", F.col("mappability").alias("score"), F.lit("RD").alias("evidence"))

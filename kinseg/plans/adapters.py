@@ -113,14 +113,14 @@ PAIRS = """pairs AS (
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third order as an excluded region of 1 to 400 bases."""
-    o = load(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0)
+    """Orders as excluded regions of 1 to 400 bases."""
+    o = load(spark, sf_dir, "orders")
     start = F.col("o_orderkey") * 1000 + F.col("o_custkey") % 600
     return o.select((F.col("o_orderkey") % 5).cast("string").alias("chrom"), start.alias("start"), (start + F.col("o_custkey") % 400).alias("end"))
 
 
 REGIONS = """regions AS (
-  SELECT (o_orderkey % 5)::VARCHAR AS chrom, o_orderkey * 1000 + o_custkey % 600 AS start, o_orderkey * 1000 + o_custkey % 600 + o_custkey % 400 AS "end" FROM orders WHERE o_orderkey % 3 = 0)"""
+  SELECT (o_orderkey % 5)::VARCHAR AS chrom, o_orderkey * 1000 + o_custkey % 600 AS start, o_orderkey * 1000 + o_custkey % 600 + o_custkey % 400 AS "end" FROM orders)"""
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,18 +133,18 @@ SIGNAL = "signal AS (SELECT '1' AS chrom, p_partkey * 100 AS start0, p_partkey *
 
 
 def calls(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
-    """Parts of even (0) or odd (1) key as calls along three contigs; lengths differ by size."""
-    p = load(spark, sf_dir, "part").filter(F.col("p_partkey") % 2 == side)
-    start = F.col("p_partkey") * 300 + F.col("p_size") * side
+    """Parts as calls along three contigs; lengths differ by size. Side 1 holds a call beside each of side 0, shifted by its size."""
+    p = load(spark, sf_dir, "part")
+    start = F.col("p_partkey") * 300 + F.col("p_size") * (10 * side)
     kinds = F.array(F.lit("DELETION"), F.lit("REFERENCE"), F.lit("DUPLICATION"))
     types = [F.element_at(kinds, (1 + (F.col("p_partkey") + i * F.col("p_size")) % 3).cast("int")).alias(f"type{i}") for i in range(3)]
-    return p.select(F.col("p_partkey").alias("call_id"), (1 + F.col("p_partkey").cast("long") / 2 % 3).cast("int").cast("string").alias("chrom"), start.alias("start"), (start + 200 + F.col("p_size") * 20).alias("end"), *types)
+    return p.select((F.col("p_partkey") * 2 + side).alias("call_id"), (1 + F.col("p_partkey").cast("long") / 2 % 3).cast("int").cast("string").alias("chrom"), start.alias("start"), (start + 200 + F.col("p_size") * 20).alias("end"), *types)
 
 
 def calls_sql(name: str, side: int) -> str:
     kind = lambda i: f"['DELETION', 'REFERENCE', 'DUPLICATION'][1 + (p_partkey + {i} * p_size) % 3] AS type{i}"
-    return f"""{name} AS (SELECT p_partkey AS call_id, trunc(1 + (p_partkey / 2) % 3)::INT::VARCHAR AS chrom, p_partkey * 300 + p_size * {side} AS start, p_partkey * 300 + p_size * {side} + 200 + p_size * 20 AS "end",
-  {kind(0)}, {kind(1)}, {kind(2)} FROM part WHERE p_partkey % 2 = {side})"""
+    return f"""{name} AS (SELECT p_partkey * 2 + {side} AS call_id, trunc(1 + (p_partkey / 2) % 3)::INT::VARCHAR AS chrom, p_partkey * 300 + p_size * {10 * side} AS start, p_partkey * 300 + p_size * {10 * side} + 200 + p_size * 20 AS "end",
+  {kind(0)}, {kind(1)}, {kind(2)} FROM part)"""
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:

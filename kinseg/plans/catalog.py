@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +57,17 @@ def gc_percent(spark, sf_dir):
 s AS (SELECT bin, substr(b, (bin * 150 + 2)::INT, 150) AS x FROM w)
 SELECT 'c' AS chrom, bin, CASE WHEN length(x) - length(replace(x, 'N', '')) >= 10 THEN -1 ELSE (100 * (2 * length(x) - length(replace(x, 'G', '')) - length(replace(x, 'C', ''))) // length(x))::INT END AS gc FROM s WHERE length(x) > 0""")
 def gc_windows(spark, sf_dir):
-    """The names of all parts, end to end, as one contig in uneven chunks."""
-    p = ad.load(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("bases"))
-
-    before = F.coalesce(F.sum(F.length("bases")).over(Window.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """The names of all parts, end to end, as one contig in uneven chunks.
+
+    A chunk begins after what the ranges of keys before its own hold, a table of
+    one row per thousand keys, and what comes before it within its range.
+    """
+    p = ad.load(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("bases")).withColumn("range", F.floor(F.col("p_partkey") / 1000))
+    earlier = lambda window, column: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = p.groupBy("range").agg(F.sum(F.length("bases")).alias("bases_in"))
+    totals = totals.select("range", earlier(Window.orderBy("range"), F.col("bases_in")).alias("offset"))
+    p = p.join(totals, "range")
+    before = F.col("offset") + earlier(Window.partitionBy("range").orderBy("p_partkey"), F.length("bases"))
     return depth.gc_windows(p.select(F.lit("c").alias("chrom"), (before + 1).cast("int").alias("chunk_start"), "bases"), 150)
 
 
@@ -235,6 +243,16 @@ def call_annotate(spark, sf_dir):
     return segment.annotated(merged, None).orderBy("chrom", "start", "end")
 
 
+@query(f"""WITH {MERGED} SELECT m.chrom, m.start, m."end", round(sum(w.mappability * (least(w."end", m."end") - greatest(w.start, m.start) + 1)) / (any_value(m."end") - any_value(m.start) + 1), {DIGITS}) AS score
+FROM merged m JOIN windows w ON w.chrom = m.chrom AND w.start <= m."end" AND m.start <= w."end" WHERE NOT (s0 = 2 AND s1 = 2 AND s2 = 2) GROUP BY m.chrom, m.contig, m.start, m."end" """)
+def call_score(spark, sf_dir):
+    """Mappability of depth calls where the signal writes chr before the names of contigs and the calls do not."""
+    merged = segment.majority_states(segment.gap_clusters(segment.state_runs(ad.states(spark, sf_dir))))
+    w = ad.windows(spark, sf_dir)
+    signal = w.select(F.concat(F.lit("chr"), "chrom").alias("chrom"), (F.col("start") - 1).alias("start0"), F.col("end").alias("end0"), F.col("mappability").alias("value"))
+    return segment.annotated(merged, signal).select("chrom", "start", "end", F.round("score", DIGITS).alias("score"))
+
+
 @query()
 def single_link(spark, sf_dir):
     return pairs.components(ad.pairs(spark, sf_dir), APART)
@@ -274,6 +292,23 @@ def pair_llr(spark, sf_dir):
     return p.groupBy("chrom", "place").agg(F.round(gain / (2.0 * ad.MAD * ad.MAD), DIGITS).alias("llr"))
 
 
+@query(f"""WITH {BOUNDS}, n AS (SELECT p.chrom, place, any_value(b.start) AS start, any_value(b."end") AS "end", count(*) FILTER (sample_idx = 0) AS f, count(*) FILTER (sample_idx = 1) AS m, count(*) FILTER (sample_idx = 2) AS o,
+  sum((x - {ad.MEDIAN}) ** 2 - (x - {ad.MEDIAN} - length) ** 2) / (2.0 * {ad.MAD} * {ad.MAD}) AS quality
+  FROM (SELECT *, left_first // 1000 AS at, right_second - left_first + 1 AS x FROM pairs) p JOIN (SELECT *, "end" - start + 1 AS length FROM b) b ON b.chrom = p.chrom AND b.place = p.at GROUP BY p.chrom, place)
+SELECT chrom, place, start, "end", CASE WHEN f > 1 THEN 'DELETION' ELSE 'REFERENCE' END AS type0, CASE WHEN m > 1 THEN 'DELETION' ELSE 'REFERENCE' END AS type1, CASE WHEN o > 1 THEN 'DELETION' ELSE 'REFERENCE' END AS type2, round(quality, {DIGITS}) AS quality
+FROM n WHERE (o > 1 AND (f > 1 OR m > 1)) OR (o > 2 AND f < 2 AND m < 2) OR (o < 2 AND (f > 2 OR m > 2))""")
+def clique_calls(spark, sf_dir):
+    """The pairs of each thousand bases as one clique each: bounds, types and likelihood ratio of those with support."""
+    p = ad.pairs(spark, sf_dir).withColumn("place", F.floor(F.col("left_first") / 1000))
+
+    def run(rows):
+        call = pairs.clique_call(rows, ad.MEDIAN, ad.MAD)
+        return None if call is None else pd.DataFrame([(rows["chrom"].iloc[0], rows["place"].iloc[0], *call)], columns=["chrom", "place", "start", "end", "type0", "type1", "type2", "quality"])
+
+    schema = "chrom string, place long, start long, end long, type0 string, type1 string, type2 string, quality double"
+    return relops.per_group(p, ["chrom", "place"], ["left_first", "sample_idx"], run, schema).withColumn("quality", F.round("quality", DIGITS))
+
+
 @query(f"""WITH {ad.calls_sql('p', 0)}, {ad.calls_sql('d', 1)}, m AS (SELECT p.call_id AS pid, d.call_id AS did FROM p JOIN d ON p.chrom = d.chrom AND p.start <= d."end" AND d.start <= p."end"
   WHERE least((least(p."end", d."end") - greatest(p.start, d.start) + 1) / (p."end" - p.start + 1), (least(p."end", d."end") - greatest(p.start, d.start) + 1) / (d."end" - d.start + 1)) > 0.5)
 SELECT chrom, start, "end", type0, type1, type2, CASE WHEN call_id IN (SELECT pid FROM m) THEN 'RD:RP' ELSE 'RP' END AS evidence FROM p
