@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinseg.functions.alignments import AUTOSOMES, maybe_discordant, sizes_insert, spans_deletion, spans_duplication
-from kinseg.operators.relops import overlap_join, pair_by_key, per_group
+from kinseg.operators.relops import Rows, overlap_join, pair_by_key, per_group
 
 SIZES_PER_SAMPLE = 1_000_000
+#: File positions are counted by ranges of so many.
+ORDS_PER_RANGE = 1_000_000
 SCALE, WIDTH = 1.4826, 3
 LEAST_PAIRS, MOST_PAIRS, LEAST_LENGTH = 3, 499, 50
 PLACE = ("left_first", "right_first", "left_second", "right_second")
@@ -17,9 +21,15 @@ PLACE = ("left_first", "right_first", "left_second", "right_second")
 
 def insert_sizes(reads: DataFrame, limit: int = SIZES_PER_SAMPLE) -> DataFrame:
     """sample, x: absolute insert sizes of the first `limit` eligible pairs of each sample in file order."""
-    order = Window.partitionBy("sample").orderBy("ord")
-    ranked = reads.filter(sizes_insert()).select("sample", "ord", F.abs("tlen").alias("x")).withColumn("_n", F.row_number().over(order))
-    return ranked.filter(F.col("_n") <= limit).select("sample", "x")
+    kept = reads.filter(sizes_insert()).select("sample", "ord", F.abs("tlen").alias("x")).withColumn("_range", F.floor(F.col("ord") / ORDS_PER_RANGE))
+    order = Window.partitionBy("sample").orderBy("_range")
+    counts = kept.groupBy("sample", "_range").agg(F.count("*").alias("_in"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") < limit)
+    placed = kept.join(counts, ["sample", "_range"])
+    # Ranges of file positions lie before the limit as a whole but for one of each sample, whose rows alone are ranked.
+    whole = F.col("_before") + F.col("_in") <= limit
+    last = placed.filter(~whole).withColumn("_n", F.row_number().over(Window.partitionBy("sample").orderBy("ord")))
+    return placed.filter(whole).select("sample", "x").unionByName(last.filter(F.col("_n") + F.col("_before") <= limit).select("sample", "x"))
 
 
 def insert_statistics(sizes: DataFrame, low: float = 0.05, high: float = 0.95, pad_to: int | None = None) -> DataFrame:
@@ -83,29 +93,31 @@ def pair_islands(pairs: DataFrame, apart: float) -> DataFrame:
     return marked.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def linked(rows: pd.DataFrame, apart: float, deletion: bool) -> list[int]:
-    """Component of each pair of a sorted island, greedily: a pair joins the first seed's group if it is near any member, the newest tried first.
+def linked(rows: Rows, apart: float, deletion: bool) -> list[int]:
+    """Component of each pair of a sorted island: its first pair's number.
 
-    A group stops looking once a pair lies further than `apart` from the member added last.
+    Each pair in turn joins the oldest group that is still open and has a member
+    near it, or opens one. A group is open as long as its newest member lies no further than `apart` behind.
     """
     first, inner, outer, far = (rows[c].tolist() for c in PLACE)
-    owner = [-1] * len(rows)
-    for seed in range(len(rows)):
-        if owner[seed] >= 0:
-            continue
-        owner[seed] = seed
-        members = [seed]
-        for other in range(seed + 1, len(rows)):
-            if owner[other] >= 0:
-                continue
-            if first[other] - first[members[-1]] > apart:
-                break
-            for member in reversed(members):
-                near = first[other] - first[member] < apart and abs(far[other] - far[member]) < apart
-                if near and (not deletion or max(inner[other], inner[member]) < min(outer[other], outer[member])):
-                    owner[other] = seed
-                    members.append(other)
-                    break
+    owner: list[int] = []
+    groups: list[list[int]] = []
+
+    def near(pair: int, group: list[int]) -> bool:
+        for member in reversed(group):
+            if first[pair] - first[member] >= apart:
+                return False
+            if abs(far[pair] - far[member]) < apart and (not deletion or max(inner[pair], inner[member]) < min(outer[pair], outer[member])):
+                return True
+        return False
+
+    for pair, at in enumerate(first):
+        groups = [g for g in groups if at - first[g[-1]] <= apart]
+        home = next((g for g in groups if near(pair, g)), None)
+        if home is None:
+            groups.append(home := [])
+        home.append(pair)
+        owner.append(home[0])
     return owner
 
 
@@ -118,19 +130,21 @@ def components(pairs: DataFrame, apart: float, least: int = LEAST_PAIRS, most: i
     sizes = cut.groupBy("chrom", "sv_type", "island").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     rows = cut.join(sizes, ["chrom", "sv_type", "island"]).select("chrom", "sv_type", "island", "sample_idx", *PLACE)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group["component"] = linked(group, apart, group["sv_type"].iloc[0] == "DELETION")
-        return group[group.groupby("component")["component"].transform("size").between(least, most)]
+    def run(group: Rows) -> Iterator[tuple]:
+        owner = np.array(linked(group, apart, group["sv_type"][0] == "DELETION"))
+        size = np.bincount(owner)[owner]
+        kept = np.flatnonzero((size >= least) & (size <= most))
+        return zip(*(group[c][kept].tolist() for c in ("chrom", "sv_type", "island", "sample_idx", *PLACE)), owner[kept].tolist())
 
     schema = "chrom string, sv_type string, island long, sample_idx int, left_first long, right_first long, left_second long, right_second long, component long"
     return per_group(rows, ["chrom", "sv_type", "island"], [*PLACE, "sample_idx"], run, schema)
 
 
-def neighbours(rows: pd.DataFrame, apart: float, deletion: bool) -> list[int]:
+def neighbours(rows: Rows, apart: float, deletion: bool) -> list[int]:
     """Bit sets of compatible pairs. The gap test of deletions looks at the later pair only."""
     first, inner, outer, far = (rows[c].tolist() for c in PLACE)
-    near = [0] * len(rows)
-    for j in range(len(rows)):
+    near = [0] * len(first)
+    for j in range(len(first)):
         if deletion and inner[j] >= outer[j]:
             continue
         for i in range(j):
@@ -178,15 +192,15 @@ def supported(father: int | Column, mother: int | Column, offspring: int | Colum
     return ((o > 1) & ((f > 1) | (m > 1))) | ((o > 2) & (f < 2) & (m < 2)) | ((o < 2) & ((f > 2) | (m > 2)))
 
 
-def likelihood_ratio(sizes: pd.Series, length: float, median: float, mad: float) -> float:
+def likelihood_ratio(sizes: np.ndarray, length: float, median: float, mad: float) -> float:
     """Log-likelihood gain of fragment sizes when the event of that length explains them, under Normal sizes of sd mad."""
     x = sizes - median
     return float((x**2 - (x - length) ** 2).sum() / (2 * mad * mad)) if mad > 0 else 0.0
 
 
-def clique_call(rows: pd.DataFrame, median: int, mad: int) -> tuple | None:
+def clique_call(rows: Rows, median: int, mad: int) -> tuple | None:
     """(start, end, type0..2, quality) of one clique, None without support."""
-    kind = rows["sv_type"].iloc[0]
+    kind = rows["sv_type"][0]
     counts = [int((rows["sample_idx"] == i).sum()) for i in range(3)]
     if not supported(*counts):
         return None
@@ -194,7 +208,7 @@ def clique_call(rows: pd.DataFrame, median: int, mad: int) -> tuple | None:
         start, end = int(rows["right_first"].max()), int(rows["left_second"].min())
         quality = likelihood_ratio(rows["right_second"] - rows["left_first"] + 1, end - start + 1, median, mad)
     else:
-        start, end, quality = int(rows["right_first"].min()), int(rows["left_second"].max()), float(len(rows))
+        start, end, quality = int(rows["right_first"].min()), int(rows["left_second"].max()), float(len(rows["right_first"]))
     return start, end, *(kind if n > 1 else "REFERENCE" for n in counts), quality
 
 
@@ -204,13 +218,12 @@ def pair_calls(found: DataFrame, apart: float, median: int, mad: int) -> DataFra
     chrom, start, end, type0..2, score, evidence RP; calls of 50 bases or fewer are not kept.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame | None:
-        near = neighbours(group, apart, group["sv_type"].iloc[0] == "DELETION")
-        calls = [c for q in maximum_cliques(near) if (c := clique_call(group.iloc[list(_bits(q))], median, mad)) and c[-1] > -1]
-        if not calls:
-            return None
-        best = min(calls, key=lambda c: (-c[-1], c[:2]))
-        return pd.DataFrame([(group["chrom"].iloc[0], *best)], columns=["chrom", "start", "end", "type0", "type1", "type2", "score"])
+    def run(group: Rows) -> Iterator[tuple]:
+        near = neighbours(group, apart, group["sv_type"][0] == "DELETION")
+        cliques = (list(_bits(q)) for q in maximum_cliques(near))
+        calls = [c for q in cliques if (c := clique_call({n: x[q] for n, x in group.items()}, median, mad)) and c[-1] > -1]
+        if calls:
+            yield group["chrom"][0], *min(calls, key=lambda c: (-c[-1], c[:2]))
 
     schema = "chrom string, start long, end long, type0 string, type1 string, type2 string, score double"
     calls = per_group(found, ["chrom", "sv_type", "island", "component"], [*PLACE, "sample_idx"], run, schema)

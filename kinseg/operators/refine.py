@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinseg.functions.alignments import PAIRED, has, left_clipped, one_end_anchored, orientation, right_clipped, soft_clip_evidence
-from kinseg.operators.relops import islands, merge_intervals, overlap_join, per_group, top1
+from kinseg.operators.relops import Rows, islands, merge_intervals, overlap_join, per_group, top1
 
 TYPES = ("type0", "type1", "type2")
 MARGIN, MOST_READS, LEAST_READS = 1000, 1999, 2
@@ -35,16 +35,16 @@ def reciprocal_overlaps(pair_calls: DataFrame, depth_calls: DataFrame, share: fl
     return ours.unionByName(theirs)
 
 
-def merged_heads(calls: pd.DataFrame, share: float) -> pd.DataFrame:
+def merged_heads(calls: Rows, share: float) -> Iterator[tuple]:
     """The merge of one stretch of calls with `evidence` RP or RD, sorted by start and end.
 
     The first calls of either kind meet. Apart, the one that ends first is done.
     Overlapping, both are done: as one call at the pair call's place if either
     is covered by more than `share`, else as two.
     """
-    start, end, kind = (calls[c].to_numpy() for c in ("start", "end", "evidence"))
+    start, end, kind = calls["start"], calls["end"], calls["evidence"]
     lines = {k: deque(np.flatnonzero(kind == k).tolist()) for k in ("RP", "RD")}
-    joint, gone = set(), set()
+    evidence = dict(enumerate(kind))
     while all(lines.values()):
         heads = [line[0] for line in lines.values()]
         common = end[heads].min() - start[heads].max() + 1
@@ -52,12 +52,12 @@ def merged_heads(calls: pd.DataFrame, share: float) -> pd.DataFrame:
             lines[kind[min(heads, key=lambda i: end[i])]].popleft()
             continue
         if (common > share * (end[heads] - start[heads] + 1)).all():
-            joint.add(heads[0])
-            gone.add(heads[1])
+            evidence[heads[0]] = "RD:RP"
+            del evidence[heads[1]]
         for line in lines.values():
             line.popleft()
-    merged = calls.assign(evidence=["RD:RP" if i in joint else k for i, k in enumerate(kind)])
-    return merged.drop(index=list(gone))
+    for i, how in evidence.items():
+        yield *(calls[c][i] for c in ("chrom", "start", "end", *TYPES)), how
 
 
 def merge_calls(pair_calls: DataFrame, depth_calls: DataFrame, share: float = 0.5) -> DataFrame:
@@ -74,8 +74,7 @@ def merge_calls(pair_calls: DataFrame, depth_calls: DataFrame, share: float = 0.
         return before.isNull() | (F.col("start") > before)
 
     both = islands(name(pair_calls, "RP").unionByName(name(depth_calls, "RD")), ["chrom"], ["start", "end"], begins)
-    columns.append("evidence")
-    return per_group(both, ["chrom", "island"], ["start", "end", *TYPES], lambda calls: merged_heads(calls, share)[columns], CALL)
+    return per_group(both, ["chrom", "island"], ["start", "end", *TYPES], lambda calls: merged_heads(calls, share), CALL)
 
 
 def breakpoint_windows(calls: DataFrame, size: int = 400) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -303,7 +302,7 @@ def clique_calls(spark, sf_dir):
 
     def run(rows):
         call = pairs.clique_call(rows, ad.MEDIAN, ad.MAD)
-        return None if call is None else pd.DataFrame([(rows["chrom"].iloc[0], rows["place"].iloc[0], *call)], columns=["chrom", "place", "start", "end", "type0", "type1", "type2", "quality"])
+        return [] if call is None else [(rows["chrom"][0], rows["place"][0], *call)]
 
     schema = "chrom string, place long, start long, end long, type0 string, type1 string, type2 string, quality double"
     return relops.per_group(p, ["chrom", "place"], ["left_first", "sample_idx"], run, schema).withColumn("quality", F.round("quality", DIGITS))
