@@ -495,9 +495,8 @@ def test_pieces_match_the_original_library(odd, none, documents):
     assert pieces.digests(none, model).count() == 0
 
 
-def test_unigram_models_are_rebuilt_too(tmp_path):
-    """A unigram model file written by hand: pieces with scores, byte fallback and no squeezing."""
-    from sentencepiece import SentencePieceProcessor
+def model_file(folder, name, pieces_, kind, squeeze=0):
+    """A model file written by hand: normal pieces with scores or user-defined ones, control and byte pieces, byte fallback."""
 
     def varint(n):
         out = b""
@@ -512,11 +511,48 @@ def test_unigram_models_are_rebuilt_too(tmp_path):
         return message(1, message(1, text.encode()) + varint(2 << 3 | 5) + np.float32(score).tobytes() + varint(3 << 3) + varint(kind))
 
     parts = [piece("<unk>", 0, 2), piece("<s>", 0, 3), piece("</s>", 0, 3), *(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))]
-    parts += [piece(t, s, 1) for t, s in (("▁", -3), ("a", -3), ("b", -3), ("ab", -2), ("▁ab", -1.5), ("ba", -2.2))]
-    trainer = varint(3 << 3) + varint(1) + varint(35 << 3) + varint(1)
-    normaliser = message(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(0)
-    file = tmp_path / "own.model"
+    parts += [piece(*p) for p in pieces_]
+    trainer = varint(3 << 3) + varint(kind) + varint(35 << 3) + varint(1)
+    normaliser = message(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(squeeze)
+    file = folder / name
     file.write_bytes(b"".join(parts) + message(2, trainer) + message(3, normaliser))
-    codec, original = pieces.Codec(str(file)), SentencePieceProcessor(model_file=str(file))
-    for text in ("ab", "abba", "ab ab", "aba é b"):
-        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == original.encode(text)
+    return str(file)
+
+
+OWN = [(t, s, 1) for t, s in (("▁", -3), ("a", -3), ("b", -3), ("ab", -2), ("▁ab", -1.5), ("ba", -2.2))]
+ANGLES = [(t, s, 1) for t, s in (("<", -4), (">", -4), ("s", -4), ("/", -4.5), ("0", -4), ("x", -4), ("4", -4), ("1", -4), ("u", -5))]
+TEXTS = ["", "ab", "abba", "ab ab", "aba é b", "a<s>b", "</s>", "<0x41>", "ab <0x41>é<unk>", "a  b", " ab ", "\nab \n", "ab ", "é\U0001f600a"]
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("more", [[], ANGLES, [("a b".replace(" ", "▁"), -1.0, 1)]])
+def test_unigram_models_are_rebuilt_too(tmp_path, more, squeeze):
+    """Names of control and byte pieces are plain text in a text; a piece with a marker inside reaches across words."""
+    from sentencepiece import SentencePieceProcessor
+
+    file = model_file(tmp_path, "own.model", OWN + more, 1, squeeze)
+    codec, original = pieces.Codec(file), SentencePieceProcessor(model_file=file)
+    for text in TEXTS:
+        ids = np.frombuffer(codec.encode([text])[0], "<u4").tolist()
+        assert ids == original.encode(text), text
+        assert codec.decode([ids]) == [" ".join(filter(None, text.split(" "))) if squeeze else text]
+    assert not codec.bad and not codec.lossy
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_user_defined_pieces(tmp_path, kind):
+    """Of merges they are atoms; among unigrams they compete by a score of their own."""
+    from sentencepiece import SentencePieceProcessor
+
+    file = model_file(tmp_path, "atoms.model", OWN + ANGLES + [("<sep>", 0, 4), ("bab", 0, 4)], kind)
+    codec, original = pieces.Codec(file), SentencePieceProcessor(model_file=file)
+    for text in [*TEXTS, "ab<sep>ab", "<sep>", "a <sep> b", "abab", "bab a", "ba<sep><sep>"]:
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == original.encode(text), text
+
+
+def test_texts_are_compared_as_wholes(tmp_path):
+    codec = pieces.Codec(path("piece_bpe_32k.model"))
+    codec.whole = 1
+    texts = ["some words of a text", "", "é ẞ 漢字 and  more"]
+    ids = codec.encode(texts)
+    assert codec.differs(texts, ids) == [False] * 3 and codec.differs(texts, [ids[2], ids[0], ids[1]]) == [True] * 3
