@@ -23,7 +23,7 @@ MAX_REPEAT_PERCENT = 50
 FIRST_BYTE, PAST_BYTES = 3, 259
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai")
 #: A worker keeps the pieces of so many distinct words, then starts anew.
-KEPT = 400_000
+KEPT = 200_000
 #: A band reaches so many interquartile ranges from the median; both sides are also at least FLOOR wide,
 #: about the reach that the distinct texts of one language give.
 REACH = 4.0

@@ -26,7 +26,7 @@ LEAST_DOCS = 20
 STEPS, RATE, MOMENTUM, DECAY, SEED = 30, 100.0, 0.9, 0.003, 7
 FOLDS = 5
 #: A worker keeps the weights of so many distinct words, then starts anew.
-KEPT = 500_000
+KEPT = 200_000
 
 
 def subwords(word: str) -> list[int]:

@@ -13,7 +13,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 #: Words of these characters need no normaliser but lowering; others go through the library as they are.
 PLAIN = regex.compile(r"[!-~¡-Ƞ]+")
 #: A worker keeps the ids of so many distinct words, then starts anew.
-KEPT = 500_000
+KEPT = 200_000
 
 
 class WordIds(dict):
