@@ -74,7 +74,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         reads = trio_reads(spark, args.bams, args.ped)
         load = lambda name: spark.read.parquet(f"{args.input}/{name}")
         final = api.refined(load("depth"), load("pairs"), reads, tables.fasta(spark, args.reference), load("parameters"), args.size, args.deviation)
-        tables.write_calls(final, args.output)
+        family = tables.trios(tables.pedigree(spark, args.ped)).orderBy("family_id").first()
+        tables.write_calls(final, args.output, [family.father, family.mother, family.offspring])
 
 
 if __name__ == "__main__":

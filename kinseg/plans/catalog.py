@@ -316,7 +316,14 @@ def reciprocal_overlap_merge(spark, sf_dir):
     return refine.reciprocal_overlaps(ad.calls(spark, sf_dir, 0), ad.calls(spark, sf_dir, 1), 0.5, 1000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ad.calls_sql('p', 0)}, {ad.calls_sql('d', 1)},
+ps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, "end", type0, type1, type2) AS n FROM p), ds AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, "end", type0, type1, type2) AS n FROM d),
+met AS (SELECT a.chrom, a.n AS i, b.n AS j, least(a."end", b."end") - greatest(a.start, b.start) + 1 AS common, a."end" - a.start + 1 AS pl, b."end" - b.start + 1 AS dl, a."end" <= b."end" AS mine FROM ps a JOIN ds b USING (chrom) WHERE a.n = 1 AND b.n = 1
+  UNION ALL SELECT a.chrom, a.n, b.n, least(a."end", b."end") - greatest(a.start, b.start) + 1, a."end" - a.start + 1, b."end" - b.start + 1, a."end" <= b."end"
+  FROM met JOIN ps a ON a.chrom = met.chrom AND a.n = i + (common > 0 OR mine)::INT JOIN ds b ON b.chrom = met.chrom AND b.n = j + (common > 0 OR NOT mine)::INT),
+hits AS (SELECT chrom, i, j FROM met WHERE common > 0.5 * pl AND common > 0.5 * dl)
+SELECT ps.chrom, start, "end", type0, type1, type2, CASE WHEN i IS NULL THEN 'RP' ELSE 'RD:RP' END AS evidence FROM ps LEFT JOIN hits ON hits.chrom = ps.chrom AND i = n
+UNION ALL SELECT ds.chrom, start, "end", type0, type1, type2, 'RD' FROM ds LEFT JOIN hits ON hits.chrom = ds.chrom AND j = n WHERE j IS NULL""")
 def ordered_merge(spark, sf_dir):
     return refine.merge_calls(ad.calls(spark, sf_dir, 0), ad.calls(spark, sf_dir, 1))
 

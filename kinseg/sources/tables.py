@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,28 +52,60 @@ def read_depth(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 
 
 def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of all files of a folder, typed by the suffix .DEL or .DUP of their names."""
-    rows = spark.read.csv(folder, sep="\t", schema=schemas.PAIRS, pathGlobFilter="*.{DEL,DUP}").withColumn("_file", F.input_file_name())
-    return rows.withColumn("sv_type", F.when(F.col("_file").endswith(".DEL"), "DELETION").otherwise("DUPLICATION")).drop("_file")
+    """Pairs of all files, or folders of files, of a folder, typed by the suffix .DEL or .DUP of their names."""
+    rows = spark.read.csv(f"{folder}/*.{{DEL,DUP}}", sep="\t", schema=schemas.PAIRS).withColumn("_file", F.col("_metadata.file_path"))
+    kind = F.when(F.col("_file").rlike(r"\.DEL(/[^/]*)?$"), "DELETION").otherwise("DUPLICATION")
+    return rows.withColumn("sv_type", kind).drop("_file")
 
 
 def calls(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, schemas.CALLS)
 
 
+def final_calls(spark: SparkSession, path: str) -> DataFrame:
+    """The table that write_calls() leaves."""
+    return _tsv(spark, path, schemas.FINAL)
+
+
 def signal(spark: SparkSession, path: str) -> DataFrame:
     """A bedGraph file: chrom, 0-based start, exclusive end, value."""
     return _tsv(spark, path, schemas.SIGNAL)
 
 
+def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines in file order with the number of heads (segment) and of bases before them since the block began or the last head."""
+    block, segment, offset = None, 0, 0
+    for batch in batches:
+        for key, lines in batch.groupby(["file", "block"], sort=False):
+            if key != block:
+                block, segment, offset = key, 0, 0
+            head = lines["value"].str.startswith(">")
+            bases = lines["value"].str.replace(r"\s+", "", regex=True).mask(head, "")
+            after = bases.str.len().cumsum() + offset
+            since = after.where(head).ffill().fillna(0).astype("int64")
+            numbers = segment + head.cumsum()
+            name = lines["value"].str.extract(r"^>\s*(\S+)", expand=False)
+            yield pd.DataFrame({"file": key[0], "block": key[1], "segment": numbers, "name": name, "offset": after - bases.str.len() - since, "bases": bases})
+            segment, offset = int(numbers.iloc[-1]), int(after.iloc[-1] - since.iloc[-1])
+
+
 def fasta(spark: SparkSession, path: str, chunk: int = REFERENCE_CHUNK) -> DataFrame:
-    """Contigs of a FASTA file in chunks (chrom, chunk_start, bases). Records are split at their heads, so a task holds one contig at a time."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
-    head = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    bases = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s+", "")
-    contigs = records.select(head.alias("chrom"), bases.alias("all")).filter(F.length("all") > 0)
-    starts = contigs.select("chrom", "all", F.explode(F.sequence(F.lit(1), F.length("all"), F.lit(chunk))).alias("chunk_start"))
-    return starts.select("chrom", "chunk_start", F.expr(f"substring(all, chunk_start, {chunk})").alias("bases"))
+    """Contigs of FASTA files in chunks (chrom, chunk_start, bases), each of the whole lines that begin within `chunk` bases.
+
+    Lines keep their place by the block of the file they were read with. Where a contig
+    goes on from block to block, sums per block and contig, a small table, tell what lies before; so no
+    task holds more than a block or a chunk. The head is the name up to the first space.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    found = lines.mapInPandas(_numbered, "file string, block long, segment long, name string, offset long, bases string")
+    sums = found.groupBy("file", "block", "segment").agg(F.max("name").alias("name"), F.sum(F.length("bases")).alias("n"))
+    order = Window.partitionBy("file").orderBy("block", "segment")
+    named = sums.withColumn("chrom", F.last("name", ignorenulls=True).over(order)).withColumn("contig", F.count("name").over(order))
+    earlier = Window.partitionBy("file", "contig").orderBy("block", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.select("file", "block", "segment", "chrom", "contig", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = found.filter("bases <> ''").join(named.filter("chrom is not null"), ["file", "block", "segment"]).withColumn("at", F.col("before") + F.col("offset"))
+    parts = placed.groupBy("file", "contig", "chrom", F.floor(F.col("at") / chunk).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "bases"))).alias("lines"))
+    return parts.select("chrom", (F.col("lines")[0]["at"] + 1).cast("int").alias("chunk_start"), F.array_join(F.transform("lines", lambda x: x["bases"]), "").alias("bases"))
 
 
 def sam(spark: SparkSession, path: str, sample: str | None = None, bam_ord: int = 0) -> DataFrame:
@@ -96,11 +131,17 @@ def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=header)
 
 
-def write_calls(df: DataFrame, path: str) -> None:
-    """Calls sorted by contig name, start and end, in one file: a table of thousands of rows."""
-    write_tsv(df.orderBy("chrom", "start", "end").coalesce(1), path)
+def write_calls(df: DataFrame, path: str, names: list[str] | None = None) -> None:
+    """Calls sorted by contig name, start and end, in one file, a table of thousands of rows; with the samples' names, below a header."""
+    calls = df.select(*(f.split()[0] for f in schemas.FINAL.split(", "))).orderBy("chrom", "start", "end").coalesce(1)
+    heads = ["#CHROM", "START", "END", *(names or ["FATHER", "MOTHER", "OFFSPRING"]), "Evidence"]
+    # A comment sign of its own keeps the writer from quoting the head that begins with #.
+    calls.toDF(*heads).write.mode("overwrite").option("comment", "~").csv(path, sep="\t", header=names is not None)
 
 
 def write_pairs(df: DataFrame, path: str) -> None:
-    """Pairs as Parquet, a folder per contig and type, sorted by place within."""
-    df.repartition("chrom", "sv_type").sortWithinPartitions("left_first", "left_second").write.mode("overwrite").partitionBy("chrom", "sv_type").parquet(path)
+    """Pairs as text, a folder <contig>.DEL or <contig>.DUP each, sorted by place within their files."""
+    suffix = F.when(F.col("sv_type") == "DELETION", ".DEL").otherwise(".DUP")
+    rows = df.select(F.concat("chrom", suffix).alias("pairs"), *(f.split()[0] for f in schemas.PAIRS.split(", ")))
+    ranged = rows.repartitionByRange("pairs", "left_first", "left_second").sortWithinPartitions("pairs", "left_first", "left_second")
+    ranged.write.mode("overwrite").partitionBy("pairs").csv(path, sep="\t")
