@@ -175,7 +175,23 @@ def inheritance_table(spark, sf_dir):
     return _table(spark, tensors.inheritance(), "fmo")
 
 
-HAPLOTYPES = "hap(c1, c2, a1, a2, b1, b2, w) AS (VALUES " + ", ".join(f"({c1},{c2},{s[0]},{s[1]},{s[3]},{s[4]},({w.replace('b', str(tensors.B))})::DOUBLE)" for (c1, c2), splits in tensors.HAPLOTYPES.items() for s, w in splits) + "), rows AS (SELECT * FROM hap UNION ALL SELECT c2, c1, a2, a1, b2, b1, w FROM hap WHERE c1 <> c2), gam AS (SELECT c1, c2, a1 AS x, a2 AS y, w / 2 AS w FROM rows UNION ALL SELECT c1, c2, b1, b2, w / 2 FROM rows)"
+#: Fixed values, typed here on their own so that the SQL does not follow the table it checks: copies before and after, both haplotypes, weight.
+HAPLOTYPES = """hap(c1, c2, a1, a2, b1, b2, w) AS (VALUES
+  (0,0,0,0,0,0,(1)::DOUBLE),
+  (0,1,0,0,0,1,(1)::DOUBLE),
+  (0,2,0,0,0,2,(0.0009)::DOUBLE), (0,2,0,1,0,1,(1-0.0009)::DOUBLE),
+  (0,3,0,0,0,3,(0.0009)::DOUBLE), (0,3,0,1,0,2,(1-0.0009)::DOUBLE),
+  (0,4,0,1,0,3,(.5)::DOUBLE), (0,4,0,2,0,2,(.5)::DOUBLE),
+  (1,1,0,0,1,1,(1)::DOUBLE),
+  (1,2,0,0,1,2,(0.0009)::DOUBLE), (1,2,0,1,1,1,(1-0.0009)::DOUBLE),
+  (1,3,0,0,1,3,(0.0009)::DOUBLE), (1,3,0,2,1,1,(1-0.0009)::DOUBLE),
+  (1,4,0,3,1,1,(.5)::DOUBLE), (1,4,0,2,1,2,(.5)::DOUBLE),
+  (2,2,1,1,1,1,(1-0.0009)::DOUBLE), (2,2,0,0,2,2,(0.0009)::DOUBLE),
+  (2,3,1,1,1,2,(1-0.0009)::DOUBLE), (2,3,0,0,2,3,(0.0009)::DOUBLE),
+  (2,4,1,1,1,3,(.5-0.0009/2)::DOUBLE), (2,4,1,2,1,2,(.5-0.0009/2)::DOUBLE), (2,4,0,2,2,2,(0.0009)::DOUBLE),
+  (3,3,0,0,3,3,(0.0009)::DOUBLE), (3,3,1,1,2,2,(1-0.0009)::DOUBLE),
+  (3,4,1,1,2,3,(.5)::DOUBLE), (3,4,1,2,2,2,(.5)::DOUBLE),
+  (4,4,2,2,2,2,(.5)::DOUBLE), (4,4,1,1,3,3,(.5)::DOUBLE)), rows AS (SELECT * FROM hap UNION ALL SELECT c2, c1, a2, a1, b2, b1, w FROM hap WHERE c1 <> c2), gam AS (SELECT c1, c2, a1 AS x, a2 AS y, w / 2 AS w FROM rows UNION ALL SELECT c1, c2, b1, b2, w / 2 FROM rows)"""
 
 
 @query(f"WITH {HAPLOTYPES} SELECT f.c1 AS f1, f.c2 AS f2, m.c1 AS m1, m.c2 AS m2, least(4, f.x + m.x) AS o1, least(4, f.y + m.y) AS o2, round(sum(f.w * m.w), 9) AS value FROM gam f, gam m GROUP BY ALL")
