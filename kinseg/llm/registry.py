@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from kinseg.llm import brown, chat, counts, exact, fertility, packing, pages, pieces, simhash, toxicity
+from kinseg.llm import align, balls, brown, chat, counts, exact, fertility, mixing, packing, pages, pieces, simhash, toxicity
 from kinseg.llm.shared import table
 
 
@@ -80,6 +80,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.ball_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def clusters_sql(rounds: int) -> str:
+    """Plain k-means over all pairs of vectors and centroids, one pair of steps a round."""
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64)""", """e AS MATERIALIZED (SELECT r, unnest(generate_series(1, 64)) AS i, unnest(x) AS x FROM v)""", """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT x, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v) ORDER BY h, x LIMIT 8)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT e.r, c.k, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS d FROM e JOIN (SELECT k, unnest(generate_series(1, 64)) AS i, unnest(x) AS x FROM c{n}) c USING (i) GROUP BY ALL) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+  SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM e JOIN a{n} USING (r) GROUP BY k, i) GROUP BY k) m USING (k))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (r) JOIN c{rounds} c USING (k)"""
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -90,9 +117,12 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OPERATORS = [op1_simhash_dedup, op2_main_text, op3_quality_rules, op4_toxicity, op5_chat_format, op6_lm_scores, op7_packing, op8_exact_dedup, op9_sentencepiece, op10_token_counts, op11_token_alignment, op12_source_mixing, op13_ball_clusters]
+
+
 def queries():
-    return {"pipeline": corpus_pipeline.run, "op1_simhash_dedup": op1_simhash_dedup, "op2_main_text": op2_main_text, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_lm_scores": op6_lm_scores, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_token_counts": op10_token_counts}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
 
 
 def oracles():
-    return {"op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op13_ball_clusters": clusters_sql(balls.ROUNDS)}
