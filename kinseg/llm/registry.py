@@ -94,8 +94,8 @@ def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clusters_sql(rounds: int) -> str:
     """Plain k-means over all pairs of vectors and centroids, one pair of steps a round."""
-    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64)""", """e AS MATERIALIZED (SELECT r, unnest(generate_series(1, 64)) AS i, unnest(x) AS x FROM v)""", """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT x, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v) ORDER BY h, x LIMIT 8)"""]
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64)""", """e AS MATERIALIZED (SELECT r, unnest(generate_series(1, 64)) AS i, unnest(x) AS x FROM v)""", """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT x, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v) ORDER BY h, x LIMIT 8)"""]
     for n in range(rounds + 1):
         steps.append(f"""a{n} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
   SELECT e.r, c.k, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS d FROM e JOIN (SELECT k, unnest(generate_series(1, 64)) AS i, unnest(x) AS x FROM c{n}) c USING (i) GROUP BY ALL) GROUP BY r)""")
