@@ -223,7 +223,8 @@ class Mix:
         Blocks and slots are joined by source and block number. A block has at most as many
         documents as words and is drawn at most once an epoch, so no key is hot.
         """
-        met = self.drawn.join(pieces(self.documents, self.block) if cut is None else cut, ["source_no", "block"])
+        # Spark takes the drawn slots for as few as their shards, and would send them all to every executor.
+        met = self.drawn.hint("merge").join(pieces(self.documents, self.block) if cut is None else cut, ["source_no", "block"])
         return met.withColumn("n", F.least("n", F.col("words") - F.col("from"))).filter("n > 0").drop("size", "words", "block")
 
     def taken(self) -> DataFrame:
