@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 from functools import reduce
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinseg.operators import refine
 from kinseg.plans import api
 from kinseg.sources import tables
 
@@ -36,9 +38,17 @@ def parser() -> argparse.ArgumentParser:
         third.add_argument(flag, required=True)
     third.add_argument("--size", type=int, default=400)
     third.add_argument("--deviation", type=float, default=9)
+    third.add_argument("--assembler", type=named, default=refine.contigs, help="module:function in place of the library's own")
+    third.add_argument("--aligner", type=named, default=refine.split_alignments, help="module:function in place of the library's own")
     return top
 
 
+def named(name: str):
+    """The function that module:function names."""
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
 def trio_reads(spark: SparkSession, bams: str, ped: str) -> DataFrame:
     """Records of the listed SAM files with sample_idx by the pedigree's first family; a sample outside it is an error."""
     paths = [r.value for r in spark.read.text(bams).collect() if r.value.strip()]
@@ -73,7 +83,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         reads = trio_reads(spark, args.bams, args.ped)
         load = lambda name: spark.read.parquet(f"{args.input}/{name}")
-        final = api.refined(load("depth"), load("pairs"), reads, tables.fasta(spark, args.reference), load("parameters"), args.size, args.deviation)
+        final = api.refined(load("depth"), load("pairs"), reads, tables.fasta(spark, args.reference), load("parameters"), args.size, args.deviation, args.assembler, args.aligner)
         family = tables.trios(tables.pedigree(spark, args.ped)).orderBy("family_id").first()
         tables.write_calls(final, args.output, [family.father, family.mother, family.offspring])
 

@@ -6,15 +6,18 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinseg.functions.alignments import PAIRED, has, left_clipped, one_end_anchored, orientation, right_clipped, soft_clip_evidence
+from kinseg.functions.alignments import PAIRED, SECONDARY, SUPPLEMENTARY, has, left_clipped, one_end_anchored, orientation, right_clipped, soft_clip_evidence
+from kinseg.operators.alignment import contig_breakpoints, split_alignments
+from kinseg.operators.assembly import contigs
 from kinseg.operators.relops import Rows, islands, merge_intervals, overlap_join, per_group, top1
 
 TYPES = ("type0", "type1", "type2")
 MARGIN, MOST_READS, LEAST_READS = 1000, 1999, 2
+Assembler = Callable[[DataFrame], DataFrame]
+Aligner = Callable[[DataFrame, DataFrame], DataFrame]
 CALL = "chrom string, start long, end long, type0 string, type1 string, type2 string, evidence string"
 
 
@@ -130,9 +133,11 @@ def supporting_pairs(calls: DataFrame, reads: DataFrame, parameters: DataFrame,
     """call_id, sample_idx, bam_ord, qname, seq1, seq2: read pairs in a call's windows that are clipped, half mapped or discordant.
 
     Mates outside the windows are found by name. Per call and sample at most
-    `limit` pairs in file order count; later files are skipped once one overflows.
+    `limit` pairs in file order count; later files are skipped once one overflows. Secondary and supplementary
+    records are no mates.
     """
     windows = breakpoint_windows(calls, size)
+    reads = reads.filter(~has(SECONDARY | SUPPLEMENTARY))
     types = calls.select("call_id", F.posexplode(F.array(*TYPES)).alias("sample_idx", "type")).filter("type <> 'REFERENCE'")
     inside = overlap_join(reads, windows, bucket).filter((F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end")))
     inside = inside.withColumnRenamed("r_call_id", "call_id").join(types, ["call_id", "sample_idx"])
@@ -152,105 +157,46 @@ def supporting_pairs(calls: DataFrame, reads: DataFrame, parameters: DataFrame,
     return kept.select("call_id", "sample_idx", "bam_ord", "qname", "seq1", "seq2")
 
 
-def assemble(reads: list[str], least: int = 20) -> list[str]:
-    """Contigs by joining the reads with the longest exact overlaps of at least `least` bases; the default assembler, for windows of some kilobases."""
-    parts = sorted(set(filter(None, reads)), key=lambda r: (-len(r), r))
-    parts = [r for i, r in enumerate(parts) if not any(r in longer for longer in parts[:i])]
-    heads: dict[str, list[int]] = {}
-    for i, r in enumerate(parts):
-        heads.setdefault(r[:least], []).append(i)
-    joins = []
-    for i, r in enumerate(parts):
-        for at in range(1, len(r) - least + 1):
-            for j in heads.get(r[at : at + least], ()):
-                if j != i and parts[j].startswith(r[at:]):
-                    joins.append((len(r) - at, i, j))
-    after: dict[int, tuple[int, int]] = {}
-    taken: set[int] = set()
-    root = list(range(len(parts)))
-    for n, i, j in sorted(joins, key=lambda x: (-x[0], x[1:])):
-        if i not in after and j not in taken and root[i] != root[j]:
-            after[i] = (j, n)
-            taken.add(j)
-            old, new = root[j], root[i]
-            root = [new if r == old else r for r in root]
-    out = []
-    for i in range(len(parts)):
-        if i not in taken:
-            text, at = parts[i], i
-            while at in after:
-                at, n = after[at]
-                text += parts[at][n:]
-            out.append(text)
-    return out
-
-
-def split_align(contig: str, window: str, least: int = 20) -> tuple[tuple[int, int], tuple[int, int]] | None:
-    """((start, end), (start, end)), 1-based in window: where the longest head and the rest of a contig lie exactly, both unique; None if they do not."""
-    for cut in range(len(contig) - least, least - 1, -1):
-        head, tail = contig[:cut], contig[cut:]
-        a = window.find(head)
-        if a >= 0 and window.find(head, a + 1) < 0:
-            b = window.find(tail)
-            if b >= 0 and window.find(tail, b + 1) < 0 and b != a + cut:
-                return (a + 1, a + cut), (b + 1, b + len(tail))
-            return None
-    return None
-
-
-def assembled_breakpoints(calls: DataFrame, pairs: DataFrame, reference: DataFrame, size: int = 400, assembler: Callable = assemble, aligner: Callable = split_align) -> DataFrame:
-    """calls with evidence :BP at the breakpoints that contigs of their supporting reads show.
-
-    A call with too few or too many reads, or without contigs, goes; one whose
-    contigs align nowhere as a split stays as it was if both kinds of evidence made it. pairs: supporting_pairs();
-    reference: chunks (chrom, chunk_start, bases). One task holds one call: fewer than 2000 pairs and a few kilobases.
-    """
+def call_windows(calls: DataFrame, reference: DataFrame, size: int = 400, margin: int = MARGIN) -> DataFrame:
+    """call_id, bases, origin: the reference (chunks chrom, chunk_start, bases) around each call, from position `origin` on."""
     outer = size // 2
-    low, high = F.greatest(F.col("start") - outer - MARGIN, F.lit(1)), F.col("end") + outer + MARGIN
+    low, high = F.greatest(F.col("start") - outer - margin, F.lit(1)), F.col("end") + outer + margin
     wanted = calls.select("call_id", "chrom", low.alias("start"), high.alias("end"))
     chunks = reference.select("chrom", F.col("chunk_start").alias("start"), (F.col("chunk_start") + F.length("bases") - 1).alias("end"), "bases")
     met = overlap_join(wanted, chunks, 10_000)
     skip = F.greatest(F.col("start") - F.col("r_start"), F.lit(0))
     piece = F.substring("r_bases", (skip + 1).cast("int"), (F.least("end", "r_end") - F.greatest("start", "r_start") + 1).cast("int"))
-    window = met.groupBy("call_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r_start", piece.alias("p")))), lambda x: x["p"]), "").alias("bases"), F.min("start").alias("origin"))
+    pieces = F.sort_array(F.collect_list(F.struct("r_start", piece.alias("p"))))
+    return met.groupBy("call_id").agg(F.array_join(F.transform(pieces, lambda x: x["p"]), "").alias("bases"), F.min("start").alias("origin"))
+
+
+def assembled_breakpoints(calls: DataFrame, pairs: DataFrame, reference: DataFrame, size: int = 400, assembler: Assembler = contigs, aligner: Aligner = split_alignments) -> DataFrame:
+    """calls with evidence :BP at the breakpoints that contigs of their supporting reads show.
+
+    A call with too few or too many reads, or without contigs, goes; one whose
+    contigs align nowhere as a split stays as it was if both kinds of evidence made it. pairs: supporting_pairs().
+    assembler: (call_id, seq) to (call_id, contig, seq); aligner: these and (call_id, bases) to the columns of split_alignments().
+    """
     sized = pairs.groupBy("call_id").agg(F.count("*").alias("n")).filter(F.col("n").between(LEAST_READS, MOST_READS)).select("call_id")
-    reads = pairs.join(sized, "call_id").groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("bam_ord", "qname", "seq1", "seq2"))).alias("reads"))
-    rows = calls.join(reads, "call_id").join(window, "call_id")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                contigs = assembler([s for x in r.reads for s in (x["seq1"], x["seq2"])])
-                if not contigs:
-                    continue
-                types, found = (r.type0, r.type1, r.type2), None
-                for contig in contigs:
-                    if (at := aligner(contig, r.bases)) is None:
-                        continue
-                    (_, head_end), (tail_start, tail_end) = at
-                    if "DELETION" in types:
-                        edges = head_end + 1, tail_start - 1
-                    else:
-                        edges = tail_start, head_end
-                    edges = tuple(r.origin - 1 + e for e in edges)
-                    if edges[0] < edges[1]:
-                        found = edges
-                        break
-                if found:
-                    out.append((r.chrom, *found, *types, f"{r.evidence}:BP"))
-                elif r.evidence.count(":") == 1:
-                    out.append((r.chrom, r.start, r.end, *types, r.evidence))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in CALL.split(", ")])
-
-    return rows.select("call_id", "chrom", "start", "end", *TYPES, "evidence", "reads", "bases", "origin").mapInPandas(run, CALL)
-
-
-def refine_calls(calls: DataFrame, reads: DataFrame, reference: DataFrame, parameters: DataFrame, size: int = 400, deviation: float = 9) -> DataFrame:
-    """Final calls: soft clips decide where they can, assembly where they cannot."""
+    reads = pairs.join(sized, "call_id").select("call_id", F.explode(F.array("seq1", "seq2")).alias("seq"))
+    built = assembler(reads).select("call_id", "contig", "seq")
+    windows = call_windows(calls, reference, size)
+    places = contig_breakpoints(calls, aligner(built, windows.join(built.select("call_id").distinct(), "call_id")))
+    shift = F.col("origin") - 1
+    places = places.join(windows.select("call_id", "origin"), "call_id").select("call_id", (F.col("start") + shift).alias("_start"), (F.col("end") + shift).alias("_end"))
+    rows = calls.join(built.select("call_id").distinct(), "call_id").join(places, "call_id", "left")
+    shown = F.col("_start").isNotNull()
+    both = F.size(F.split("evidence", ":")) == 2
+    edge = lambda own, new: F.when(shown, F.col(new)).otherwise(F.col(own)).cast("long").alias(own)
+    evidence = F.when(shown, F.concat("evidence", F.lit(":BP"))).otherwise(F.col("evidence")).alias("evidence")
+    return rows.filter(shown | both).select("chrom", edge("start", "_start"), edge("end", "_end"), *TYPES, evidence)
+
+
+def refine_calls(calls: DataFrame, reads: DataFrame, reference: DataFrame, parameters: DataFrame, size: int = 400, deviation: float = 9, assembler: Assembler = contigs, aligner: Aligner = split_alignments) -> DataFrame:
+    """Final calls: soft clips decide where they can, assembly and alignment of contigs where they cannot."""
     numbered = calls.withColumn("call_id", F.xxhash64(*calls.columns))
     clipped = soft_clip_breakpoints(numbered, reads, size)
     sharp = numbered.drop("start", "end").join(clipped, "call_id").withColumn("evidence", F.concat("evidence", F.lit(":BP")))
     rest = numbered.join(clipped.select("call_id"), "call_id", "left_anti")
-    built = assembled_breakpoints(rest, supporting_pairs(rest, reads, parameters, size, deviation), reference, size)
+    built = assembled_breakpoints(rest, supporting_pairs(rest, reads, parameters, size, deviation), reference, size, assembler, aligner)
     return sharp.select("chrom", "start", "end", *TYPES, "evidence").unionByName(built)

@@ -37,7 +37,7 @@ def call(prepared: Prepared, signal: DataFrame | None = None, exclude: DataFrame
     return by_depth, by_pairs
 
 
-def refined(by_depth: DataFrame, by_pairs: DataFrame, reads: DataFrame, reference: DataFrame, parameters: DataFrame, size: int = 400, deviation: float = 9) -> DataFrame:
-    """Final calls: both kinds merged, then refined."""
+def refined(by_depth: DataFrame, by_pairs: DataFrame, reads: DataFrame, reference: DataFrame, parameters: DataFrame, size: int = 400, deviation: float = 9, assembler: refine.Assembler = refine.contigs, aligner: refine.Aligner = refine.split_alignments) -> DataFrame:
+    """Final calls: both kinds merged, then refined. Another assembler or aligner may take the place of the library's own."""
     merged = refine.merge_calls(by_pairs, by_depth)
-    return refine.refine_calls(merged, reads, reference, parameters, size, deviation).orderBy("chrom", "start", "end")
+    return refine.refine_calls(merged, reads, reference, parameters, size, deviation, assembler, aligner).orderBy("chrom", "start", "end")

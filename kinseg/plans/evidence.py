@@ -103,18 +103,20 @@ def viterbi_optimum(spark, sf_dir):
 LIMIT = 3
 
 
-@query(f"""WITH {ad.ALIGNMENTS}, {ad.calls_sql('c', 0)}, reads AS (SELECT * REPLACE (flag | CASE WHEN start % 13 = 0 THEN 8 ELSE 0 END AS flag), start::VARCHAR AS seq FROM alignments),
+@query(f"""WITH {ad.ALIGNMENTS}, {ad.calls_sql('c', 0)}, reads AS (SELECT * REPLACE (flag | CASE WHEN start % 13 = 0 THEN 8 ELSE 0 END | CASE start % 10 WHEN 3 THEN 256 WHEN 7 THEN 2048 ELSE 0 END AS flag), start::VARCHAR AS seq FROM alignments),
+primary_ AS (SELECT * FROM reads WHERE flag & 2304 = 0),
 spots AS (SELECT call_id, chrom, start - 200 AS s, CASE WHEN "end" - start + 1 > 400 THEN start + 200 ELSE "end" + 200 END AS e FROM c UNION ALL SELECT call_id, chrom, "end" - 200, "end" + 200 FROM c WHERE "end" - start + 1 > 400),
 kinds AS (SELECT call_id, unnest([0, 1, 2]) AS sample_idx, unnest([type0, type1, type2]) AS type FROM c),
-names AS (SELECT DISTINCT s.call_id, r.sample_idx, k.type, r.qname FROM reads r JOIN spots s ON s.chrom = r.chrom AND r.start >= s.s AND r."end" <= s.e JOIN kinds k ON k.call_id = s.call_id AND k.sample_idx = r.sample_idx WHERE k.type <> 'REFERENCE'),
+names AS (SELECT DISTINCT s.call_id, r.sample_idx, k.type, r.qname FROM primary_ r JOIN spots s ON s.chrom = r.chrom AND r.start >= s.s AND r."end" <= s.e JOIN kinds k ON k.call_id = s.call_id AND k.sample_idx = r.sample_idx WHERE k.type <> 'REFERENCE'),
 both_ AS (SELECT n.call_id, n.sample_idx, n.qname, min(r.ord) AS ord, max((cigar LIKE '%S%' OR (flag & 4 = 4) <> (flag & 8 = 8))::INT) AS shown,
     min(CASE n.type WHEN 'DELETION' THEN (facing = 'FR' AND abs(tlen) > 250 + 10 * 9)::INT ELSE (facing = 'RF')::INT END) AS odd, max(seq) FILTER (flag & 64 = 64) AS seq1, max(seq) FILTER (flag & 64 = 0) AS seq2
-  FROM reads r JOIN names n USING (sample_idx, qname) WHERE flag & 1 = 1 GROUP BY ALL),
+  FROM primary_ r JOIN names n USING (sample_idx, qname) WHERE flag & 1 = 1 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY call_id, sample_idx ORDER BY ord, qname) AS i FROM both_ WHERE (shown = 1 OR odd = 1) AND seq1 <> seq2),
 stops AS (SELECT call_id, min(sample_idx) AS stop FROM ranked WHERE i >= {LIMIT} GROUP BY call_id)
 SELECT call_id, sample_idx, sample_idx AS bam_ord, qname, seq1, seq2 FROM ranked LEFT JOIN stops USING (call_id) WHERE i <= {LIMIT} AND (stop IS NULL OR sample_idx <= stop)""")
 def supporting_pairs(spark, sf_dir):
-    """Pairs around the breakpoints of calls; some mates are unmapped, and a call stops at three pairs of a file."""
+    """Pairs around the breakpoints of calls; some mates are unmapped, some records secondary or supplementary, and a call stops at three pairs of a file."""
     reads = ad.alignments(spark, sf_dir).withColumn("seq", F.col("start").cast("string"))
-    reads = reads.withColumn("flag", F.when(F.col("start") % 13 == 0, F.col("flag").bitwiseOR(F.lit(8))).otherwise(F.col("flag")))
+    odd = F.when(F.col("start") % 13 == 0, 8).otherwise(0) + F.when(F.col("start") % 10 == 3, 256).when(F.col("start") % 10 == 7, 2048).otherwise(0)
+    reads = reads.withColumn("flag", F.col("flag").bitwiseOR(odd))
     return refine.supporting_pairs(ad.calls(spark, sf_dir, 0), reads, _parameters(spark), limit=LIMIT)

@@ -202,17 +202,6 @@ def test_mode_takes_the_first_of_equals(spark):
     assert refine.mode(v.limit(0), ["k"], "v", ["i"]).count() == 0
 
 
-def test_assembly_and_split_alignment():
-    rng = np.random.default_rng(5)
-    window = "".join(rng.choice(list("ACGT"), 600))
-    event = window[:200] + window[350:]
-    reads_ = [event[i : i + 80] for i in range(100, 300, 20)]
-    contigs = refine.assemble(reads_)
-    assert len(contigs) == 1
-    (_, head_end), (tail_start, _) = refine.split_align(contigs[0], window)
-    assert tail_start - head_end - 1 == 150
-
-
 def test_orientation(spark):
     r = spark.createDataFrame([(32, 100, 199, 300, 300), (16, 300, 399, 100, -300), (0, 100, 199, 300, 300), (16, 100, 199, 300, 300)], "flag int, start int, end int, mate_start int, tlen int")
     assert [x[0] for x in r.select(alignments.orientation()).collect()] == ["FR", "FR", "TANDEM", "RF"]
