@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinseg.plans import adapters as ad
 from kinseg.plans.catalog import query
-from kinseg.sources import tables
+from kinseg.sources import bam, tables
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -63,6 +63,42 @@ def interval_file(spark, sf_dir):
     return tables.intervals(spark, path)
 
 
+BINARY = f"""{ad.ALIGNMENTS}, binary_ AS (SELECT qname, flag, chrom, (chrom::INT - 1)::INT AS ref_idx, start, start + CASE cigar WHEN '100M' THEN 99 ELSE 69 END AS "end", mapq, cigar, mate_start, tlen, md5(qname || start) AS letters, ord FROM alignments)"""
+
+
+def binary_reads(spark, sf_dir):
+    """Line items as alignments with letters and tags, sorted by place, as three binary files."""
+    letters = F.translate(F.md5(F.concat("qname", "start")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = ad.alignments(spark, sf_dir).select("qname", "flag", "chrom", "start", "mapq", "cigar", "mate_ref_idx", "mate_start", "tlen", letters.alias("seq"), F.rpad(F.lit("I"), 32, "F#").alias("qual"), F.create_map(F.lit("XO"), F.col("ord").cast("string")).alias("tags"))
+    return rows.repartitionByRange(3, "chrom", "start").sortWithinPartitions("chrom", "start")
+
+
+def binary_file(spark, sf_dir) -> str:
+    path = folder(spark, "reads")
+    bam.write_bam(binary_reads(spark, sf_dir), path, [(str(i), 1 << 29) for i in range(1, 6)], "s")
+    return path
+
+
+@query(f"""WITH {BINARY} SELECT qname, flag, chrom, ref_idx, start, "end", mapq, cigar, mate_start, tlen, translate(letters, '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, rpad('I', 32, 'F#') AS qual, ord::VARCHAR AS tag FROM binary_""")
+def bam_file(spark, sf_dir):
+    """Written by tasks and read in parts of 200 kB."""
+    found = bam.read_bam(spark, binary_file(spark, sf_dir), split=200_000)
+    return found.select("qname", "flag", "chrom", "ref_idx", "start", "end", "mapq", "cigar", "mate_start", "tlen", "seq", "qual", F.element_at("tags", "XO").alias("tag"))
+
+
+@query(f"""WITH {BINARY}, w AS (SELECT (o_orderkey % 5)::INT AS ref_idx, o_custkey * 700 AS lo, o_custkey * 700 + o_orderkey % 400 AS hi FROM orders WHERE o_orderstatus = 'P')
+SELECT DISTINCT qname, flag, chrom, start, ord::VARCHAR AS tag FROM binary_ b WHERE EXISTS (SELECT 1 FROM w WHERE w.ref_idx = b.ref_idx AND b.start <= w.hi AND w.lo <= b."end")""")
+def indexed_file(spark, sf_dir):
+    """Reads of the places of some orders by way of the index."""
+    path = binary_file(spark, sf_dir)
+    where = folder(spark, "index")
+    bam.build_index(bam.read_bam(spark, path, split=200_000, extra=True)).write.parquet(where)
+    o = ad.load(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    low = F.col("o_custkey") * 700
+    windows = o.select((F.col("o_orderkey") % 5).cast("int").alias("ref_idx"), low.cast("int").alias("start"), (low + F.col("o_orderkey") % 400).cast("int").alias("end"))
+    return bam.indexed_reads(spark, path, spark.read.parquet(where), windows).select("qname", "flag", "chrom", "start", F.element_at("tags", "XO").alias("tag"))
+
+
 CALL_COLUMNS = ("chrom", "start", "end", "type0", "type1", "type2")
 
 
