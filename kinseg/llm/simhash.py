@@ -364,13 +364,28 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
     return found.unionByName(compared(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))))
 
 
+def near_texts(prints: DataFrame, max_distance: int, segments: int, crowd: int) -> DataFrame:
+    """(a, b): texts of prints(fp, print), a key and a fingerprint each, to compare: those of fingerprints within max_distance bits.
+
+    Of texts with one fingerprint one stands for all: it meets each of the others, and the ones that stand for near fingerprints.
+    """
+    first = written(prints.groupBy("print").agg(F.min("fp").alias("of")), "first-of-print")
+    near = links(first.select(F.col("print").alias("fp")), max_distance, segments, crowd).select("a", "b")
+    ends = [first.select(F.col("print").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab"]
+    apart = near.join(ends[0], "a").join(ends[1], "b").select("of_a", "of_b")
+    same = prints.join(first, "print").filter("fp <> of").select("of", "fp")
+    both = apart.toDF("x", "y").unionByName(same.toDF("x", "y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance: int = 2, segments: int = 2, crowd: int = CROWD) -> DataFrame:
     """docs with one row of each group of near copies, all columns as they came.
 
-    Texts are linked whose fingerprints are equal, or whose sets of word shingles
-    have a Jaccard similarity of at least `least`. Candidates are fingerprints
-    within max_distance bits; but near that similarity they differ in some ten
+    Texts are linked whose sets of word shingles have a Jaccard similarity of at
+    least `least`. Candidates have fingerprints within max_distance bits, equal
+    ones included; but near that similarity they differ in some ten
     bits, more than segment balls can reach at scale, so sampled segments give candidates as well.
+    Whole texts decide on every link: texts that repeat one passage may share a fingerprint and little else.
     The row with the smallest doc_id of a group stays (a null id after all
     others; of rows that tie, one). Null and empty texts are one group; empty in, empty out. Texts are
     sketched once; decisions are made on slim rows, and texts move only for candidates and groups of several rows.
@@ -379,13 +394,14 @@ def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance:
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     key, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
     marked = plain.withColumn("sketch", sketch_column(whole(text), words)).withColumn("row", F.monotonically_increasing_id())
-    marked = written(marked.select(*plain.columns, "row", "sketch.*"), "marked")
-    prints = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("row")), "prints")
+    sketched = [F.col(f"sketch.{c}").alias(c) for c in ("segments", "size", "outline")]
+    marked = written(marked.select(*plain.columns, "row", F.xxhash64(whole(text)).alias("fp"), F.col("sketch.fp").alias("print"), *sketched), "marked")
+    prints = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("print").alias("print")), "prints")
     repeated = prints.filter("n > 1").select("fp", F.col("row").alias("first_row"))
     if repeated.count() <= BROADCAST_KEYS:
         repeated = F.broadcast(repeated)
     one_each = marked.join(repeated, "fp", "left").filter("first_row is null or first_row = row")
-    near = links(prints.select("fp"), max_distance, segments, crowd)
+    near = near_texts(prints, max_distance, segments, crowd)
     roots = components(similar(one_each.select("fp", "segments", "size", "outline", whole(text).alias("text")), near, words, least))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")

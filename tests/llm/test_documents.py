@@ -155,6 +155,17 @@ def changed(base, seed, n=2):
     return " ".join(out)
 
 
+def test_drop_near_compares_texts_of_one_fingerprint(spark):
+    """A shingle in over half of the places decides every bit; texts that share it and little else all stay, their copies go."""
+    tails = [prose(900 + i, 40) for i in range(6)]
+    texts = ["- " * 45 + tail for tail in tails] + ["- " * 45 + tails[0] + " end"]
+    assert len({simhash.sketch(t, 5)[0] for t in texts}) == 1
+    alike = simhash.similarity(texts[0], texts[6], 5)
+    assert alike >= 0.8 and max(simhash.similarity(texts[0], t, 5) for t in texts[1:6]) < 0.1
+    df = spark.createDataFrame(list(enumerate([*texts, texts[2]])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_drop_near_links_a_thousand_copies_through_their_base(spark):
     base = prose(21, 100).split()
     rows = [(5000, " ".join(base))] + [(i, changed(base, i)) for i in range(1000)] + [(6000, prose(22, 100))]
