@@ -140,50 +140,37 @@ def components(pairs: DataFrame, apart: float, least: int = LEAST_PAIRS, most: i
     return per_group(rows, ["chrom", "sv_type", "island"], [*PLACE, "sample_idx"], run, schema)
 
 
-def neighbours(rows: Rows, apart: float, deletion: bool) -> list[int]:
-    """Bit sets of compatible pairs. The gap test of deletions looks at the later pair only."""
-    first, inner, outer, far = (rows[c].tolist() for c in PLACE)
-    near = [0] * len(first)
-    for j in range(len(first)):
-        if deletion and inner[j] >= outer[j]:
-            continue
-        for i in range(j):
-            if abs(first[j] - first[i]) < apart and abs(far[j] - far[i]) < apart:
-                near[i] |= 1 << j
-                near[j] |= 1 << i
-    return near
-
-
-def _bits(mask: int):
-    while mask:
-        low = mask & -mask
-        yield low.bit_length() - 1
-        mask ^= low
+def largest_cliques(rows: Rows, apart: float, deletion: bool) -> list[list[int]]:
+    """All largest sets of pairs that lie less than `apart` from each other at both their ends, each in order.
 
-
-def maximum_cliques(near: list[int]) -> list[int]:
-    """All cliques of the largest size, as bit sets, by search with pivots that gives up branches too small to matter."""
-    best: list[int] = []
+    Such pairs are points of the plane within one square, which may be moved until the leftmost and
+    the lowest of them lie on its sides. So a sweep over the lefts, with the heights of each strip sorted, meets
+    every set. A deletion's pair whose reads overlap goes with later pairs only, and those must have a gap.
+    """
+    first, far = rows["left_first"], rows["right_second"]
+    gap = rows["right_first"] < rows["left_second"] if deletion else np.ones(len(first), bool)
+    best: list[bytes] = []
     size = 0
-    stack = [(0, (1 << len(near)) - 1, 0)]
-    while stack:
-        clique, open_, done = stack.pop()
-        if not open_:
-            if not done:
-                n = clique.bit_count()
-                if n > size:
-                    best, size = [clique], n
-                elif n == size:
-                    best.append(clique)
-            continue
-        if clique.bit_count() + open_.bit_count() < size:
+    for i in range(len(first)):
+        # The strip holds pair i and, from it on, those to its right; equal lefts are met by the first of them.
+        strip = np.flatnonzero((first >= first[i]) & (first - first[i] < apart) & gap)
+        if not gap[i]:
+            later = strip[strip > i]
+            strip = np.append(later[np.abs(far[later] - far[i]) < apart], i)
+        if len(strip) < size:
             continue
-        pivot = max(_bits(open_ | done), key=lambda v: (near[v] & open_).bit_count())
-        for v in _bits(open_ & ~near[pivot]):
-            stack.append((clique | 1 << v, open_ & near[v], done & near[v]))
-            open_ &= ~(1 << v)
-            done |= 1 << v
-    return best
+        strip = strip[np.argsort(far[strip], kind="stable")]
+        height = far[strip]
+        stop = np.searchsorted(height, height + apart, side="left")
+        own = np.arange(len(strip))
+        low = int(np.flatnonzero(strip == i)[0])
+        counts = np.where((own <= low) & (stop > low), stop - own, 0)
+        most = int(counts.max())
+        if most > size:
+            best, size = [], most
+        if most == size:
+            best += [np.sort(strip[k : stop[k]]).tobytes() for k in np.flatnonzero(counts == most)]
+    return [np.frombuffer(q, np.int64).tolist() for q in dict.fromkeys(best)]
 
 
 def supported(father: int | Column, mother: int | Column, offspring: int | Column):
@@ -219,8 +206,7 @@ def pair_calls(found: DataFrame, apart: float, median: int, mad: int) -> DataFra
     """
 
     def run(group: Rows) -> Iterator[tuple]:
-        near = neighbours(group, apart, group["sv_type"][0] == "DELETION")
-        cliques = (list(_bits(q)) for q in maximum_cliques(near))
+        cliques = largest_cliques(group, apart, group["sv_type"][0] == "DELETION")
         calls = [c for q in cliques if (c := clique_call({n: x[q] for n, x in group.items()}, median, mad)) and c[-1] > -1]
         if calls:
             yield group["chrom"][0], *min(calls, key=lambda c: (-c[-1], c[:2]))

@@ -112,6 +112,11 @@ PAIRS = """pairs AS (
   FROM (SELECT *, l_orderkey * 1000 + l_partkey % 7 * 20 AS first FROM lineitem))"""
 
 
+def typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pairs(), those of one contig in five as duplications."""
+    return pairs(spark, sf_dir).withColumn("sv_type", F.when(F.col("chrom") == "3", "DUPLICATION").otherwise("DELETION"))
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as excluded regions of 1 to 400 bases."""
     o = load(spark, sf_dir, "orders")

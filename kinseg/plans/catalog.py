@@ -268,14 +268,40 @@ def call_score(spark, sf_dir):
     return segment.annotated(merged, signal).select("chrom", "start", "end", F.round("score", DIGITS).alias("score"))
 
 
-@query()
+PLACES = "left_first, right_first, left_second, right_second"
+#: Islands by the gaps between first places, and in each the pairs one after another: each joins the oldest group with a pair near it.
+LINKED = f"""{ad.PAIRS}, typed AS (SELECT *, CASE chrom WHEN '3' THEN 'DUPLICATION' ELSE 'DELETION' END AS sv_type FROM pairs),
+marked AS (SELECT *, CASE WHEN left_first - lag(left_first) OVER w >= {APART} OR lag(left_first) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM typed WINDOW w AS (PARTITION BY chrom, sv_type ORDER BY {PLACES}, sample_idx)),
+placed AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom, sv_type ORDER BY {PLACES}, sample_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM marked),
+counted AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom, sv_type, island ORDER BY {PLACES}, sample_idx) AS n, count(*) OVER (PARTITION BY chrom, sv_type, island) AS size FROM placed),
+lists AS MATERIALIZED (SELECT chrom, sv_type, island, list(left_first ORDER BY n) AS x, list(right_first ORDER BY n) AS a, list(left_second ORDER BY n) AS b, list(right_second ORDER BY n) AS y, count(*) AS size FROM counted WHERE size >= 3 GROUP BY ALL),
+walk AS (SELECT *, 1::BIGINT AS n, [0::BIGINT] AS owners FROM lists UNION ALL
+  SELECT chrom, sv_type, island, x, a, b, y, size, n + 1, list_append(owners, coalesce(list_min([owners[m] FOR m IN generate_series(1, n) IF x[n + 1] - x[m] < {APART} AND abs(y[n + 1] - y[m]) < {APART}
+    AND (sv_type = 'DUPLICATION' OR greatest(a[n + 1], a[m]) < least(b[n + 1], b[m]))]), n)) FROM walk WHERE n < size),
+owned AS (SELECT chrom, sv_type, island, unnest(owners) AS component, unnest(generate_series(1, size)) AS n FROM walk WHERE n = size),
+sized AS (SELECT *, count(*) OVER (PARTITION BY chrom, sv_type, island, component) AS members FROM owned),
+linked AS MATERIALIZED (SELECT c.chrom, c.sv_type, c.island, sample_idx, {PLACES}, component, c.n FROM counted c JOIN sized s ON s.chrom = c.chrom AND s.sv_type = c.sv_type AND s.island = c.island AND s.n = c.n WHERE members BETWEEN 3 AND 499)"""
+
+
+@query(f"WITH RECURSIVE {LINKED} SELECT chrom, sv_type, island, sample_idx, {PLACES}, component FROM linked")
 def single_link(spark, sf_dir):
-    return pairs.components(ad.pairs(spark, sf_dir), APART)
-
-
-@query()
+    return pairs.components(ad.typed_pairs(spark, sf_dir), APART)
+
+
+#: Every square with a pair on its left and a pair on its lower side; the fullest are the largest cliques.
+@query(f"""WITH RECURSIVE {LINKED}, inside AS (SELECT i.chrom, i.sv_type, i.island, i.component, i.n AS i, j.n AS j, k.* EXCLUDE (chrom, sv_type, island, component)
+  FROM linked i JOIN linked j USING (chrom, sv_type, island, component) JOIN linked k USING (chrom, sv_type, island, component)
+  WHERE k.left_first >= i.left_first AND k.left_first - i.left_first < {APART} AND k.right_second >= j.right_second AND k.right_second - j.right_second < {APART}),
+full_ AS (SELECT chrom, sv_type, island, component, i, j, count(*) AS n, count(*) FILTER (sample_idx = 0) AS f, count(*) FILTER (sample_idx = 1) AS m, count(*) FILTER (sample_idx = 2) AS o,
+  CASE sv_type WHEN 'DELETION' THEN max(right_first) ELSE min(right_first) END AS start, CASE sv_type WHEN 'DELETION' THEN min(left_second) ELSE max(left_second) END AS "end",
+  list(right_second - left_first + 1 - {ad.MEDIAN}) AS sizes FROM inside GROUP BY chrom, sv_type, island, component, i, j),
+scored AS (SELECT *, CASE sv_type WHEN 'DUPLICATION' THEN n ELSE list_sum([s * s - (s - ("end" - start + 1)) * (s - ("end" - start + 1)) FOR s IN sizes]) / (2.0::DOUBLE * {ad.MAD} * {ad.MAD}) END AS score, max(n) OVER (PARTITION BY chrom, sv_type, island, component) AS most FROM full_),
+kept AS (SELECT *, row_number() OVER (PARTITION BY chrom, sv_type, island, component ORDER BY score DESC, start, "end") AS r FROM scored WHERE n = most AND score > -1 AND ((o > 1 AND (f > 1 OR m > 1)) OR (o > 2 AND f < 2 AND m < 2) OR (o < 2 AND (f > 2 OR m > 2))))
+SELECT chrom, start, "end", CASE WHEN f > 1 THEN sv_type ELSE 'REFERENCE' END AS type0, CASE WHEN m > 1 THEN sv_type ELSE 'REFERENCE' END AS type1, CASE WHEN o > 1 THEN sv_type ELSE 'REFERENCE' END AS type2, round(score, {DIGITS}) AS score, 'RP' AS evidence
+FROM kept WHERE r = 1 AND "end" - start + 1 > 50""")
 def max_clique(spark, sf_dir):
-    return pairs.pair_calls(pairs.components(ad.pairs(spark, sf_dir), APART), APART, ad.MEDIAN, ad.MAD)
+    calls = pairs.pair_calls(pairs.components(ad.typed_pairs(spark, sf_dir), APART), APART, ad.MEDIAN, ad.MAD)
+    return calls.withColumn("score", F.round("score", DIGITS))
 
 
 @query(f"""WITH {ad.PAIRS}, l AS (SELECT *, CASE WHEN left_first - lag(left_first) OVER w >= {APART} OR lag(left_first) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM pairs WINDOW w AS (PARTITION BY chrom ORDER BY left_first, right_first, left_second, right_second, sample_idx)),

@@ -162,15 +162,55 @@ def test_support_rule():
     assert all(bool(pairs.supported(*c)) == want for c, want in cases)
 
 
-def test_maximum_cliques_by_enumeration():
-    rng = np.random.default_rng(4)
-    for _ in range(20):
-        n = 9
-        adj = np.triu(rng.random((n, n)) < 0.5, 1)
-        near = [sum(1 << j for j in range(n) if adj[i, j] or adj[j, i]) for i in range(n)]
-        full = [m for m in range(1, 1 << n) if all(m & ~near[i] == 1 << i for i in range(n) if m >> i & 1)]
-        size = max(m.bit_count() for m in full)
-        assert sorted(pairs.maximum_cliques(near)) == sorted(m for m in full if m.bit_count() == size)
+def compatible(rows, apart, deletion):
+    """Neighbours of each pair, by the rule for two of them; the gap test looks at the later one only."""
+    n = len(rows["left_first"])
+    near = [set() for _ in range(n)]
+    for j in range(n):
+        for i in range(j if not deletion or rows["right_first"][j] < rows["left_second"][j] else 0):
+            if abs(rows["left_first"][j] - rows["left_first"][i]) < apart and abs(rows["right_second"][j] - rows["right_second"][i]) < apart:
+                near[i].add(j)
+                near[j].add(i)
+    return near
+
+
+def cliques_by_search(near):
+    best, size, stack = [], 0, [([], set(range(len(near))))]
+    while stack:
+        clique, open_ = stack.pop()
+        if len(clique) > size:
+            best, size = [], len(clique)
+        if len(clique) == size:
+            best.append(clique)
+        stack += [([*clique, v], {u for u in open_ & near[v] if u > v}) for v in open_]
+    return sorted(best)
+
+
+def sorted_pairs(rng, n, width):
+    first = np.sort(rng.integers(0, width, n))
+    inner = first + rng.integers(1, 12, n)
+    outer = first + rng.integers(4, 30, n)
+    return {"left_first": first, "right_first": inner, "left_second": outer, "right_second": outer + rng.integers(1, 30, n)}
+
+
+@pytest.mark.parametrize("seed", range(60))
+@pytest.mark.parametrize("deletion", [True, False])
+def test_largest_cliques_by_search(seed, deletion):
+    rng = np.random.default_rng(seed)
+    rows_ = sorted_pairs(rng, int(rng.integers(1, 14)), int(rng.integers(1, 40)))
+    got = pairs.largest_cliques(rows_, 12.5, deletion)
+    assert sorted(got) == cliques_by_search(compatible(rows_, 12.5, deletion))
+
+
+def test_largest_cliques_of_a_large_component_are_fast():
+    import time
+
+    rows_ = sorted_pairs(np.random.default_rng(1), pairs.MOST_PAIRS, 900)
+    start = time.process_time()
+    found = pairs.largest_cliques(rows_, 150.5, True)
+    assert time.process_time() - start < 1
+    near = compatible(rows_, 150.5, True)
+    assert found and all(v in near[u] for q in found for u in q for v in q if u != v)
 
 
 def test_exclude_pairs(spark):
