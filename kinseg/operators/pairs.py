@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinseg.functions.alignments import AUTOSOMES, maybe_discordant, sizes_insert, spans_deletion, spans_duplication
-from kinseg.operators.relops import Rows, overlap_join, pair_by_key, per_group
+from kinseg.operators.relops import Rows, islands, overlap_join, pair_by_key, per_group
 
 SIZES_PER_SAMPLE = 1_000_000
 #: File positions are counted by ranges of so many.
@@ -87,10 +87,8 @@ def maximum_parameters(parameters: DataFrame) -> tuple[int, int]:
 
 def pair_islands(pairs: DataFrame, apart: float) -> DataFrame:
     """pairs plus island: cut where the first positions lie `apart` or more from the one before, as no link crosses that."""
-    order = Window.partitionBy("chrom", "sv_type").orderBy(*PLACE, "sample_idx")
-    before = F.lag("left_first").over(order)
-    marked = pairs.withColumn("_new", F.when(before.isNull() | (F.col("left_first") - before >= apart), 1).otherwise(0))
-    return marked.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    far = F.col("left_first") - F.col("_before") >= apart
+    return islands(pairs, ["chrom", "sv_type"], [*PLACE, "sample_idx"], {"_before": ("max", "left_first")}, far)
 
 
 def linked(rows: Rows, apart: float, deletion: bool) -> list[int]:

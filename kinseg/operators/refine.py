@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from kinseg.functions.alignments import PAIRED, SECONDARY, SUPPLEMENTARY, has, left_clipped, one_end_anchored, orientation, right_clipped, soft_clip_evidence
 from kinseg.operators.alignment import contig_breakpoints, split_alignments
 from kinseg.operators.assembly import contigs
-from kinseg.operators.relops import Rows, islands, merge_intervals, overlap_join, per_group, top1
+from kinseg.operators.relops import Rows, merge_intervals, overlap_join, overlapping, per_group, top1
+from kinseg.sources.scratch import settled
 
 TYPES = ("type0", "type1", "type2")
 MARGIN, MOST_READS, LEAST_READS = 1000, 1999, 2
@@ -72,11 +73,7 @@ def merge_calls(pair_calls: DataFrame, depth_calls: DataFrame, share: float = 0.
     columns = ["chrom", "start", "end", *TYPES]
     name = lambda df, kind: df.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), *columns[1:], F.lit(kind).alias("evidence"))
 
-    def begins(window):
-        before = F.max("end").over(window.rowsBetween(Window.unboundedPreceding, -1))
-        return before.isNull() | (F.col("start") > before)
-
-    both = islands(name(pair_calls, "RP").unionByName(name(depth_calls, "RD")), ["chrom"], ["start", "end"], begins)
+    both = overlapping(name(pair_calls, "RP").unionByName(name(depth_calls, "RD")), ["chrom"])
     return per_group(both, ["chrom", "island"], ["start", "end", *TYPES], lambda calls: merged_heads(calls, share), CALL)
 
 
@@ -178,13 +175,14 @@ def assembled_breakpoints(calls: DataFrame, pairs: DataFrame, reference: DataFra
     assembler: (call_id, seq) to (call_id, contig, seq); aligner: these and (call_id, bases) to the columns of split_alignments().
     """
     sized = pairs.groupBy("call_id").agg(F.count("*").alias("n")).filter(F.col("n").between(LEAST_READS, MOST_READS)).select("call_id")
-    reads = pairs.join(sized, "call_id").select("call_id", F.explode(F.array("seq1", "seq2")).alias("seq"))
-    built = assembler(reads).select("call_id", "contig", "seq")
-    windows = call_windows(calls, reference, size)
-    places = contig_breakpoints(calls, aligner(built, windows.join(built.select("call_id").distinct(), "call_id")))
+    reads = settled(pairs.join(sized, "call_id").select("call_id", F.explode(F.array("seq1", "seq2")).alias("seq")), "supporting")
+    built = settled(assembler(reads).select("call_id", "contig", "seq"), "contigs")
+    named = built.select("call_id").distinct()
+    windows = settled(call_windows(calls.join(named, "call_id"), reference, size), "call-windows")
+    places = contig_breakpoints(calls, settled(aligner(built, windows), "contig-alignments"))
     shift = F.col("origin") - 1
     places = places.join(windows.select("call_id", "origin"), "call_id").select("call_id", (F.col("start") + shift).alias("_start"), (F.col("end") + shift).alias("_end"))
-    rows = calls.join(built.select("call_id").distinct(), "call_id").join(places, "call_id", "left")
+    rows = calls.join(named, "call_id").join(places, "call_id", "left")
     shown = F.col("_start").isNotNull()
     both = F.size(F.split("evidence", ":")) == 2
     edge = lambda own, new: F.when(shown, F.col(new)).otherwise(F.col(own)).cast("long").alias(own)
@@ -193,9 +191,12 @@ def assembled_breakpoints(calls: DataFrame, pairs: DataFrame, reference: DataFra
 
 
 def refine_calls(calls: DataFrame, reads: DataFrame, reference: DataFrame, parameters: DataFrame, size: int = 400, deviation: float = 9, assembler: Assembler = contigs, aligner: Aligner = split_alignments) -> DataFrame:
-    """Final calls: soft clips decide where they can, assembly and alignment of contigs where they cannot."""
-    numbered = calls.withColumn("call_id", F.xxhash64(*calls.columns))
-    clipped = soft_clip_breakpoints(numbered, reads, size)
+    """Final calls: soft clips decide where they can, assembly and alignment of contigs where they cannot.
+
+    Each step is written to the shared folder, so that the next one does not run it again.
+    """
+    numbered = settled(calls.withColumn("call_id", F.xxhash64(*calls.columns)), "merged-calls")
+    clipped = settled(soft_clip_breakpoints(numbered, reads, size), "clipped-calls")
     sharp = numbered.drop("start", "end").join(clipped, "call_id").withColumn("evidence", F.concat("evidence", F.lit(":BP")))
     rest = numbered.join(clipped.select("call_id"), "call_id", "left_anti")
     built = assembled_breakpoints(rest, supporting_pairs(rest, reads, parameters, size, deviation), reference, size, assembler, aligner)

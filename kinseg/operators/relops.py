@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinseg.sources.scratch import settled
+
 
 def overlap_join(left: DataFrame, right: DataFrame, bucket: int, how: str = "inner", key: str = "chrom") -> DataFrame:
     """Rows of left and right whose closed intervals overlap, within equal keys.
@@ -30,12 +32,46 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int, how: str = "inn
     return left.join(hits, place, how)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column | None], Column] | Column, name: str = "island") -> DataFrame:
-    """df with a running island number per keys: a new one where `begins` (which may use lag over the order) is true."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    flag = begins(window) if callable(begins) else begins
-    marked = df.withColumn("_new", F.when(flag, 1).otherwise(0))
-    return marked.withColumn(name, F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+#: Positions of one contig that a task takes at a time in scans along it.
+SPAN = 1_000_000
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[str], prior: dict[str, tuple[str, str]], span: int = SPAN) -> DataFrame:
+    """df plus, for each name: (how, column) of prior, what the rows before hold within keys: their "max" or "sum", or the "last" one's value.
+
+    Rows lie along a line by order[0]. Each stretch of `span` positions is scanned on its own; the totals of stretches, a
+    row each, are scanned along their keys and joined back. So one long contig is as many tasks as it has stretches.
+    """
+    stretch = F.floor(F.col(order[0]) / span).alias("_stretch")
+    place = F.struct(*order)
+    total = {"max": F.max, "sum": F.sum, "last": lambda c: F.max_by(c, place)}
+    totals = df.groupBy(*keys, stretch).agg(*(total[how](column).alias(name) for name, (how, column) in prior.items()))
+    along = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    over = {"max": lambda c, w: F.max(c).over(w), "sum": lambda c, w: F.sum(c).over(w), "last": lambda c, w: F.last(c).over(w)}
+    carried = totals.select(*keys, "_stretch", *(over[how](name, along).alias(f"_carried_{name}") for name, (how, _) in prior.items()))
+    own = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_stretch", stretch).select("*", *(over[how](column, own).alias(f"_own_{name}") for name, (how, column) in prior.items()))
+    both = rows.join(carried, [*keys, "_stretch"])
+    joined = {"max": lambda a, b: F.greatest(a, b), "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "last": lambda a, b: F.coalesce(b, a)}
+    return both.select(*df.columns, *(joined[how](F.col(f"_carried_{name}"), F.col(f"_own_{name}")).alias(name) for name, (how, _) in prior.items()))
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], prior: dict[str, tuple[str, str]], begins: Column, name: str = "island", span: int = SPAN) -> DataFrame:
+    """df with a running island number per keys, from 1 on: a new one at the first row and where `begins`, which may use the names of prior (see scanned()), is true.
+
+    The marked rows are written to the shared folder, so that numbering them does not run what made them again.
+    """
+    first = F.col(next(iter(prior))).isNull()
+    marked = scanned(df, keys, order, prior, span).withColumn("_new", F.when(first | begins, 1).otherwise(0)).drop(*prior)
+    # Of rows that tie in order the one that begins an island comes first.
+    marked = settled(marked.withColumn("_later", 1 - F.col("_new")), "marked")
+    counted = scanned(marked, keys, [*order, "_later"], {"_before": ("sum", "_new")}, span)
+    return counted.withColumn(name, F.col("_before") + F.col("_new")).drop("_new", "_later", "_before")
+
+
+def overlapping(df: DataFrame, keys: list[str], name: str = "island", span: int = SPAN) -> DataFrame:
+    """df (start, end) with the number of the stretch of overlapping closed intervals that each row is in."""
+    return islands(df, keys, ["start", "end"], {"_reach": ("max", "end")}, F.col("start") > F.col("_reach"), name, span)
 
 
 def top1(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -109,11 +145,6 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[R
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
 
 
-def merge_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: list[str], span: int = SPAN) -> DataFrame:
     """Overlapping closed intervals of each key coalesced: keys, start, end."""
-
-    def begins(window):
-        before = F.max("end").over(window.rowsBetween(Window.unboundedPreceding, -1))
-        return before.isNull() | (F.col("start") > before)
-
-    return islands(df, keys, ["start", "end"], begins, "_run").groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return overlapping(df, keys, "_run", span).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")

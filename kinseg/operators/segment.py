@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinseg.functions import tensors
 from kinseg.functions.alignments import AUTOSOMES, sv_type
 from kinseg.operators.depth import interval_mean_signal
 from kinseg.operators.model import emission_scores, long_depth
-from kinseg.operators.relops import islands
+from kinseg.operators.relops import islands, scanned
+from kinseg.sources.scratch import settled
 
 MAX_CONTIG = 10_000_000
 STATES = ("s0", "s1", "s2")
@@ -20,12 +21,10 @@ STATES = ("s0", "s1", "s2")
 def contigs(windows: DataFrame, distance: int = 10_000, longest: int = MAX_CONTIG) -> DataFrame:
     """windows plus contig (0, 1, ... along each chrom): a new one after a gap, or where the current one got too long.
 
-    Gaps cut first, with a lag; inside what remains only the length rule acts, and
-    it needs one jump per contig. A chromosome's windows are some million slim rows.
+    Gaps cut first, by a scan in stretches; inside what remains only the length rule acts, and
+    it needs one jump per contig. What lies between two gaps, some million slim rows at most, is one task.
     """
-    before = Window.partitionBy("chrom").orderBy("start")
-    gap = lambda w: F.lag("start").over(before).isNull() | (F.col("end") - F.lag("start").over(before) + 1 > distance)
-    cut = islands(windows.select("chrom", "start", "end"), ["chrom"], ["start"], gap)
+    cut = islands(windows.select("chrom", "start", "end"), ["chrom"], ["start"], {"_before": ("last", "start")}, F.col("end") - F.col("_before") + 1 > distance)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start", ignore_index=True)
@@ -39,8 +38,9 @@ def contigs(windows: DataFrame, distance: int = 10_000, longest: int = MAX_CONTI
         return rows.assign(part=part)
 
     parts = cut.groupBy("chrom", "island").applyInPandas(fold, "chrom string, start long, end long, island long, part long")
-    number = F.dense_rank().over(Window.partitionBy("chrom").orderBy("island", "part")) - 1
-    named = parts.select("chrom", "start", number.cast("long").alias("contig"))
+    heads = parts.groupBy("chrom", "island", "part").agg(F.min("start").alias("start"))
+    numbered = scanned(heads.withColumn("_one", F.lit(1)), ["chrom"], ["start"], {"contig": ("sum", "_one")}).select("chrom", "island", "part", "contig")
+    named = parts.join(numbered, ["chrom", "island", "part"]).select("chrom", "start", F.col("contig").cast("long").alias("contig"))
     return windows.join(named, ["chrom", "start"])
 
 
@@ -72,20 +72,15 @@ def state_runs(states: DataFrame) -> DataFrame:
     """Adjacent windows of one contig with equal collapsed states other than all diploid: chrom, contig, start, end, s0..s2."""
     rows = states.select("chrom", "contig", "start", "end", *(collapse(F.col(s)).alias(s) for s in STATES))
     rows = rows.filter(~((F.col("s0") == 2) & (F.col("s1") == 2) & (F.col("s2") == 2)))
-    order = Window.partitionBy("chrom", "contig").orderBy("start")
-    same = F.lit(True)
-    for s in STATES:
-        same = same & (F.lag(s).over(order) == F.col(s))
-    begins = lambda w: F.lag("end").over(order).isNull() | (F.col("start") != F.lag("end").over(order) + 1) | ~same
-    runs = islands(rows, ["chrom", "contig"], ["start"], begins, "run")
+    prior = {"_end": ("last", "end")} | {f"_{state}": ("last", state) for state in STATES}
+    differs = (F.col("start") != F.col("_end") + 1) | (F.col("s0") != F.col("_s0")) | (F.col("s1") != F.col("_s1")) | (F.col("s2") != F.col("_s2"))
+    runs = islands(rows, ["chrom", "contig"], ["start"], prior, differs, "run")
     return runs.groupBy("chrom", "contig", "run", *STATES).agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chrom", "contig", "start", "end", *STATES)
 
 
 def gap_clusters(runs: DataFrame, distance: int = 10_000) -> DataFrame:
     """runs plus cluster: the next run joins if at most `distance` bases lie between."""
-    order = Window.partitionBy("chrom", "contig").orderBy("start")
-    last = F.lag("end").over(order)
-    return islands(runs, ["chrom", "contig"], ["start"], lambda w: last.isNull() | (F.col("start") - last - 1 > distance), "cluster")
+    return islands(runs, ["chrom", "contig"], ["start"], {"_last": ("last", "end")}, F.col("start") - F.col("_last") - 1 > distance, "cluster")
 
 
 def majority_states(clusters: DataFrame) -> DataFrame:
@@ -103,7 +98,7 @@ def majority_states(clusters: DataFrame) -> DataFrame:
 def depth_calls(windows: DataFrame, models: DataFrame, signal: DataFrame | None = None, distance: int = 10_000, transition_prob: float = 1e-5, error: float = 1e-4, bucket: int = 1_000_000) -> DataFrame:
     """Calls from read depth, autosomes only: chrom, start, end, type0..type2, score (mappability), evidence RD."""
     autosomal = windows.filter(F.col("chrom").rlike(AUTOSOMES))
-    states = decode(contigs(autosomal, distance), models, transition_prob, error)
+    states = settled(decode(contigs(autosomal, distance), models, transition_prob, error), "states")
     merged = majority_states(gap_clusters(state_runs(states), distance))
     return annotated(merged, signal, bucket)
 

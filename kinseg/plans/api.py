@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinseg.operators import depth, model, pairs, refine, segment
+from kinseg.sources.scratch import settled
 
 
 @dataclass
@@ -27,13 +28,13 @@ def preprocess(reads: DataFrame, reference: DataFrame, signal: DataFrame, window
 
 def call(prepared: Prepared, signal: DataFrame | None = None, exclude: DataFrame | None = None, min_mappability: float = 0, min_distance: int = 10_000, transition_prob: float = 1e-5, mutation_rate: float = 1e-4, outlier: float = 0.025, least_windows: int = model.LEAST_WINDOWS, exclude_depth: bool = False) -> tuple[DataFrame, DataFrame]:
     """(depth calls, pair calls). exclude drops pairs; it drops windows too only with exclude_depth."""
-    windows = depth.usable(prepared.windows, min_mappability, exclude if exclude_depth else None)
-    models = model.depth_models(windows, outlier, least_windows)
+    windows = settled(depth.usable(prepared.windows, min_mappability, exclude if exclude_depth else None), "windows")
+    models = settled(model.depth_models(windows, outlier, least_windows), "models")
     by_depth = segment.depth_calls(windows, models, signal, min_distance, transition_prob, mutation_rate)
     rows = prepared.pairs if exclude is None else pairs.exclude_pairs(prepared.pairs, exclude)
     median, mad = pairs.maximum_parameters(prepared.parameters)
     apart = pairs.reach(median, mad)
-    by_pairs = pairs.pair_calls(pairs.components(rows, apart), apart, median, mad)
+    by_pairs = pairs.pair_calls(pairs.components(settled(rows, "pairs"), apart), apart, median, mad)
     return by_depth, by_pairs
 
 

@@ -416,10 +416,5 @@ SELECT chrom, max_by(start, quality) AS start, max_by("end", quality) AS "end",
 def best_of_overlaps(spark, sf_dir):
     """Of each group of overlapping calls the one of best quality."""
     both = ad.calls(spark, sf_dir, 0).unionByName(ad.calls(spark, sf_dir, 1)).select("chrom", "start", "end", (F.col("call_id") * 1.0).alias("quality"))
-
-    def begins(window):
-        before = F.max("end").over(window.rowsBetween(Window.unboundedPreceding, -1))
-        return before.isNull() | (F.col("start") > before)
-
-    runs = relops.islands(both, ["chrom"], ["start", "end"], begins, "run")
+    runs = relops.overlapping(both, ["chrom"], "run")
     return runs.groupBy("chrom", "run").agg(F.max_by("start", "quality").alias("start"), F.max_by("end", "quality").alias("end"), F.max("quality").alias("quality")).drop("run")

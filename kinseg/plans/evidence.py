@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinseg.functions import tensors
@@ -95,7 +96,7 @@ def viterbi_optimum(spark, sf_dir):
     emitted = path.join(own, ["chrom", "start"]).groupBy("chrom", "contig", "start", "state").agg(F.sum(F.element_at("scores", chosen + 1)).alias("e"))
     moves = spark.createDataFrame([(a, b, float(v)) for a, row in enumerate(tensors.joint_transition()) for b, v in enumerate(row)], "before int, state int, value double")
     begins = spark.createDataFrame([(-1, s, float(v)) for s, v in enumerate(tensors.start_scores())], "before int, state int, value double")
-    before = F.coalesce(F.lag("state").over(segment.Window.partitionBy("chrom", "contig").orderBy("start")), F.lit(-1))
+    before = F.coalesce(F.lag("state").over(Window.partitionBy("chrom", "contig").orderBy("start")), F.lit(-1))
     steps = emitted.withColumn("before", before).join(F.broadcast(moves.unionByName(begins)), ["before", "state"])
     return steps.groupBy("chrom", "contig").agg(F.count("*").alias("windows"), F.round(F.sum(F.col("e") + F.col("value")), 4).alias("score"))
 

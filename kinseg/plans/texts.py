@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from kinseg.plans import adapters as ad
 from kinseg.plans.catalog import query
 from kinseg.sources import bam, tables
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir, which all executors share; on one machine without that setting, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kinseg-")
-    return f"{base.rstrip('/')}/texts-{uuid.uuid4().hex}/{name}"
+from kinseg.sources.scratch import folder
 
 
 @query(f'WITH {ad.WINDOWS} SELECT chrom, start, "end", rd0, rd1, rd2, gc, mappability FROM windows')

@@ -61,6 +61,31 @@ def test_overlap_join_equals_nested_loop(spark):
     assert rows(kept, "chrom", "start", "end") == sorted(x for x in a if not any(x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2] for y in b[:5]))
 
 
+@pytest.mark.parametrize("span", [7, 50, 10**9])
+def test_scans_in_stretches_equal_a_pass_in_order(spark, span):
+    """One contig over many stretches, some of them empty, with ties."""
+    rng = np.random.default_rng(3)
+    values = sorted((str(c), int(s), int(s + w)) for c, s, w in zip(rng.integers(0, 2, 120), rng.integers(0, 400, 120), rng.integers(0, 9, 120)))
+    df = spark.createDataFrame(values, "chrom string, start int, end int")
+    want, reach, number = [], {}, {}
+    for chrom, start, end in values:
+        if start > reach.get(chrom, -1):
+            number[chrom] = number.get(chrom, 0) + 1
+        want.append((chrom, start, end, number[chrom]))
+        reach[chrom] = max(end, reach.get(chrom, -1))
+    assert rows(relops.overlapping(df, ["chrom"], span=span), "chrom", "start", "end", "island") == want
+    distinct = sorted({v[:2]: v for v in values}.values())
+    prior = {"a": ("last", "end"), "b": ("max", "end"), "c": ("sum", "end")}
+    seen, expected = {}, []
+    for chrom, start, end in distinct:
+        ends = seen.setdefault(chrom, [])
+        expected.append((chrom, start, ends[-1] if ends else -1, max(ends, default=-1), sum(ends)))
+        ends.append(end)
+    got = relops.scanned(spark.createDataFrame(distinct, "chrom string, start int, end int"), ["chrom"], ["start"], prior, span).fillna(-1, ["a", "b"])
+    assert rows(got, "chrom", "start", "a", "b", "c") == expected
+    assert relops.overlapping(df.limit(0), ["chrom"]).count() == 0
+
+
 def test_runs_gaps_and_majority(spark):
     states = spark.createDataFrame([("1", 0, 1, 200, 2, 2, 1), ("1", 0, 201, 400, 2, 2, 0), ("1", 0, 401, 600, 2, 2, 2), ("1", 0, 601, 800, 4, 2, 1)], "chrom string, contig long, start long, end long, s0 int, s1 int, s2 int")
     runs = segment.state_runs(states)
