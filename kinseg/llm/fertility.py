@@ -22,8 +22,8 @@ MAX_REPEAT_PERCENT = 50
 #: Byte-fallback pieces of the vocabulary are ids 3 to 258.
 FIRST_BYTE, PAST_BYTES = 3, 259
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai")
-#: A worker keeps the pieces of so many distinct words, then starts anew.
-KEPT = 200_000
+#: A worker keeps the pieces of so many distinct words, then starts anew: beside the other stages of a pipeline, and alone.
+KEPT, ALONE = 200_000, 400_000
 #: A band reaches so many interquartile ranges from the median; both sides are also at least FLOOR wide,
 #: about the reach that the distinct texts of one language give.
 REACH = 4.0
@@ -39,14 +39,15 @@ MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines
 class Pieces(dict):
     """Maps a word's bytes to its piece ids as unsigned 16-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         super().__init__()
+        self.kept = kept
         from sentencepiece import SentencePieceProcessor
 
         self.encode = SentencePieceProcessor(model_file=path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.clear()
         found = self[word] = np.array(self.encode(word.decode()), "<u2").tobytes()
         return found
@@ -55,8 +56,9 @@ class Pieces(dict):
 class Counts(dict):
     """Maps a word's bytes to the number of its tokens, with the space before it, in a file of byte-level ranks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         super().__init__()
+        self.kept = kept
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -65,14 +67,14 @@ class Counts(dict):
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.clear()
         found = self[word] = len(self.encode(" " + word.decode()))
         return found
 
 
-def vocabularies(path: str, multi: str) -> tuple[Pieces, Counts]:
-    return held(("fertility", path, multi), lambda: (Pieces(path), Counts(multi)))
+def vocabularies(path: str, multi: str, kept: int = KEPT) -> tuple[Pieces, Counts]:
+    return held(("fertility", path, multi, kept), lambda: (Pieces(path, kept), Counts(multi, kept)))
 
 
 def repeat_words(words: list) -> int:
@@ -116,14 +118,14 @@ def measure(text: str, lang: str | None, vocabulary: Pieces, multi: Counts) -> t
     return (*base, n_chars / len(ids), n_chars / sum(map(multi.__getitem__, words)), float(uses[FIRST_BYTE:PAST_BYTES].sum() / len(ids)), entropy, *last)
 
 
-def measures(text: Column, lang: Column, path: str, multi: str) -> Column:
+def measures(text: Column, lang: Column, path: str, multi: str, kept: int = KEPT) -> Column:
     """Column of MEASURES; path is a SentencePiece model file, multi a file of byte-level ranks for many languages."""
     fields = [f.split(":")[0] for f in MEASURES[7:-1].split(",")]
     kinds = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.string(), pa.int64()]
 
     @F.arrow_udf(MEASURES)
     def of(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        known = vocabularies(path, multi)
+        known = vocabularies(path, multi, kept)
         rows = [measure(t.as_py() or "", x, *known) for t, x in zip(texts, langs.to_pylist())]
         columns = zip(*rows) if rows else [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
@@ -186,7 +188,7 @@ def quality(docs: DataFrame, path: str, multi: str, **limits) -> DataFrame:
     judged by the script of the text; repeated rows and null ids come back as
     they came; an empty table gives no rows. Other columns are ignored.
     """
-    seen = docs.select("doc_id", measures(whole("text"), F.col("lang").cast("string"), path, multi).alias("m"))
+    seen = docs.select("doc_id", measures(whole("text"), F.col("lang").cast("string"), path, multi, ALONE).alias("m"))
     seen = written(seen.withColumn("failed", base_failed()), "fertility")
     return judged(seen, **limits).select("doc_id", "m.*", F.col("failed").alias("base_failed"), "kept").drop("digest")
 
