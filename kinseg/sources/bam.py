@@ -42,10 +42,10 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def files(path: str) -> list[str]:
-    """The file itself, or the .bam files of a folder in the order of their names."""
+    """The file itself, or the .bam files of a folder in the order of their names; those that begin with _ were never finished."""
     store, at = _store(path)
     if store.get_file_info(at).type == fs.FileType.Directory:
-        at = sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".bam"))
+        at = sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".bam") and not f.base_name.startswith("_"))
         prefix = path[: path.index("://") + 3] if "://" in path else ""
         return [prefix + f for f in at]
     return [path]
