@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinseg.functions.alignments import AUTOSOMES, maybe_discordant, sizes_insert, spans_deletion, spans_duplication
-from kinseg.operators.relops import Rows, islands, overlap_join, pair_by_key, per_group
+from kinseg.operators.relops import Rows, folded, islands, overlap_join, pair_by_key, per_group
 
 SIZES_PER_SAMPLE = 1_000_000
 #: File positions are counted by ranges of so many.
@@ -91,32 +92,62 @@ def pair_islands(pairs: DataFrame, apart: float) -> DataFrame:
     return islands(pairs, ["chrom", "sv_type"], [*PLACE, "sample_idx"], {"_before": ("max", "left_first")}, far)
 
 
-def linked(rows: Rows, apart: float, deletion: bool) -> list[int]:
-    """Component of each pair of a sorted island: its first pair's number.
+class Group:
+    """Pairs of one event, still open: its number, size, newest place, members near the line's head, and those to be given out."""
+
+    def __init__(self, number: int):
+        self.number, self.size, self.newest = number, 0, 0
+        self.near: deque[tuple[int, int, int, int]] = deque()
+        self.members: list[tuple] = []
+
+
+class OpenGroups:
+    """Single link along the sorted pairs of one island; gives (*pair, number of the group's first pair) of groups of least to most pairs.
 
     Each pair in turn joins the oldest group that is still open and has a member
-    near it, or opens one. A group is open as long as its newest member lies no further than `apart` behind.
+    near it, or opens one. A group is open as long as its newest member lies no further than `apart` behind;
+    then it is given out. Kept are the open groups alone: of each the members less than `apart` behind, and up to
+    `most` in all, as more are not given out. So memory goes with what lies within `apart`, not with the island.
     """
-    first, inner, outer, far = (rows[c].tolist() for c in PLACE)
-    owner: list[int] = []
-    groups: list[list[int]] = []
-
-    def near(pair: int, group: list[int]) -> bool:
-        for member in reversed(group):
-            if first[pair] - first[member] >= apart:
-                return False
-            if abs(far[pair] - far[member]) < apart and (not deletion or max(inner[pair], inner[member]) < min(outer[pair], outer[member])):
-                return True
-        return False
-
-    for pair, at in enumerate(first):
-        groups = [g for g in groups if at - first[g[-1]] <= apart]
-        home = next((g for g in groups if near(pair, g)), None)
-        if home is None:
-            groups.append(home := [])
-        home.append(pair)
-        owner.append(home[0])
-    return owner
+
+    def __init__(self, apart: float, deletion: bool, least: int, most: int, names: tuple[str, ...]):
+        self.apart, self.deletion, self.least, self.most, self.names = apart, deletion, least, most, names
+        self.count = 0
+        self.groups: list[Group] = []
+
+    def _joins(self, group: Group, at: int, inner: int, outer: int, far: int) -> bool:
+        while group.near and at - group.near[0][0] >= self.apart:
+            group.near.popleft()
+        return any(abs(far - f) < self.apart and (not self.deletion or max(inner, i) < min(outer, o)) for _, i, o, f in reversed(group.near))
+
+    def _out(self, group: Group) -> Iterator[tuple]:
+        if self.least <= group.size <= self.most:
+            for member in group.members:
+                yield *member, group.number
+
+    def take(self, rows: Rows) -> Iterator[tuple]:
+        for place, row in zip(zip(*(rows[c].tolist() for c in PLACE)), zip(*(rows[c].tolist() for c in self.names))):
+            shut = [g for g in self.groups if place[0] - g.newest > self.apart]
+            for group in shut:
+                yield from self._out(group)
+            if shut:
+                self.groups = [g for g in self.groups if place[0] - g.newest <= self.apart]
+            home = next((g for g in self.groups if self._joins(g, *place)), None)
+            if home is None:
+                self.groups.append(home := Group(self.count))
+            home.size += 1
+            home.newest = place[0]
+            home.near.append(place)
+            if home.size <= self.most:
+                home.members.append(row)
+            else:
+                home.members.clear()
+            self.count += 1
+
+    def close(self) -> Iterator[tuple]:
+        for group in self.groups:
+            yield from self._out(group)
+        self.groups = []
 
 
 def components(pairs: DataFrame, apart: float, least: int = LEAST_PAIRS, most: int = MOST_PAIRS) -> DataFrame:
@@ -126,16 +157,14 @@ def components(pairs: DataFrame, apart: float, least: int = LEAST_PAIRS, most: i
     """
     cut = pair_islands(pairs, apart)
     sizes = cut.groupBy("chrom", "sv_type", "island").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    rows = cut.join(sizes, ["chrom", "sv_type", "island"]).select("chrom", "sv_type", "island", "sample_idx", *PLACE)
+    names = ("chrom", "sv_type", "island", "sample_idx", *PLACE)
+    rows = cut.join(sizes, ["chrom", "sv_type", "island"]).select(*names)
 
-    def run(group: Rows) -> Iterator[tuple]:
-        owner = np.array(linked(group, apart, group["sv_type"][0] == "DELETION"))
-        size = np.bincount(owner)[owner]
-        kept = np.flatnonzero((size >= least) & (size <= most))
-        return zip(*(group[c][kept].tolist() for c in ("chrom", "sv_type", "island", "sample_idx", *PLACE)), owner[kept].tolist())
+    def begin(first: Rows) -> OpenGroups:
+        return OpenGroups(apart, first["sv_type"][0] == "DELETION", least, most, names)
 
     schema = "chrom string, sv_type string, island long, sample_idx int, left_first long, right_first long, left_second long, right_second long, component long"
-    return per_group(rows, ["chrom", "sv_type", "island"], [*PLACE, "sample_idx"], run, schema)
+    return folded(rows, ["chrom", "sv_type", "island"], [*PLACE, "sample_idx"], begin, schema)
 
 
 def largest_cliques(rows: Rows, apart: float, deletion: bool) -> list[list[int]]:

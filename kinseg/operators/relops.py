@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -12,24 +14,85 @@ from pyspark.sql import functions as F
 from kinseg.sources.scratch import settled
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bucket: int, how: str = "inner", key: str = "chrom") -> DataFrame:
+#: Bins of one level that one bin of the next covers; an interval lies in at most one bin more at its own level.
+FAN = 64
+#: Lines up to this length have a level for their longest intervals.
+LINE = 1 << 40
+
+
+def _levels(bucket: int, fan: int) -> list[int]:
+    """Widths of the bins of each level: the bucket's, and `fan` times the one before."""
+    widths = [bucket]
+    while widths[-1] * fan < LINE:
+        widths.append(widths[-1] * fan)
+    return widths
+
+
+def _own_level(start: str, end: str, widths: list[int], fan: int) -> Column:
+    """The lowest level at which the interval covers no more than about `fan` bins."""
+    length = F.col(end) - F.col(start)
+    level = F.lit(len(widths) - 1)
+    for i in reversed(range(len(widths) - 1)):
+        level = F.when(length < widths[i] * fan, i).otherwise(level)
+    return level
+
+
+def _in_bins(df: DataFrame, start: str, end: str, widths: list[int], fan: int, at: dict[int, Callable[[Column, Column], Column]], names: tuple[str, str]) -> DataFrame:
+    """df with a row for each (level, bin) where it meets rows of the other side; columns `names`.
+
+    at: for 1 and for -1 which levels, by (level, own level), count; those of -1 get a negative number, so
+    that the two kinds of meeting stay apart.
+    """
+    every = F.array(*(F.struct(F.lit(i).alias("level"), F.lit(w).alias("width")) for i, w in enumerate(widths)))
+    bins = lambda x: F.sequence(F.floor(F.col(start) / x["width"]), F.floor(F.col(end) / x["width"]))
+    own = F.col("_own")
+
+    def rows(sign: int) -> Column:
+        levels = F.filter(every, lambda x: at[sign](x["level"], own))
+        return F.flatten(F.transform(levels, lambda x: F.transform(bins(x), lambda b: F.struct((x["level"] * sign).alias("level"), b.alias("bin")))))
+
+    spread = df.withColumn("_own", _own_level(start, end, widths, fan)).withColumn("_at", F.explode(F.concat(rows(1), rows(-1))))
+    return spread.withColumns(dict(zip(names, (F.col("_at.level"), F.col("_at.bin"))))).drop("_own", "_at")
+
+
+def _left_bins(left: DataFrame, levels: Column, widths: list[int], fan: int) -> DataFrame:
+    """Left looks for intervals of right, its own level's and longer, at the `levels` that right has, and waits for shorter ones at its own."""
+    at = {1: lambda level, own: (level >= own) & F.array_contains("_present", level), -1: lambda level, own: (level == own) & (level > 0)}
+    return _in_bins(left.withColumn("_present", levels), "start", "end", widths, fan, at, ("_level", "_bin")).drop("_present")
+
+
+def _right_bins(right: DataFrame, widths: list[int], fan: int) -> DataFrame:
+    """Right waits at its own level, and looks for longer intervals of left at all levels above."""
+    at = {1: lambda level, own: level == own, -1: lambda level, own: level > own}
+    return _in_bins(right, "r_start", "r_end", widths, fan, at, ("_r_level", "_r_bin"))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, bucket: int, how: str = "inner", key: str = "chrom", fan: int = FAN) -> DataFrame:
     """Rows of left and right whose closed intervals overlap, within equal keys.
 
-    Both sides are spread over buckets of `bucket` positions and joined on (key,
-    bucket), so the join is an equi-join that shuffles by place, not a nested loop.
-    A pair counts in the bucket of its overlap's first position only. Columns of
-    right come back as r_<name>. how may be inner, left_semi or left_anti.
+    An equi-join on (key, level, bin) that shuffles by place. Bins are `bucket` positions wide at level 0 and
+    `fan` times wider at each level above. An interval lies in the bins of the level that suits its length,
+    fan + 1 at most, so one as long as a contig costs no more rows than a short one; and as it lies in
+    that many bins, what meets it is spread over as many tasks. The shorter of two intervals looks for the
+    longer at the longer's level, in two bins at most: left for those of right, which should be the smaller side,
+    only at levels that right has (a subquery tells them, so short intervals on both sides cost one level), and
+    right for longer ones of left at all levels above its own. A pair counts in the bin of its overlap's
+    first position only. Columns of right come back as r_<name>. Rows without key, start or end meet
+    nothing. how may be inner, left_semi or left_anti.
     """
-    spread = lambda df: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    r = r.withColumn("_r_bucket", F.explode(F.sequence(F.floor(F.col("r_start") / bucket), F.floor(F.col("r_end") / bucket))))
-    if how == "inner":
-        met = spread(left).join(r, (F.col(key) == F.col(f"r_{key}")) & (F.col("_bucket") == F.col("_r_bucket")))
-        met = met.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_bucket") == F.floor(F.greatest("start", "r_start") / bucket)))
-        return met.drop("_bucket", "_r_bucket")
-    place = [key, "start", "end"]
-    hits = overlap_join(left.select(*place).distinct(), right, bucket, key=key).select(*place).distinct()
-    return left.join(hits, place, how)
+    if how != "inner":
+        place = [key, "start", "end"]
+        hits = overlap_join(left.select(*place).distinct(), right, bucket, key=key, fan=fan).select(*place).distinct()
+        return left.join(hits, place, how)
+    widths = _levels(bucket, fan)
+    present = right.agg(F.collect_set(_own_level("start", "end", widths, fan))).scalar()
+    r = _right_bins(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), widths, fan)
+    same = (F.col(key) == F.col(f"r_{key}")) & (F.col("_level") == F.col("_r_level")) & (F.col("_bin") == F.col("_r_bin"))
+    met = _left_bins(left, present, widths, fan).join(r, same)
+    width = F.get(F.array(*(F.lit(w) for w in widths)), F.abs("_level"))
+    first = F.floor(F.greatest("start", "r_start") / width)
+    met = met.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_bin") == first))
+    return met.drop("_level", "_bin", "_r_level", "_r_bin")
 
 
 #: Positions of one contig that a task takes at a time in scans along it.
@@ -112,37 +175,80 @@ def _edges(rows: Rows, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Result rows that a task gathers before it hands them on.
+GATHERED = 10_000
+
+
+def _runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[bool, Rows]]:
+    """The rows of each group that lie in one batch, and whether they begin the group."""
+    last = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        rows = {c: batch[c].to_numpy() for c in batch.columns}
+        starts = _edges(rows, keys).tolist()
+        for start, end in zip(starts, [*starts[1:], len(batch)]):
+            own = tuple(rows[k][start] for k in keys)
+            yield own != last, {c: x[start:end] for c, x in rows.items()}
+            last = own
+
+
+def _tables(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as tables of some GATHERED rows."""
+    rows = iter(rows)
+    while part := list(islice(rows, GATHERED)):
+        yield pd.DataFrame(part, columns=names)
+
+
+def _sorted_stream(df: DataFrame, keys: list[str], order: list[str], made: Callable[[Iterator[tuple[bool, Rows]]], Iterable[tuple]], schema: str) -> DataFrame:
+    """made() on the runs of each task's groups, which travel in one sorted stream, so that a group costs no start-up of its own."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(lambda batches: _tables(made(_runs(batches, keys)), names), schema)
+
+
 def per_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Rows], Iterable[tuple]], schema: str) -> DataFrame:
     """run on each group's sorted rows, as one array per column, giving rows of the schema; meant for very many small groups.
 
-    Groups travel in one sorted stream per task (a batch may end inside a group,
-    which then waits for the next) and are slices of its arrays, so a group costs no start-up of its own.
+    A group that batches end inside waits for its last one and is then put together once.
     """
-    names = [f.split()[0] for f in schema.split(", ")]
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        batches = iter(batches)
-        while True:
-            batch = next(batches, None)
-            if batch is not None and batch.empty:
-                continue
-            ready = pd.concat([x for x in (held, batch) if x is not None], ignore_index=True) if held is not None or batch is not None else None
-            if ready is None:
-                return
-            rows = {c: ready[c].to_numpy() for c in ready.columns}
-            starts = _edges(rows, keys)
-            ends = [*starts[1:].tolist(), len(ready)]
-            if batch is not None:
-                held = ready.iloc[int(starts[-1]) :]
-                starts, ends = starts[:-1], ends[:-1]
-            out = [row for start, end in zip(starts.tolist(), ends) for row in run({c: x[start:end] for c, x in rows.items()})]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-            if batch is None:
-                return
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
+    def made(runs: Iterator[tuple[bool, Rows]]) -> Iterator[tuple]:
+        held: list[Rows] = []
+        whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+        for begins, rows in runs:
+            if begins and held:
+                yield from run(whole())
+                held.clear()
+            held.append(rows)
+        if held:
+            yield from run(whole())
+
+    return _sorted_stream(df, keys, order, made, schema)
+
+
+class Fold(Protocol):
+    """What goes along one group's sorted rows and gives result rows as soon as it can."""
+
+    def take(self, rows: Rows) -> Iterable[tuple]: ...
+
+    def close(self) -> Iterable[tuple]: ...
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[Rows], Fold], schema: str) -> DataFrame:
+    """A fold of begin(first rows) along each group's sorted rows; no task holds a group, only what its fold keeps."""
+
+    def made(runs: Iterator[tuple[bool, Rows]]) -> Iterator[tuple]:
+        fold: Fold | None = None
+        for begins, rows in runs:
+            if begins:
+                if fold is not None:
+                    yield from fold.close()
+                fold = begin(rows)
+            yield from fold.take(rows)
+        if fold is not None:
+            yield from fold.close()
+
+    return _sorted_stream(df, keys, order, made, schema)
 
 
 def merge_intervals(df: DataFrame, keys: list[str], span: int = SPAN) -> DataFrame:

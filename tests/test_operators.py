@@ -61,6 +61,96 @@ def test_overlap_join_equals_nested_loop(spark):
     assert rows(kept, "chrom", "start", "end") == sorted(x for x in a if not any(x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2] for y in b[:5]))
 
 
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_overlap_join_of_all_lengths_over_many_levels(spark, how):
+    """Lengths from one position to a hundred thousand on both sides, ends that fall on bin ends, repeats, nulls and empty sides."""
+    rng = np.random.default_rng(5)
+
+    def make(n: int) -> list[tuple]:
+        start = rng.integers(0, 100_000, n) // 9 * 9
+        length = (2.0 ** rng.uniform(0, 17, n)).astype(int) * rng.integers(0, 2, n)
+        return [(str(c), int(s), int(s + w)) for c, s, w in zip(rng.integers(0, 3, n), start, length)]
+
+    a, b = make(150), make(60)
+    a += a[:5]
+    schema = "chrom string, start long, end long"
+    lone = [(None, 1, 2), ("1", None, 5), ("1", 5, None)]
+    meets = lambda x, y: x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]
+    for right in (b, b[:1], []):
+        got = relops.overlap_join(spark.createDataFrame(a + lone, schema), spark.createDataFrame(right + lone[:2], schema), 9, how, fan=3)
+        if how == "inner":
+            assert rows(got, "chrom", "start", "end", "r_chrom", "r_start", "r_end") == sorted((*x, *y) for x in a for y in right if meets(x, y))
+        else:
+            want = [x for x in a if any(meets(x, y) for y in right) == (how == "left_semi")]
+            found = [tuple(r) for r in got.select("chrom", "start", "end").collect()]
+            assert sorted(r for r in found if None not in r) == sorted(want)
+            assert len(found) - len(want) == (0 if how == "left_semi" else len(lone))
+
+
+@pytest.mark.parametrize("length", [1, 999, 63_000, 65_000, 10**7, 10**9, 3 * 10**10])
+def test_the_rows_of_an_interval_are_bounded_at_any_length(spark, length):
+    """At its own level an interval lies in at most FAN + 1 bins, at a level above in at most two."""
+    widths = relops._levels(1000, relops.FAN)
+    one = spark.createDataFrame([("1", 501, 500 + length)], "chrom string, start long, end long")
+    everywhere = relops._left_bins(one, F.array(*(F.lit(i) for i in range(len(widths)))), widths, relops.FAN)
+    waiting = relops._right_bins(one.toDF("r_chrom", "r_start", "r_end"), widths, relops.FAN)
+    most = relops.FAN + 1 + 2 * (len(widths) - 1)
+    assert waiting.count() <= most and everywhere.count() <= most + relops.FAN + 1
+    assert relops._left_bins(one, F.array(F.lit(0)), widths, relops.FAN).filter("_level >= 0").count() <= relops.FAN + 1
+
+
+def plain_single_links(pairs_, apart, deletion):
+    """Component of each sorted pair by the plain rule, all groups and members kept."""
+    owner, groups = [], []
+    for p, (a, i, o, f) in enumerate(pairs_):
+        near = lambda q: a - q[0] < apart and abs(f - q[3]) < apart and (not deletion or max(i, q[1]) < min(o, q[2]))  # noqa: E731, B023
+        home = next((g for g in groups if a - pairs_[g[-1]][0] <= apart and any(near(pairs_[m]) for m in g)), None)
+        if home is None:
+            groups.append(home := [])
+        home.append(p)
+        owner.append(home[0])
+    return owner
+
+
+@pytest.mark.parametrize("kind", ["DELETION", "DUPLICATION"])
+def test_single_links_equal_the_plain_rule_over_small_batches(spark, kind):
+    """Islands that end inside batches of seven rows; groups too small and too large are left out."""
+    rng = np.random.default_rng(11)
+    left = np.sort(rng.integers(0, 3000, 400))
+    rows_ = [("1", kind, int(rng.integers(0, 3)), int(a), int(a + 30), int(a + 40 + d), int(a + 70 + d)) for a, d in zip(left, rng.choice([0, 5, 90, 200], 400))]
+    df = spark.createDataFrame(rows_, "chrom string, sv_type string, sample_idx int, left_first long, right_first long, left_second long, right_second long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rows(pairs.components(df, 40, 3, 20), "island", "sample_idx", *pairs.PLACE, "component")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, island = [], []
+    ordered = sorted((*r[3:], r[2]) for r in rows_)
+    for i, r in enumerate(ordered):
+        if i and r[0] - ordered[i - 1][0] >= 40:
+            want, island = want + [island], []
+        island.append(r)
+    want.append(island)
+    out = []
+    for number, group in enumerate(want, 1):
+        owner = plain_single_links([r[:4] for r in group], 40, kind == "DELETION")
+        out += [(number, r[4], *r[:4], o) for r, o in zip(group, owner) if 3 <= owner.count(o) <= 20]
+    assert out and got == sorted(out)
+    assert max(len(g) for g in want) > 14
+
+
+def test_open_groups_keep_no_island():
+    """Half a million pairs of one island, handed on in parts: what is kept does not grow with it."""
+    groups = pairs.OpenGroups(400, True, 3, 499, ("number", *pairs.PLACE))
+    kept, given = [], 0
+    for part in range(50):
+        first = np.arange(part * 10_000, (part + 1) * 10_000) // 2 * 5
+        far = first + 3000 + np.arange(10_000) % 7 * 500
+        given += sum(1 for _ in groups.take({"number": np.arange(10_000), "left_first": first, "right_first": first + 100, "left_second": far - 100, "right_second": far}))
+        kept.append(sum(len(g.near) + len(g.members) for g in groups.groups))
+    assert max(kept[1:]) <= kept[1] + 499 and max(kept) < 5_000
+
+
 @pytest.mark.parametrize("span", [7, 50, 10**9])
 def test_scans_in_stretches_equal_a_pass_in_order(spark, span):
     """One contig over many stretches, some of them empty, with ties."""
