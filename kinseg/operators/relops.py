@@ -37,33 +37,31 @@ def _own_level(start: str, end: str, widths: list[int], fan: int) -> Column:
     return level
 
 
-def _in_bins(df: DataFrame, start: str, end: str, widths: list[int], fan: int, at: dict[int, Callable[[Column, Column], Column]], names: tuple[str, str]) -> DataFrame:
+def _in_bins(df: DataFrame, start: str, end: str, widths: list[int], fan: int, at: dict[int, Callable[[int, Column], Column]], names: tuple[str, str]) -> DataFrame:
     """df with a row for each (level, bin) where it meets rows of the other side; columns `names`.
 
     at: for 1 and for -1 which levels, by (level, own level), count; those of -1 get a negative number, so
-    that the two kinds of meeting stay apart.
+    that the two kinds of meeting stay apart. Plain expressions, which stay in generated code, not higher-order functions.
     """
-    every = F.array(*(F.struct(F.lit(i).alias("level"), F.lit(w).alias("width")) for i, w in enumerate(widths)))
-    bins = lambda x: F.sequence(F.floor(F.col(start) / x["width"]), F.floor(F.col(end) / x["width"]))
-    own = F.col("_own")
-
-    def rows(sign: int) -> Column:
-        levels = F.filter(every, lambda x: at[sign](x["level"], own))
-        return F.flatten(F.transform(levels, lambda x: F.transform(bins(x), lambda b: F.struct((x["level"] * sign).alias("level"), b.alias("bin")))))
-
-    spread = df.withColumn("_own", _own_level(start, end, widths, fan)).withColumn("_at", F.explode(F.concat(rows(1), rows(-1))))
-    return spread.withColumns(dict(zip(names, (F.col("_at.level"), F.col("_at.bin"))))).drop("_own", "_at")
+    found = []
+    for sign, chosen in at.items():
+        for level, width in enumerate(widths):
+            if sign > 0 or level:
+                bins = F.struct(F.lit(sign * level).alias("level"), F.floor(F.col(start) / width).alias("low"), F.floor(F.col(end) / width).alias("high"))
+                found.append(F.when(chosen(level, F.col("_own")), bins))
+    own = df.withColumn("_own", _own_level(start, end, widths, fan)).withColumn("_at", F.explode(F.array(*found))).filter("_at is not null")
+    return own.withColumns({names[0]: F.col("_at.level"), names[1]: F.explode(F.sequence("_at.low", "_at.high"))}).drop("_own", "_at")
 
 
 def _left_bins(left: DataFrame, levels: Column, widths: list[int], fan: int) -> DataFrame:
     """Left looks for intervals of right, its own level's and longer, at the `levels` that right has, and waits for shorter ones at its own."""
-    at = {1: lambda level, own: (level >= own) & F.array_contains("_present", level), -1: lambda level, own: (level == own) & (level > 0)}
+    at = {1: lambda level, own: (own <= level) & F.array_contains("_present", level), -1: lambda level, own: own == level}
     return _in_bins(left.withColumn("_present", levels), "start", "end", widths, fan, at, ("_level", "_bin")).drop("_present")
 
 
 def _right_bins(right: DataFrame, widths: list[int], fan: int) -> DataFrame:
     """Right waits at its own level, and looks for longer intervals of left at all levels above."""
-    at = {1: lambda level, own: level == own, -1: lambda level, own: level > own}
+    at = {1: lambda level, own: own == level, -1: lambda level, own: own < level}
     return _in_bins(right, "r_start", "r_end", widths, fan, at, ("_r_level", "_r_bin"))
 
 
