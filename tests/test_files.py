@@ -94,6 +94,15 @@ def test_command_line_finds_a_planted_event(spark, tmp_path, event, place):
     assert [tuple(r) for r in tables.final_calls(spark, out[2]).collect()] == [("1", *place, event, "REFERENCE", event, "RP:BP")]
 
 
+def test_places_of_intervals_and_calls_beyond_two_billion_come_back(spark, tmp_path):
+    far = 9_000_000_123
+    tables.write_tsv(spark.createDataFrame([("1", far, far + 9)], "chrom string, start long, end long"), str(tmp_path / "i"))
+    assert rows(tables.intervals(spark, str(tmp_path / "i")), "chrom", "start", "end") == [("1", far, far + 9)]
+    call = ("1", far, far + 9, "DELETION", "REFERENCE", "DELETION", "RP")
+    tables.write_calls(spark.createDataFrame([call], "chrom string, start long, end long, type0 string, type1 string, type2 string, evidence string"), str(tmp_path / "c"))
+    assert [tuple(r) for r in tables.final_calls(spark, str(tmp_path / "c")).collect()] == [call]
+
+
 def test_no_pairs_are_an_empty_table(spark, tmp_path):
     tables.write_pairs(spark.createDataFrame([], "sample string, chrom string, left_first int, right_first int, left_second int, right_second int, sv_type string"), str(tmp_path / "pairs"))
     assert tables.read_pairs(spark, str(tmp_path / "pairs")).count() == 0
