@@ -2,7 +2,7 @@
 
 READS = "sample string, bam_ord int, ord long, qname string, flag int, chrom string, ref_idx int, start int, end int, mapq int, cigar string, mate_ref_idx int, mate_start int, tlen int, seq string, qual string, tags map<string,string>"
 READ_DEPTH = "chrom string, start int, end int, rd0 int, rd1 int, rd2 int, gc int, mappability double"
-PAIRS = "sample string, chrom string, left_first int, right_first int, left_second int, right_second int"
+PAIRS = "sample string, chrom string, left_first long, right_first long, left_second long, right_second long"
 INTERVALS = "chrom string, start long, end long"
 SIGNAL = "chrom string, start0 int, end0 int, value double"
 PARAMETERS = "sample string, median double, mad double"

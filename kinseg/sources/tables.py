@@ -56,7 +56,7 @@ def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
     glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.{{DEL,DUP}}")
     if not glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob):
         return spark.createDataFrame([], f"{schemas.PAIRS}, sv_type string")
-    rows = spark.read.csv(f"{folder}/*.{{DEL,DUP}}", sep="\t", schema=schemas.PAIRS).withColumn("_file", F.col("_metadata.file_path"))
+    rows = spark.read.csv(f"{folder}/*.{{DEL,DUP}}", sep="\t", schema=schemas.PAIRS, mode="FAILFAST").withColumn("_file", F.col("_metadata.file_path"))
     kind = F.when(F.col("_file").rlike(r"\.DEL(/[^/]*)?$"), "DELETION").otherwise("DUPLICATION")
     return rows.withColumn("sv_type", kind).drop("_file")
 

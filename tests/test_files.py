@@ -103,6 +103,13 @@ def test_places_of_intervals_and_calls_beyond_two_billion_come_back(spark, tmp_p
     assert [tuple(r) for r in tables.final_calls(spark, str(tmp_path / "c")).collect()] == [call]
 
 
+def test_pairs_beyond_two_billion_come_back(spark, tmp_path):
+    far = [9_000_000_000 + i for i in (0, 99, 400, 499)]
+    made = spark.createDataFrame([("a", "1", *far, "DELETION")], "sample string, chrom string, left_first long, right_first long, left_second long, right_second long, sv_type string")
+    tables.write_pairs(made, str(tmp_path / "p"))
+    assert rows(tables.read_pairs(spark, str(tmp_path / "p")), "left_first", "right_first", "left_second", "right_second", "sv_type") == [(*far, "DELETION")]
+
+
 def test_no_pairs_are_an_empty_table(spark, tmp_path):
     tables.write_pairs(spark.createDataFrame([], "sample string, chrom string, left_first int, right_first int, left_second int, right_second int, sv_type string"), str(tmp_path / "pairs"))
     assert tables.read_pairs(spark, str(tmp_path / "pairs")).count() == 0
