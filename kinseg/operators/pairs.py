@@ -20,9 +20,12 @@ LEAST_PAIRS, MOST_PAIRS, LEAST_LENGTH = 3, 499, 50
 PLACE = ("left_first", "right_first", "left_second", "right_second")
 
 
-def insert_sizes(reads: DataFrame, limit: int = SIZES_PER_SAMPLE) -> DataFrame:
-    """sample, x: absolute insert sizes of the first `limit` eligible pairs of each sample in file order."""
-    kept = reads.filter(sizes_insert()).select("sample", "ord", F.abs("tlen").alias("x")).withColumn("_range", F.floor(F.col("ord") / ORDS_PER_RANGE))
+def insert_sizes(reads: DataFrame, limit: int | None = SIZES_PER_SAMPLE) -> DataFrame:
+    """sample, x: absolute insert sizes of the first `limit` eligible pairs of each sample in file order, of all without a limit."""
+    kept = reads.filter(sizes_insert()).select("sample", "ord", F.abs("tlen").alias("x"))
+    if limit is None:
+        return kept.select("sample", "x")
+    kept = kept.withColumn("_range", F.floor(F.col("ord") / ORDS_PER_RANGE))
     order = Window.partitionBy("sample").orderBy("_range")
     counts = kept.groupBy("sample", "_range").agg(F.count("*").alias("_in"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") < limit)
@@ -36,17 +39,21 @@ def insert_sizes(reads: DataFrame, limit: int = SIZES_PER_SAMPLE) -> DataFrame:
 def insert_statistics(sizes: DataFrame, low: float = 0.05, high: float = 0.95, pad_to: int | None = None) -> DataFrame:
     """sample, median (of the sizes ranked between the low and high share) and mad (median absolute deviation of all, unscaled).
 
+    Equal sizes are counted first, so a sample sends a row per size and task, whatever its depth.
     pad_to adds zeros up to that many sizes, as fixed-length arrays of old did.
     """
+    counts = sizes.groupBy("sample", "x").agg(F.count("*").alias("c"))
     if pad_to:
-        short = sizes.groupBy("sample").agg(F.count("*").alias("n")).filter(F.col("n") < pad_to)
-        sizes = sizes.unionByName(short.select("sample", F.explode(F.array_repeat(F.lit(0), (F.lit(pad_to) - F.col("n")).cast("int"))).alias("x")))
-    n = F.count("*").over(Window.partitionBy("sample"))
-    ranked = sizes.withColumn("n", n).withColumn("i", F.row_number().over(Window.partitionBy("sample").orderBy("x")) - 1)
-    first = F.greatest(F.floor(F.col("n") * low) - 1, F.lit(0))
-    middle = ranked.filter((F.col("i") >= first) & (F.col("i") <= F.floor(F.col("n") * high) - 1)).groupBy("sample").agg(F.median("x").alias("median"))
-    centre = sizes.groupBy("sample").agg(F.median("x").alias("_m"))
-    spread = sizes.join(centre, "sample").groupBy("sample").agg(F.median(F.abs(F.col("x") - F.col("_m"))).alias("mad"))
+        short = counts.groupBy("sample").agg((F.lit(pad_to) - F.sum("c")).alias("c")).filter("c > 0")
+        counts = counts.unionByName(short.select("sample", F.lit(0).alias("x"), "c")).groupBy("sample", "x").agg(F.sum("c").alias("c"))
+    n = F.sum("c").over(Window.partitionBy("sample"))
+    stop = F.sum("c").over(Window.partitionBy("sample").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("n", n).withColumn("stop", stop)
+    first, last = F.greatest(F.floor(F.col("n") * low) - 1, F.lit(0)), F.floor(F.col("n") * high)
+    inside = ranked.withColumn("c", F.least("stop", last) - F.greatest(F.col("stop") - F.col("c"), first)).filter("c > 0")
+    middle = inside.groupBy("sample").agg(F.percentile("x", 0.5, F.col("c")).alias("median"))
+    centre = counts.groupBy("sample").agg(F.percentile("x", 0.5, F.col("c")).alias("_m"))
+    spread = counts.join(F.broadcast(centre), "sample").groupBy("sample").agg(F.percentile(F.abs(F.col("x") - F.col("_m")), 0.5, F.col("c")).alias("mad"))
     return middle.join(spread, "sample")
 
 

@@ -258,6 +258,22 @@ def test_insert_statistics(spark):
     assert padded["median"] == 0
 
 
+def test_insert_statistics_of_all_pairs_equal_the_plain_ones(spark):
+    """Without a limit no pair is left out, and counted sizes have the medians of the sizes one by one."""
+    rng = np.random.default_rng(5)
+    sizes = {s: rng.integers(100, 160, n).tolist() for s, n in (("a", 1), ("b", 2), ("c", 3_001), ("d", 40))}
+    made = spark.createDataFrame([(s, i, 65, 100, 150, 90 + x, x) for s, xs in sizes.items() for i, x in enumerate(xs)], "sample string, ord long, flag int, start int, end int, mate_start int, tlen int")
+    made = made.withColumn("flag", F.lit(1 + 64 + 32)).withColumn("tags", F.lit(None).cast("map<string,string>"))
+    assert pairs.insert_sizes(made, limit=2_000).count() == 2_043 and pairs.insert_sizes(made, limit=None).count() == 3_044
+    got = {r.sample: (r.median, r.mad) for r in pairs.insert_statistics(pairs.insert_sizes(made, limit=None)).collect()}
+    want = {}
+    for s, xs in sizes.items():
+        middle = sorted(xs)[max(int(len(xs) * 0.05) - 1, 0) : int(len(xs) * 0.95)]
+        if middle:
+            want[s] = float(np.median(middle)), float(np.median(np.abs(np.array(xs) - np.median(xs))))
+    assert got == want
+
+
 def test_pairs_by_name(spark):
     r = spark.createDataFrame([("s", "1", "DELETION", "q", 5000, 5099, 2), ("s", "1", "DELETION", "q", 100, 199, 1), ("s", "1", "DELETION", "z", 7, 9, 3)], "sample string, chrom string, sv_type string, qname string, start int, end int, ord long")
     assert rows(pairs.read_pairs(r), *pairs.PLACE) == [(100, 199, 5000, 5099)]
