@@ -100,14 +100,14 @@ def chains(contigs: DataFrame, windows: DataFrame, seed: int = SEED, common: int
     q = kmers(contigs.filter(F.length("seq") >= seed), "seq", "q")
     r = kmers(windows.filter(F.length("bases") >= seed), "bases", "r")
     rare = r.groupBy("call_id", "kmer").agg(F.collect_list("r").alias("rs"), F.count("*").alias("n")).filter(F.col("n") <= common)
-    hits = q.join(rare, ["call_id", "kmer"]).select("call_id", "contig", "q", F.explode(F.transform("rs", lambda x: x - F.col("q"))).alias("d"))
+    hits = q.hint("merge").join(rare, ["call_id", "kmer"]).select("call_id", "contig", "q", F.explode(F.transform("rs", lambda x: x - F.col("q"))).alias("d"))
     diagonals = hits.groupBy("call_id", "contig", "d").agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
     order = Window.partitionBy("call_id", "contig").orderBy("d")
     before = F.lag("d").over(order)
     marked = diagonals.withColumn("new", F.when(before.isNull() | (F.col("d") - before > band), 1).otherwise(0))
     numbered = marked.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = numbered.groupBy("call_id", "contig", "chain").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), (F.min("q0") - 1).alias("q0"), (F.max("q1") - 1 + seed).alias("q1"))
-    met = spans.join(contigs.select("call_id", "contig", "seq"), ["call_id", "contig"]).join(windows.select("call_id", "bases"), "call_id")
+    met = spans.hint("merge").join(contigs.select("call_id", "contig", "seq"), ["call_id", "contig"]).hint("merge").join(windows.select("call_id", "bases"), "call_id")
     at, stop = F.greatest(F.col("q0") - band, F.lit(0)), F.least(F.col("q1") + band, F.length("seq"))
     low = F.greatest(at + F.col("d0") - SLACK, F.lit(0))
     high = stop + F.col("d1") + SLACK

@@ -29,7 +29,8 @@ def links(kmers: DataFrame, k: int = K) -> DataFrame:
     commonest = F.min_by("kmer", F.struct(-F.col("n"), "kmer"))
     into = kmers.groupBy("call_id", F.substring("kmer", 2, k - 1).alias("joint")).agg(commonest.alias("kmer"))
     out = kmers.groupBy("call_id", F.substring("kmer", 1, k - 1).alias("joint")).agg(commonest.alias("next"))
-    return into.join(out, ["call_id", "joint"]).select("call_id", "kmer", "next")
+    # Sizes are guessed from the reads, not from their k-mers, so without the hint a table of k-mers would be sent whole to all.
+    return into.hint("merge").join(out, ["call_id", "joint"]).select("call_id", "kmer", "next")
 
 
 def walked(rows: Rows) -> Iterator[tuple]:
@@ -58,7 +59,7 @@ def contigs(reads: DataFrame, k: int = K, least: int = LEAST, shortest: int | No
     takes one call's solid k-mers together, a few for each letter of its windows. Reads lie on one strand, as alignment files hold them.
     """
     kmers = solid_kmers(reads, k, least)
-    rows = kmers.join(links(kmers, k), ["call_id", "kmer"], "left").select("call_id", "kmer", "n", "next")
+    rows = kmers.hint("merge").join(links(kmers, k), ["call_id", "kmer"], "left").select("call_id", "kmer", "n", "next")
     call = dict(reads.dtypes)["call_id"]
     found = per_group(rows, ["call_id"], ["kmer"], walked, f"call_id {call}, contig int, seq string, kmers int, depth double")
     return found.filter(F.length("seq") >= (2 * k if shortest is None else shortest))

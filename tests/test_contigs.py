@@ -147,3 +147,16 @@ def test_refinement_by_assembly(spark, kind, evidence):
     got = rows(refine.assembled_breakpoints(df, supporting, reference), "start", "end", "evidence")
     assert len(got) == 2 and got[1] == (8_100, 8_600, "RD:RP")
     assert abs(got[0][0] - start) <= 4 and abs(got[0][1] - end) <= 4 and got[0][2] == f"{evidence}:BP"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_kmers_are_never_sent_whole(spark):
+    """A few letters of input say nothing about the number of k-mers, so joins of k-mers shuffle."""
+    found = assembly.contigs(spark.createDataFrame([(1, "ACGTACGTTT")], "call_id long, seq string"), 5, 1)
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+    made = spark.createDataFrame([(1, 0, "ACGT" * 10)], "call_id long, contig int, seq string")
+    met = alignment.chains(made, made.select("call_id", made.seq.alias("bases")))
+    assert "SortMergeJoin" in plan(met) and "BroadcastHashJoin" not in plan(met)
