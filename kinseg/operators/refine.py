@@ -115,7 +115,7 @@ def soft_clip_breakpoints(calls: DataFrame, reads: DataFrame, size: int = 400, b
     clipped = reads.filter(soft_clip_evidence(left_clipped() | right_clipped())).select("chrom", "sample_idx", "bam_ord", "ord", "start", "cigar", F.explode(sides).alias("s"))
     clipped = clipped.filter(((F.col("s.side") == "left") & left_clipped()) | ((F.col("s.side") == "right") & right_clipped()))
     points = clipped.select("chrom", "sample_idx", "bam_ord", "ord", F.col("start").alias("read_start"), "s.side", F.col("s.at").alias("start"), F.col("s.at").alias("end"))
-    met = overlap_join(points, windows, bucket).withColumnRenamed("r_call_id", "call_id").join(types, ["call_id", "sample_idx"])
+    met = overlap_join(points, windows, bucket).withColumnRenamed("r_call_id", "call_id").hint("merge").join(types, ["call_id", "sample_idx"])
     deletion = F.col("type") == "DELETION"
     starts = F.when(deletion, (F.col("side") == "right") & F.col("r_first")).otherwise((F.col("side") == "left") & F.col("r_first"))
     ends = F.when(deletion, (F.col("side") == "left") & F.col("r_last")).otherwise((F.col("side") == "right") & F.col("r_last"))
@@ -137,9 +137,9 @@ def supporting_pairs(calls: DataFrame, reads: DataFrame, parameters: DataFrame,
     reads = reads.filter(~has(SECONDARY | SUPPLEMENTARY))
     types = calls.select("call_id", F.posexplode(F.array(*TYPES)).alias("sample_idx", "type")).filter("type <> 'REFERENCE'")
     inside = overlap_join(reads, windows, bucket).filter((F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end")))
-    inside = inside.withColumnRenamed("r_call_id", "call_id").join(types, ["call_id", "sample_idx"])
+    inside = inside.withColumnRenamed("r_call_id", "call_id").hint("merge").join(types, ["call_id", "sample_idx"])
     names = inside.select("call_id", "sample_idx", "type", "qname").distinct()
-    both = reads.join(names, ["sample_idx", "qname"]).filter(has(PAIRED)).withColumn("one", has(0x40))
+    both = reads.hint("merge").join(names, ["sample_idx", "qname"]).filter(has(PAIRED)).withColumn("one", has(0x40))
     par = F.broadcast(parameters.select("sample", F.col("median").cast("int").alias("_m"), F.col("mad").cast("int").alias("_d")))
     both = both.join(par, "sample")
     shown = F.col("cigar").contains("S") | one_end_anchored()
@@ -150,7 +150,7 @@ def supporting_pairs(calls: DataFrame, reads: DataFrame, parameters: DataFrame,
     paired = paired.filter("(shown = 1 or odd = 1) and seq1 is not null and seq2 is not null and seq1 <> seq2")
     ranked = paired.withColumn("_n", F.row_number().over(Window.partitionBy("call_id", "bam_ord").orderBy("ord", "qname")))
     full = ranked.groupBy("call_id", "bam_ord").agg(F.max("_n").alias("m")).filter(F.col("m") >= limit).groupBy("call_id").agg(F.min("bam_ord").alias("stop"))
-    kept = ranked.join(full, "call_id", "left").filter((F.col("_n") <= limit) & (F.col("stop").isNull() | (F.col("bam_ord") <= F.col("stop"))))
+    kept = ranked.hint("merge").join(full, "call_id", "left").filter((F.col("_n") <= limit) & (F.col("stop").isNull() | (F.col("bam_ord") <= F.col("stop"))))
     return kept.select("call_id", "sample_idx", "bam_ord", "qname", "seq1", "seq2")
 
 

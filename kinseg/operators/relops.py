@@ -86,7 +86,8 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int, how: str = "inn
     present = right.agg(F.collect_set(_own_level("start", "end", widths, fan))).scalar()
     r = _right_bins(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), widths, fan)
     same = (F.col(key) == F.col(f"r_{key}")) & (F.col("_level") == F.col("_r_level")) & (F.col("_bin") == F.col("_r_bin"))
-    met = _left_bins(left, present, widths, fan).join(r, same)
+    # Right is guessed as large as its intervals, not as the rows of their bins, so it is not sent whole to all.
+    met = _left_bins(left, present, widths, fan).hint("merge").join(r, same)
     width = F.get(F.array(*(F.lit(w) for w in widths)), F.abs("_level"))
     first = F.floor(F.greatest("start", "r_start") / width)
     met = met.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_bin") == first))

@@ -384,3 +384,14 @@ def test_groups_survive_batch_boundaries(spark):
     got = relops.per_group(df, ["k"], ["id"], lambda g: [(g["k"][0], len(g["k"]))], "k long, n long")
     assert rows(got, "k", "n") == [(k, 12 if k == 0 else 11) for k in range(9)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+
+
+def test_bins_of_intervals_are_never_sent_whole(spark):
+    """Calls, their windows and the names met in them shuffle; the table of samples alone is sent to all."""
+    place = spark.createDataFrame([("1", 1, 9)], "chrom string, start long, end long")
+    assert "BroadcastHashJoin" not in relops.overlap_join(place, place, 10)._jdf.queryExecution().executedPlan().toString()
+    reads = spark.createDataFrame([], "sample string, sample_idx int, bam_ord int, ord long, qname string, flag int, chrom string, start long, end long, cigar string, mate_start long, tlen int, seq string")
+    calls = spark.createDataFrame([], "call_id long, chrom string, start long, end long, type0 string, type1 string, type2 string")
+    parameters = spark.createDataFrame([("a", 250.0, 10.0)], "sample string, median double, mad double")
+    text = refine.supporting_pairs(calls, reads, parameters)._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in text.splitlines() if "BroadcastHashJoin" in x and "sample#" not in x] == []
