@@ -49,14 +49,16 @@ def interval_file(spark, sf_dir):
     return tables.intervals(spark, path)
 
 
+#: Bytes of a file that a task reads.
+PART = 4 << 20
 BINARY = f"""{ad.ALIGNMENTS}, binary_ AS (SELECT qname, flag, chrom, (chrom::INT - 1)::INT AS ref_idx, start, start + CASE cigar WHEN '100M' THEN 99 ELSE 69 END AS "end", mapq, cigar, mate_start, tlen, md5(qname || start) AS letters, ord FROM alignments)"""
 
 
 def binary_reads(spark, sf_dir):
-    """Line items as alignments with letters and tags, sorted by place, as three binary files."""
+    """Line items as alignments with letters and tags, sorted by place, as binary files, as many as their size asks for."""
     letters = F.translate(F.md5(F.concat("qname", "start")), "0123456789abcdef", "ACGTACGTACGTACGT")
     rows = ad.alignments(spark, sf_dir).select("qname", "flag", "chrom", "start", "mapq", "cigar", "mate_ref_idx", "mate_start", "tlen", letters.alias("seq"), F.rpad(F.lit("I"), 32, "F#").alias("qual"), F.create_map(F.lit("XO"), F.col("ord").cast("string")).alias("tags"))
-    return rows.repartitionByRange(3, "chrom", "start").sortWithinPartitions("chrom", "start")
+    return rows.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
 
 
 def binary_file(spark, sf_dir) -> str:
@@ -67,8 +69,8 @@ def binary_file(spark, sf_dir) -> str:
 
 @query(f"""WITH {BINARY} SELECT qname, flag, chrom, ref_idx, start, "end", mapq, cigar, mate_start, tlen, translate(letters, '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, rpad('I', 32, 'F#') AS qual, ord::VARCHAR AS tag FROM binary_""")
 def bam_file(spark, sf_dir):
-    """Written by tasks and read in parts of 200 kB."""
-    found = bam.read_bam(spark, binary_file(spark, sf_dir), split=200_000)
+    """Written by tasks and read in parts."""
+    found = bam.read_bam(spark, binary_file(spark, sf_dir), split=PART)
     return found.select("qname", "flag", "chrom", "ref_idx", "start", "end", "mapq", "cigar", "mate_start", "tlen", "seq", "qual", F.element_at("tags", "XO").alias("tag"))
 
 
@@ -78,7 +80,7 @@ def indexed_file(spark, sf_dir):
     """Reads of the places of some orders by way of the index."""
     path = binary_file(spark, sf_dir)
     where = folder(spark, "index")
-    bam.build_index(bam.read_bam(spark, path, split=200_000, extra=True)).write.parquet(where)
+    bam.build_index(bam.read_bam(spark, path, split=PART, extra=True)).write.parquet(where)
     o = ad.load(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
     low = F.col("o_custkey") * 700
     windows = o.select((F.col("o_orderkey") % 5).cast("int").alias("ref_idx"), low.cast("int").alias("start"), (low + F.col("o_orderkey") % 400).cast("int").alias("end"))

@@ -29,8 +29,8 @@ DOUBLE = [BASES[i >> 4] + BASES[i & 15] for i in range(256)]
 CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 #: Bytes of a partition, of plain text in a block that is written, records of a batch, and records that must follow each other to begin at a guess.
 SPLIT, FILLED, ROWS, TRUSTED = 32 << 20, 0xFF00, 4096, 4
-#: The place of a record: its file in the highest byte, its block's place in the file, its place in the block.
-FILE, OFFSET = 56, 16
+#: The place of a record: its file in the highest ten bits, its block's place in the file (up to 128 GB), its place in the block.
+FILE, OFFSET = 53, 16
 
 FIELDS = "file int, ord long, stop long, qname string, flag int, chrom string, ref_idx int, start int, mapq int, cigar string, mate_ref_idx int, mate_start int, tlen int, seq string, qual string, tags map<string,string>"
 ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
@@ -46,6 +46,8 @@ def files(path: str) -> list[str]:
     store, at = _store(path)
     if store.get_file_info(at).type == fs.FileType.Directory:
         at = sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".bam") and not f.base_name.startswith("_"))
+        if len(at) > 1 << 63 - FILE:
+            raise ValueError(f"{path} holds more than {1 << 63 - FILE} files")
         prefix = path[: path.index("://") + 3] if "://" in path else ""
         return [prefix + f for f in at]
     return [path]
@@ -417,7 +419,7 @@ def build_index(reads: DataFrame) -> DataFrame:
     16 kb also have the first and the last place of all records that reach into
     them, so that what lies outside need not be read, however large the bin that holds it. Files need not be sorted.
     """
-    placed = reads.filter("ref_idx is not null and start > 0").withColumn("last", F.greatest("end", "start"))
+    placed = reads.filter("ref_idx is not null").withColumn("start", F.greatest("start", F.lit(1))).withColumn("last", F.greatest("end", "start"))
     placed = placed.select("file", "ref_idx", F.col("ord").alias("begin"), "stop", (F.col("start") - 1).alias("low"), F.col("last").alias("high"))
     binned = placed.withColumn("bin", bin_column(F.col("low"), F.col("high")))
     slot = F.floor(F.shiftright(F.col("begin"), OFFSET) / (1 << 16))

@@ -128,3 +128,13 @@ def test_empty_files_and_folders(spark, tmp_path):
     (tmp_path / "text.bam").write_bytes(b"no such thing")
     with pytest.raises(Exception, match="no block begins"):
         bam.read_bam(spark, str(tmp_path / "text.bam"), "kid").count()
+
+
+def test_more_files_than_a_byte_counts(spark, tmp_path):
+    """Places of records in files beyond the 128th are whole numbers that tell them apart."""
+    n = 140
+    df = spark.createDataFrame([(f"r{i}", 0, "1", 1 + i, 60, "4M", None, 0, 0, "ACGT", "IIII", {}) for i in range(n)], SCHEMA)
+    bam.write_bam(df.repartitionByRange(n, "start"), str(tmp_path / "many"), CONTIGS, "kid")
+    found = bam.read_bam(spark, str(tmp_path / "many")).select("ord", "qname").collect()
+    assert len(bam.files(str(tmp_path / "many"))) > 128
+    assert sorted(r.qname for r in found) == sorted(f"r{i}" for i in range(n)) and len({r.ord for r in found}) == n and min(r.ord for r in found) > 0
