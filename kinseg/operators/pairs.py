@@ -17,6 +17,8 @@ SIZES_PER_SAMPLE = 1_000_000
 ORDS_PER_RANGE = 1_000_000
 SCALE, WIDTH = 1.4826, 3
 LEAST_PAIRS, MOST_PAIRS, LEAST_LENGTH = 3, 499, 50
+#: Pairs of fewer bases look for regions with both reads at once.
+NEAR = 2_000
 PLACE = ("left_first", "right_first", "left_second", "right_second")
 
 
@@ -74,11 +76,20 @@ def read_pairs(found: DataFrame) -> DataFrame:
 
 
 def exclude_pairs(pairs: DataFrame, regions: DataFrame, bucket: int = 100_000) -> DataFrame:
-    """Pairs neither read of which overlaps a region (closed intervals)."""
-    place = ["chrom", "left_first", "right_first", "left_second", "right_second"]
-    ends = F.explode(F.array(F.struct(F.col("left_first").alias("start"), F.col("right_first").alias("end")), F.struct(F.col("left_second").alias("start"), F.col("right_second").alias("end"))))
+    """Pairs neither read of which overlaps a region (closed intervals).
+
+    A pair whose reads lie near each other looks for regions once, along both reads and what is between, and
+    its reads decide on those it meets; other pairs look once for each read.
+    """
+    place = ["chrom", *PLACE]
+    span = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
+    near = (F.col("left_first") <= F.col("right_first")) & (F.col("right_first") <= F.col("right_second")) & (F.col("left_first") <= F.col("left_second"))
+    near = near & (F.col("left_second") <= F.col("right_second")) & (F.col("right_second") - F.col("left_first") < NEAR)
+    ends = F.explode(F.when(near, F.array(span("left_first", "right_second"))).otherwise(F.array(span("left_first", "right_first"), span("left_second", "right_second"))))
     reads = pairs.select(*place).distinct().select(*place, ends.alias("e")).select(*place, "e.start", "e.end")
-    hit = overlap_join(reads, regions, bucket).select(*place).distinct()
+    touches = lambda a, b: (F.col(a) <= F.col("r_end")) & (F.col("r_start") <= F.col(b))
+    met = overlap_join(reads, regions, bucket).filter(touches("left_first", "right_first") | touches("left_second", "right_second"))
+    hit = met.select(*place).distinct()
     return pairs.join(hit, place, "left_anti")
 
 

@@ -395,3 +395,14 @@ def test_bins_of_intervals_are_never_sent_whole(spark):
     parameters = spark.createDataFrame([("a", 250.0, 10.0)], "sample string, median double, mad double")
     text = refine.supporting_pairs(calls, reads, parameters)._jdf.queryExecution().executedPlan().toString()
     assert [x for x in text.splitlines() if "BroadcastHashJoin" in x and "sample#" not in x] == []
+
+
+def test_near_pairs_take_one_row_and_gaps_hit_nothing(spark):
+    """A region between the reads of a pair, near or far, excludes nothing; near pairs enter the join once."""
+    rng = np.random.default_rng(3)
+    made = [(str(i % 2), a, a + 99, a + 99 + g, a + 198 + g) for i in range(400) for a, g in [(int(rng.integers(1, 60_000)), int(rng.choice([-50, 30, 700, 5_000, 20_000])))]]
+    regions = [("0", a, a + int(rng.integers(0, 300))) for a in rng.integers(1, 80_000, 60).tolist()]
+    want = sorted(p for p in made if not any(p[0] == c and ((p[1] <= e and s <= p[2]) or (p[3] <= e and s <= p[4])) for c, s, e in regions))
+    df = spark.createDataFrame(made, "chrom string, left_first long, right_first long, left_second long, right_second long")
+    found = pairs.exclude_pairs(df, spark.createDataFrame(regions, "chrom string, start long, end long"), 10_000)
+    assert rows(found, *df.columns) == want
