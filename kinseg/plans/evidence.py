@@ -47,10 +47,14 @@ SELECT f.chrom, f.start, f."end", rd0, rd1, rd2, coalesce(gc, -1)::INT AS gc, ro
 FROM filled f LEFT JOIN gc ON gc.chrom = f.chrom AND gc.bin = f.bin LEFT JOIN mappable m ON m.name = replace(f.chrom, 'chr', '') AND m.bin = f.bin""")
 def read_depth(spark, sf_dir):
     """The whole window table; two contigs have bases, from part names of 30 letters, and a signal that writes chr before both names."""
-    p = ad.load(spark, sf_dir, "part").withColumn("even", F.col("p_partkey") % 2 == 0).withColumn("n", F.floor((F.col("p_partkey") - 1) / 2))
-    bases = F.rpad(F.upper("p_name"), 30, "ACGTN")
-    reference = p.select(F.when(F.col("even"), "2").otherwise("chr1").alias("chrom"), (F.col("n") * 30 + 1).cast("int").alias("chunk_start"), bases.alias("bases"))
-    signal = p.select(F.when(F.col("even"), "chr2").otherwise("chr1").alias("chrom"), (F.col("n") * 40).alias("start0"), (F.col("n") * 40 + 40).alias("end0"), (F.col("p_size") / 50.0).alias("value"))
+    p = ad.load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", (F.col("p_partkey") % 2 == 0).alias("even"), F.floor(F.col("p_partkey") / 1000).alias("range"))
+    # A name lies behind those of smaller keys of its contig: of the ranges of keys before its own, a table of a row each, and within it.
+    earlier = lambda keys, order, column: F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = p.groupBy("even", "range").agg(F.count("*").alias("n")).select("even", "range", earlier(["even"], "range", F.col("n")).alias("before"))
+    names = p.join(before, ["even", "range"]).withColumn("n", F.col("before") + earlier(["even", "range"], "p_partkey", F.lit(1)))
+    reference = names.select(F.when(F.col("even"), "2").otherwise("chr1").alias("chrom"), (F.col("n") * 30 + 1).cast("int").alias("chunk_start"), F.rpad(F.upper("p_name"), 30, "ACGTN").alias("bases"))
+    at = ((F.col("p_partkey") - 1) / 2).cast("long") * 40
+    signal = p.select(F.when(F.col("even"), "chr2").otherwise("chr1").alias("chrom"), at.alias("start0"), (at + 40).alias("end0"), (F.col("p_size") / 50.0).alias("value"))
     return depth.read_depth(named_reads(spark, sf_dir), reference, signal, WIDTH).withColumn("mappability", F.round("mappability", DIGITS))
 
 
