@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from struct import unpack_from
+from struct import pack, unpack_from
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinseg.llm.shared import held, whole
+from kinseg.llm.shared import Recent, held, whole
 
 MARK = "▁"
 #: Piece types and model types of the model file.
@@ -24,10 +24,10 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: A marker behind another character, which lets a piece reach across the end of a chunk.
 INNER = re.compile(f"[^{MARK}]{MARK}")
 THREADS = 2
-#: The original library encodes one in so many texts as a whole, too, chosen by the checksum of its ids.
-WHOLE = 16
-#: A worker keeps the ids of so many distinct chunks, then starts anew.
-KEPT = 400_000
+#: The original library encodes one in so many texts as a whole, too: every one.
+WHOLE = 1
+#: A worker keeps the ids of so many distinct chunks, for two generations.
+KEPT = 300_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -141,11 +141,11 @@ def spelt(ids: list[int], tokens: list[str], unknown: int, first_byte: int) -> l
     return out
 
 
-class Codec(dict):
-    """Maps a chunk to its ids as unsigned 32-bit bytes; `bad` and `lossy` hold chunks the original library encodes otherwise, or that do not decode to themselves."""
+class Codec(Recent):
+    """Maps a chunk to its ids as unsigned 32-bit bytes; `lossy` holds chunks that do not decode to themselves, `bad` those the original library encodes otherwise (unless it is given all whole texts)."""
 
     def __init__(self, path: str, threads: int = THREADS):
-        super().__init__()
+        super().__init__(KEPT)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from sentencepiece import SentencePieceProcessor
@@ -190,22 +190,30 @@ class Codec(dict):
         return out + self.pieces_of(text[at:])
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode, in one multithreaded batch, what is not known yet, and check it."""
-        if len(self) > KEPT:
+        """Encode what is not known yet, and check it: merges by the model alone, as chunks are normalised and cut, unigrams in one multithreaded batch."""
+        if len(self) > self.kept:
+            self.before = dict(self)
             self.clear()
             self.update(self.atoms)
         new = [c for c in chunks if c not in self]
+        if self.before:
+            self.update((c, self.before[c]) for c in new if c in self.before)
+            new = [c for c in new if c not in self]
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if self.spec["type"] == BPE:
+            tokens = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokens(c)] for c in new]
+        else:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         if self.unknown is not None and any(self.unknown in ids for ids in found):
             made = self.tokenizer.encode_batch(new, add_special_tokens=False)  # the fast way keeps no strings
             found = [spelt(ids, e.tokens, self.unknown, self.first_byte) if self.unknown in ids else ids for ids, e in zip(found, made)]
         for chunk, ids, back in zip(new, found, self.tokenizer.decode_batch(found, skip_special_tokens=False)):
-            self[chunk] = np.array(ids, "<u4").tobytes()
+            self[chunk] = pack(f"<{len(ids)}I", *ids)
             if back != chunk.replace(MARK, " "):
                 self.lossy.add(chunk)
-        if not self.atoms:
+        if self.whole > 1:
             self.compare(new, found)
 
     def compare(self, chunks: list[str], found: list[list[int]]) -> None:
@@ -221,8 +229,8 @@ class Codec(dict):
         """For each text, whether the original library encodes it as a whole to other ids; None where not compared."""
         asked = [i for i, x in enumerate(ids) if crc32(x) % self.whole == 0]
         out: list[bool | None] = [None] * len(texts)
-        for i, other in zip(asked, self.original.encode([texts[i] for i in asked], num_threads=1)):
-            out[i] = np.array(other, "<u4").tobytes() != ids[i]
+        for i in asked:
+            out[i] = self.original.encode_as_numpy(texts[i]).astype("<u4").tobytes() != ids[i]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -266,10 +274,8 @@ def digests(docs: DataFrame, path: str, block: int = 500) -> DataFrame:
     """One row per document: doc_id, n_ids, n_byte_ids, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip, parity.
 
     round_trip: the ids decode to the text, or to what the model's normaliser leaves of it. parity: whether the
-    original library, given the whole text, gives the same ids; one text in WHOLE is compared so, every one if the
-    model has user-defined pieces. Of the others the library is asked for every distinct chunk a worker meets (a chunk
-    ends where no piece reaches across): parity is false where it differs on one, else null, as the whole was not compared. Null and empty texts have no ids; repeated rows and null ids
-    come back as they came; an empty table gives no rows. Other columns are ignored.
+    original library, given the whole text, gives the same ids; every text is compared. Null and empty texts have no ids;
+    repeated rows and null ids come back as they came; an empty table gives no rows. Other columns are ignored.
     """
     names = ["n_ids", "n_byte_ids", "ids_crc32", "round_trip", "parity"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]

@@ -571,3 +571,17 @@ def test_texts_are_compared_as_wholes(tmp_path):
     assert codec.differs(texts, ids) == [False] * 3 and codec.differs(texts, [ids[2], ids[0], ids[1]]) == [True] * 3
     codec.whole = 1 << 40  # only checksum zero, that of no ids, is divisible by it
     assert codec.differs(texts, ids) == [None, False, None]
+
+
+def test_parity_is_told_of_every_text(documents):
+    """Whatever the checksum of its ids, a text is compared with the original library as a whole."""
+    given = pieces.digests(documents, path("piece_bpe_32k.model"))
+    assert given.filter("parity is null").count() == 0 and given.filter("parity").count() == documents.count()
+
+
+def test_parity_is_false_for_each_text_encoded_otherwise():
+    codec = pieces.Codec(path("piece_bpe_32k.model"))
+    texts = [f"text {i} of some words" for i in range(40)]
+    ids = codec.encode(texts)
+    assert codec.differs(texts, ids) == [False] * 40
+    assert codec.differs(texts, ids[1:] + ids[:1]) == [True] * 40
