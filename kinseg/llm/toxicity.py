@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinseg.llm.shared import held, remainder, whole, written
+from kinseg.llm.shared import held, release, remainder, whole, written
 
 TOKEN = re.compile(r"[^\W_]+(?:['’*@$!][^\W_]+)*")
 #: Hashed subword buckets, width of a vector, lengths of the character n-grams.
@@ -25,6 +25,8 @@ LEAST_DOCS = 20
 #: Descent over each text's worst window: steps, rate, momentum, decay.
 STEPS, RATE, MOMENTUM, DECAY, SEED = 30, 100.0, 0.9, 0.003, 7
 FOLDS = 5
+#: Training gathers so many rows of vectors at a time, some 16 MB.
+BLOCK = 1 << 19
 #: A worker keeps the weights of so many distinct words, then starts anew.
 KEPT = 200_000
 
@@ -36,12 +38,23 @@ def subwords(word: str) -> list[int]:
     return [crc32(g.encode()) % BUCKETS for g in grams]
 
 
-def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Row sums of values by their sorted owner."""
+def _sums(values: np.ndarray, at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Row sums of values[at] by their sorted owner; some BLOCK rows are gathered at a time, whole owners only."""
     out = np.zeros((n, values.shape[1]), np.float32)
     if len(owner):
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        out[owner[first]] = np.add.reduceat(values, first, axis=0)
+        cuts = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(owner), BLOCK)), len(first)])
+        for a, b in zip(cuts, cuts[1:]):
+            low, high = first[a], first[b] if b < len(first) else len(owner)
+            out[owner[first[a:b]]] = np.add.reduceat(values[at[low:high]], first[a:b] - low, axis=0)
+    return out
+
+
+def _weighed(unit: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n units the sum of weight[owner] (whole numbers, so the blocks do not show)."""
+    out = np.zeros(n)
+    for a in range(0, len(unit), BLOCK):
+        out += np.bincount(unit[a : a + BLOCK], weights=weight[owner[a : a + BLOCK]], minlength=n)
     return out
 
 
@@ -77,28 +90,35 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
         own = subwords(word)
         flat.extend(own)
         lengths[i] = len(own)
+    ids.clear()
     unit, owner = np.frombuffer(flat, np.int32), np.repeat(np.arange(n_words, dtype=np.int32), lengths.astype(np.int64))
-    in_docs = np.bincount(np.unique(text_of[window_of].astype(np.int64) * n_words + word_of) % n_words, minlength=n_words)
-    often = np.bincount(unit, weights=in_docs[owner], minlength=BUCKETS)[unit] >= max(3, min(LEAST_DOCS, int(y.sum()) // 40))
-    buckets, unit = np.unique(unit[often], return_inverse=True)
-    owner, lengths = owner[often], lengths[:, None]
+    in_texts = text_of[window_of].astype(np.int64) * n_words
+    in_texts += word_of
+    in_texts = np.unique(in_texts)
+    per_label = [np.bincount(in_texts[y[in_texts // n_words] == t] % n_words, minlength=n_words) for t in (0, 1)]
+    del in_texts
+    often = _weighed(unit, per_label[0] + per_label[1], owner, BUCKETS) >= max(3, min(LEAST_DOCS, int(y.sum()) // 40))
+    taken = often[unit]
+    buckets = np.flatnonzero(often & (np.bincount(unit, minlength=BUCKETS) > 0))
+    unit, owner, lengths = (np.cumsum(often, dtype=np.int32) - 1)[unit[taken]], owner[taken], lengths[:, None]
+    del flat, taken
     if not len(buckets):
         return buckets, np.zeros(0, np.float32), 0.0
     by_unit = np.argsort(unit, kind="stable")
     sorted_unit, unit_owner = unit[by_unit], owner[by_unit]
+    del by_unit
     by_word = np.argsort(word_of, kind="stable")
     sorted_word, word_window = word_of[by_word], window_of[by_word]
+    del by_word
     first_window = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]])
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(n_texts - y.sum(), 1)).astype(np.float32)
     vectors, w, bias = rng.normal(0, 0.01, (len(buckets), WIDTH)).astype(np.float32), rng.normal(0, 0.01, WIDTH).astype(np.float32), 0.0
-    in_texts = np.unique(text_of[window_of].astype(np.int64) * n_words + word_of)
-    per_label = [np.bincount(in_texts[y[in_texts // n_words] == t] % n_words, minlength=n_words) for t in (0, 1)]
-    usual = [(np.bincount(unit, weights=c[owner], minlength=len(buckets)) + 0.5) / (np.bincount(y > 0, minlength=2)[t] + 1) for t, c in enumerate(per_label)]
+    usual = [(_weighed(unit, c, owner, len(buckets)) + 0.5) / (np.bincount(y > 0, minlength=2)[t] + 1) for t, c in enumerate(per_label)]
     vectors[:, 0] += (np.log(usual[1]) - np.log(usual[0])).astype(np.float32)
     w[0] += 1
     speed, speed_w = np.zeros_like(vectors), np.zeros_like(w)
     for step in range(STEPS):
-        means = _sums(_sums(vectors[unit], owner, n_words)[word_of] / lengths[word_of], window_of, n_windows) / sizes
+        means = _sums(_sums(vectors, unit, owner, n_words) / lengths, word_of, window_of, n_windows) / sizes
         logit = means @ w + bias
         highest = np.maximum.reduceat(logit, first_window)
         if step == 0:
@@ -110,8 +130,8 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
         slope = np.zeros(n_windows, np.float32)
         slope[top[first]] = (1 / (1 + np.exp(-np.clip(logit[top[first]], -30, 30))) - y[text]) * weight[text]
         speed_w = MOMENTUM * speed_w + means.T @ slope
-        on_word = _sums((slope / sizes[:, 0])[word_window][:, None] * w, sorted_word, n_words) / lengths
-        speed = MOMENTUM * speed + _sums(on_word[unit_owner], sorted_unit, len(buckets))
+        on_word = _sums((slope / sizes[:, 0])[:, None] * w, word_window, sorted_word, n_words) / lengths
+        speed = MOMENTUM * speed + _sums(on_word, unit_owner, sorted_unit, len(buckets))
         vectors -= RATE * speed + DECAY * vectors
         w = w - RATE / 1000 * speed_w
         bias -= 0.5 * float(slope.sum())
@@ -159,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     texts = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("one", F.lit(0))
 
     def fitted(rows: pa.Table) -> pa.Table:
+        release()
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         buckets, gain, bias = train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
         return pa.table({"buckets": pa.array([buckets.astype("<i4").tobytes()]), "gain": pa.array([gain.astype("<f4").tobytes()]), "bias": pa.array([float(bias)])})

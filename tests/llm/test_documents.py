@@ -585,3 +585,21 @@ def test_parity_is_false_for_each_text_encoded_otherwise():
     ids = codec.encode(texts)
     assert codec.differs(texts, ids) == [False] * 40
     assert codec.differs(texts, ids[1:] + ids[:1]) == [True] * 40
+
+
+def test_toxicity_training_gathers_a_bounded_number_of_rows(monkeypatch):
+    """Row sums and the model are the same in blocks of any size, and a block bounds the memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    values, at, owner = rng.normal(size=(500, 8)).astype(np.float32), rng.integers(0, 500, 400_000), np.sort(rng.integers(0, 900, 400_000)).astype(np.int32)
+    texts, labels = [prose(i, 90) + (" grumblix" if i % 3 == 0 else "") for i in range(90)], [int(i % 3 == 0) for i in range(90)]
+    whole_sums, whole_model = toxicity._sums(values, at, owner, 900), toxicity.train(texts, labels)
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    tracemalloc.start()
+    sums = toxicity._sums(values, at, owner, 900)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (sums == whole_sums).all() and peak < values.itemsize * 8 * len(at) / 2
+    model = toxicity.train(texts, labels)
+    assert (model[0] == whole_model[0]).all() and (model[1] == whole_model[1]).all() and model[2] == whole_model[2]
