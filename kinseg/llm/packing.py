@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinseg.llm.shared import whole, written
-from kinseg.llm.wordids import word_ids
+from kinseg.llm.wordids import KEPT, word_ids
 
 WINDOW = 2048
 OPEN = 64
@@ -75,7 +75,7 @@ def _first_id(level: int) -> int:
     return level << 58 | TaskContext.get().partitionId() << 32
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, open_windows: int = OPEN, fan_in: int = FAN_IN) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, open_windows: int = OPEN, fan_in: int = FAN_IN, kept: int = KEPT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids by the word-level BPE file at `path`, then id 1. Every
@@ -86,12 +86,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, open_windows: int = O
     left, whose few windows are the last sequences. A round is written to the
     shared folder, so that ids and offsets stay the same when tasks run again.
 
-    A null or empty text is the id 1 alone; null and repeated doc_ids are packed
+    A worker keeps the ids of `kept` distinct words, twice over. A null or empty text is the id 1 alone; null and repeated doc_ids are packed
     as they come; an empty table gives no rows. Other columns are ignored.
     """
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, words = Windows(window, open_windows, _first_id(0)), word_ids(path)
+        windows, words = Windows(window, open_windows, _first_id(0)), word_ids(path, kept)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = words.ids(text.as_py()) + b"\x01\0\0\0"

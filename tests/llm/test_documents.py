@@ -603,3 +603,12 @@ def test_toxicity_training_gathers_a_bounded_number_of_rows(monkeypatch):
     assert (sums == whole_sums).all() and peak < values.itemsize * 8 * len(at) / 2
     model = toxicity.train(texts, labels)
     assert (model[0] == whole_model[0]).all() and (model[1] == whole_model[1]).all() and model[2] == whole_model[2]
+
+
+def test_word_ids_match_the_library_with_stops_behind_words_and_over_generations():
+    from kinseg.llm.wordids import WordIds
+
+    words = WordIds(path("word_bpe_49k.json"), 3)
+    for text in ["And, so. And so!?", "A. a.b. ..., don't. é. İ. x<|endoftext|>. a1. ß, a\x00b. ,.", "one two three four five one, two. And"] * 2:
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words) <= 3 and len(words.before) <= 3 and len(words.parts) <= 3
