@@ -35,6 +35,8 @@ DONORS = np.random.default_rng(SEED).integers(0, SEGMENTS * SAMPLED, (SEGMENTS *
 SLOTS = 1 << 18
 #: Bits of a text's outline, which bounds its similarity to others; texts of a large group compared in one cell, along either side.
 OUTLINE, CELL = 1024, 512
+#: Bits of the outlines of texts that are compared in full; sizes of such texts in one band differ by this factor at most.
+WIDE, BAND = 8192, 1.03
 #: Fingerprints of candidates are sent to every executor up to so many, joined by a shuffle beyond.
 BROADCAST_KEYS = 400_000
 #: Segment values shared by more fingerprints than this are matched by midpoints instead.
@@ -209,17 +211,52 @@ def sketch_column(text: Column, words: int) -> Column:
     return of(text)
 
 
-def may_be_alike(least: float) -> Column:
+def outline_column(text: Column, words: int) -> Column:
+    """The outline of sketch() with WIDE bits."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        release()
+        marks = np.zeros((len(texts), WIDE), np.uint8)
+        for mark, text in zip(marks, texts):
+            mark[(shingle_set(text.as_py() or "", words) >> np.uint64(32)) % np.uint64(WIDE)] = 1
+        return pa.array(list(_packed(marks.reshape(len(texts), -1, BITS))), pa.list_(pa.int64()))
+
+    return of(text)
+
+
+def may_be_alike(least: float, bits: int = OUTLINE) -> Column:
     """Whether two texts with size_a, outline_a, size_b, outline_b can be that similar; never false where they are.
 
     Each bit in which the bitmaps differ stands for a shingle that only one of the
     texts has, and with d such shingles of both sizes' sum s the similarity is (s - d) / (s + d).
     """
-    differ = sum((F.bit_count(F.col("outline_a")[i].bitwiseXOR(F.col("outline_b")[i])) for i in range(OUTLINE // BITS)), F.lit(0))
+    differ = sum((F.bit_count(F.col("outline_a")[i].bitwiseXOR(F.col("outline_b")[i])) for i in range(bits // BITS)), F.lit(0))
     close = differ <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-6
     return close & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6)
 
 
+def within(least: float) -> Column:
+    """Whether a shingle at at_a and at_b of the orders of rare_shingles() can be the first that two texts at least that similar share.
+
+    Texts of size_a and size_b are that similar only if they share least / (1 + least) of both sizes' sum, so
+    behind the first shared one either order must hold as many, itself included.
+    """
+    common = least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return (F.col("size_a") - F.col("at_a") >= common) & (F.col("size_b") - F.col("at_b") >= common)
+
+
+def bands(least: float) -> tuple[Column, Column]:
+    """The band of a text's size, and those of all sizes with which a row of rare_shingles() can be within()."""
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(F.greatest(size, F.lit(1.0))) / float(np.log(BAND))).cast("int")
+
+    size = F.col("size").cast("double")
+    most = F.least(size / least, (size - F.col("at")) * (1 + least) / least - size)
+    return band(size), F.sequence(band(size * least - 1e-6), band(F.greatest(most, size * least) + 1e-6))
+
+
 def divided(large: DataFrame, found: DataFrame) -> DataFrame:
     """(key, fp, label, main, n, outside): members of the groups that the links found so far do not connect.
 
@@ -239,7 +276,7 @@ def shingle_set(text: str, words: int) -> np.ndarray:
 
 
 def rare_shingles(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(key, fp): the rarest shingles of texts(fp, text), so many that two texts at least that similar share one.
+    """(key, fp, at): the rarest shingles of texts(fp, text) and their places, so many that two texts at least that similar share one.
 
     Of texts of n shingles that is all but least * n of them, and one more, in an
     order that all texts share: the one of their hash's count in SLOTS slots over
@@ -270,7 +307,7 @@ def rare_shingles(texts: DataFrame, words: int, least: float) -> DataFrame:
             out.append(found[order[: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]].view(np.int64).tolist())
         return pa.array(out, pa.list_(pa.int64()))
 
-    return texts.select(F.explode(of("text")).alias("key"), "fp")
+    return texts.select(F.posexplode(of("text")).alias("at", "key"), "fp").select("key", "fp", "at")
 
 
 def led(groups: DataFrame, found: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
@@ -307,8 +344,9 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
     first led(). Members of those that this leaves in parts meet again wherever
     they share one of their rare_shingles(), which misses no pair; groups of more than
     SMALL texts there are led(), and what is still in parts is compared in full,
-    cell by cell. So candidates grow with the square of a group's size only for
-    texts that share rare shingles and are not alike.
+    cell by cell, where the place of the shared shingle and the sizes leave room for
+    that similarity, see within(); wide outlines then decide which texts are read. So candidates grow with
+    the square of a group's size only for texts that share nearly as many shingles as texts that are alike.
     """
     outlines = written(texts.select("fp", "size", "outline"), "outlines")
     of_a, of_b = (outlines.toDF(c, f"size_{c}", f"outline_{c}") for c in "ab")
@@ -331,6 +369,12 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
         pairs = pairs.filter("a < b").distinct()
         return compared(pairs.join(of_a, "a").join(of_b, "b").filter(may_be_alike(least)))
 
+    def alike_in_full(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct(), "within")
+        wide = written(wanted.select("fp", outline_column(F.col("text"), words).alias("outline")).join(sizes, "fp"), "wide-outlines")
+        ends = (wide.select(F.col("fp").alias(c), F.col("size").alias(f"size_{c}"), F.col("outline").alias(f"outline_{c}")) for c in "ab")
+        return compared(pairs.join(next(ends), "a").join(next(ends), "b").filter(may_be_alike(least, WIDE)))
+
     def counted(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """The groups(key, fp) of up to SMALL, and of more texts."""
         groups = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -348,20 +392,25 @@ def similar(texts: DataFrame, near: DataFrame, words: int, least: float) -> Data
         return found
     members = written(apart.select("fp", "label").distinct(), "apart")
     wanted = written(texts.select("fp", "text").join(members.select("fp"), "fp", "left_semi"), "apart-texts")
-    small, large = counted(written(rare_shingles(wanted, words, least), "rare-shingles"), "shared-shingles")
-    labelled = small.join(members, "fp").select("key", "fp", "label")
-    met = pairs_of(labelled).filter("label_a <> label_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    found, apart = led(large, found.unionByName(alike(met)), alike)
+    sizes = outlines.select("fp", "size").join(members.select("fp"), "fp", "left_semi")
+    rare = written(rare_shingles(wanted, words, least).join(sizes, "fp"), "rare-shingles")
+    small, large = counted(rare, "shared-shingles")
+    labelled = small.join(members, "fp").select("key", "fp", "label", "at", "size")
+    met = pairs_of(labelled).filter((F.col("label_a") != F.col("label_b")) & within(least)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    found, apart = led(large.select("key", "fp"), found.unionByName(alike(met)), alike)
     if apart is None:
         return found
+    own, others = bands(least)
     rows, columns = (F.ceil(F.col(c) / CELL).cast("int") for c in ("outside", "n"))
-    members = apart.join(outlines, "fp").withColumn("rows", rows).withColumn("columns", columns)
+    members = apart.join(large.select("key", "fp", "at", "size"), ["key", "fp"])
+    members = members.select("*", own.alias("own"), rows.alias("rows"), columns.alias("columns"), F.explode(others).alias("other"))
     deal = F.xxhash64(F.lit("cell"), "fp")
-    one = members.filter("label <> main").select("key", F.pmod(deal, "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), *(F.col(c).alias(f"{c}_a") for c in ("fp", "label", "size", "outline")))
-    two = members.select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(deal, "columns").alias("column"), *(F.col(c).alias(f"{c}_b") for c in ("fp", "label", "size", "outline")))
+    one = members.filter("label <> main").select("key", "own", "other", F.pmod(deal, "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), *(F.col(c).alias(f"{c}_a") for c in ("fp", "label", "size", "at")))
+    two = members.select("key", F.col("other").alias("own"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(deal, "columns").alias("column"), "main", *(F.col(c).alias(f"{c}_b") for c in ("fp", "label", "size", "at")))
+    once = (F.col("label_b") == F.col("main")) | (F.col("fp_a") < F.col("fp_b"))
     # Spark takes the exploded rows for as small as the file they come from and would broadcast them.
-    met = one.hint("merge").join(two, ["key", "row", "column"]).filter((F.col("label_a") != F.col("label_b")) & may_be_alike(least))
-    return found.unionByName(compared(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))))
+    met = one.hint("merge").join(two, ["key", "own", "other", "row", "column"]).filter((F.col("label_a") != F.col("label_b")) & once & within(least))
+    return found.unionByName(alike_in_full(met))
 
 
 def near_texts(prints: DataFrame, max_distance: int, segments: int, crowd: int) -> DataFrame:

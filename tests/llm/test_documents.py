@@ -215,6 +215,41 @@ def test_rare_shingles_meet_wherever_texts_are_alike(spark):
     assert all((a, b) in together for a in sets for b in sets if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
 
 
+def test_copies_too_far_from_all_others_are_not_read_in_pairs(spark, monkeypatch):
+    """Texts of one family whose own shingles leave no room for a similarity of 0.8 are told apart by the places of those they share."""
+    read, kept = [], simhash.written
+
+    def counted(df, name):
+        table = kept(df, name)
+        if name == "candidates":
+            read.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "written", counted)
+    base = prose(81, 400).split()
+    rows = [(0, " ".join(base))] + [(i, changed(base, 2000 + i, 1 + i % 2)) for i in range(1, 80)] + [(i, changed(base, 2000 + i, 12)) for i in range(100, 180)]
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = sorted(r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(set(grouped(sorted(sets), alike).values())) and len(got) > 60
+    assert read[-1] < len(rows)
+
+
+def test_places_and_bands_of_rare_shingles_lose_no_pair(spark):
+    base = prose(91, 120).split()
+    rows = [(i, " ".join(changed(base, 3000 + i, i % 4).split()[: 120 - i % 27])) for i in range(60)]
+    rare = simhash.rare_shingles(spark.createDataFrame(rows, "fp long, text string"), 5, 0.8)
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "fp long, size long")
+    own, others = simhash.bands(0.8)
+    sized = rare.join(sizes, "fp").select("key", "fp", "at", "size", own.alias("own"), F.explode(others).alias("other"))
+    one = sized.toDF("key", "fp_a", "at_a", "size_a", "own", "other")
+    two = sized.toDF("key", "fp_b", "at_b", "size_b", "other", "own")
+    met = {(r.fp_a, r.fp_b) for r in one.join(two, ["key", "own", "other"]).filter("fp_a < fp_b").filter(simhash.within(0.8)).select("fp_a", "fp_b").collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike <= met and 100 < len(alike) and len(met) < 60 * 59 / 2
+
+
 def test_fertility_base_counts(odd, none, documents):
     for docs in (odd, documents):
         got = fertility.quality(docs, *VOCABULARIES)
