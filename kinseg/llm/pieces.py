@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from struct import pack, unpack_from
+from struct import pack, unpack, unpack_from
 from zlib import crc32
 
 import numpy as np
@@ -21,13 +21,15 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: A run of markers and what follows up to the next; no piece reaches across its end.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: The same, cut at line ends as well, where no piece holds one beside other characters.
+LINES = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 #: A marker behind another character, which lets a piece reach across the end of a chunk.
 INNER = re.compile(f"[^{MARK}]{MARK}")
 THREADS = 2
 #: The original library encodes one in so many texts as a whole, too: every one.
 WHOLE = 1
 #: A worker keeps the ids of so many distinct chunks, for two generations.
-KEPT = 300_000
+KEPT = 450_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -156,14 +158,19 @@ class Codec(Recent):
         self.prefix = MARK if self.spec["dummy_prefix"] else ""
         self.normalises = bool(self.spec["squeeze"] or self.spec["charsmap"])
         kinds = [kind for _, _, kind in self.spec["pieces"]]
+        #: Texts of pieces; those that stand for something else begin with a space, which no chunk holds.
+        self.texts = [text if kind in (NORMAL, USER) and not text.startswith("<0x") else f" {text}" for text, _, kind in self.spec["pieces"]]
+        self.bytes = [pack("<I", i) for i in range(len(kinds))]
+        lines = self.spec["type"] == BPE and self.spec["byte_fallback"] and kinds.count(BYTE) == 256
+        self.lines = lines and not any("\n" in text and text != "\n" for text in self.texts)
         self.first_byte = kinds.index(BYTE) if BYTE in kinds else None
         spells = self.spec["type"] == UNIGRAM and self.spec["byte_fallback"] and self.first_byte is not None
         self.unknown = kinds.index(UNKNOWN) if spells and UNKNOWN in kinds else None
         atoms = {a: np.array([i], "<u4").tobytes() for a, i in self.spec["atoms"].items()}
         self.atoms = atoms
         self.split = re.compile("|".join(map(re.escape, sorted(atoms, key=len, reverse=True)))) if atoms else None
-        #: Chunks after an atom have no text of their own that the original could encode: whole texts are compared then.
-        self.whole = 1 if atoms else WHOLE
+        #: Chunks after an atom or a line end have no text of their own that the original could encode: whole texts are compared then.
+        self.whole = 1 if atoms or self.lines else WHOLE
         self.bad: set[str] = set()
         self.lossy: set[str] = set()
         self.update(atoms)
@@ -173,7 +180,11 @@ class Codec(Recent):
         return self.tokenizer.normalizer.normalize_str(text) if self.normalises else text.replace(" ", MARK)
 
     def pieces_of(self, text: str) -> list[str]:
-        return [text] if self.spec["inner"] and text else CHUNK.findall(text)
+        if self.spec["inner"] and text:
+            return [text]
+        if self.lines and MARK * 2 not in text and "\0" not in text:  # as the pattern cuts, with empty chunks between
+            return text.replace(MARK, f"\0{MARK}").replace("\n", "\0\n\0").split("\0")
+        return (LINES if self.lines else CHUNK).findall(text)
 
     def chunks(self, text: str) -> list[str]:
         """What is encoded apart: user-defined pieces, and what lies between, cut before markers where no piece has one inside."""
@@ -203,26 +214,31 @@ class Codec(Recent):
             return
         if self.spec["type"] == BPE:
             tokens = self.tokenizer.model.tokenize
-            found = [[t.id for t in tokens(c)] for c in new]
+            found = ([t.id for t in tokens(c)] for c in new)
         else:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if self.unknown is not None and any(self.unknown in ids for ids in found):
-            made = self.tokenizer.encode_batch(new, add_special_tokens=False)  # the fast way keeps no strings
-            found = [spelt(ids, e.tokens, self.unknown, self.first_byte) if self.unknown in ids else ids for ids, e in zip(found, made)]
-        for chunk, ids, back in zip(new, found, self.tokenizer.decode_batch(found, skip_special_tokens=False)):
-            self[chunk] = pack(f"<{len(ids)}I", *ids)
+            if self.unknown is not None and any(self.unknown in ids for ids in found):
+                made = self.tokenizer.encode_batch(new, add_special_tokens=False)  # the fast way keeps no strings
+                found = [spelt(ids, e.tokens, self.unknown, self.first_byte) if self.unknown in ids else ids for ids, e in zip(found, made)]
+        bytes_of, text_of, other = self.bytes.__getitem__, self.texts.__getitem__, []
+        for chunk, ids in zip(new, found):
+            self[chunk] = b"".join(map(bytes_of, ids))
+            if "".join(map(text_of, ids)) != chunk:
+                other.append((chunk, ids))
+        # Pieces that join to their chunk decode to it; the library decodes the others.
+        for (chunk, _), back in zip(other, self.tokenizer.decode_batch([ids for _, ids in other], skip_special_tokens=False)):
             if back != chunk.replace(MARK, " "):
                 self.lossy.add(chunk)
         if self.whole > 1:
-            self.compare(new, found)
+            self.compare(new, [unpack(f"<{len(self[c]) // 4}I", self[c]) for c in new])
 
-    def compare(self, chunks: list[str], found: list[list[int]]) -> None:
+    def compare(self, chunks: list[str], found: list[tuple[int, ...]]) -> None:
         n = len(self.prefix)
         plain = [c[n:].replace(MARK, " ") for c in chunks]
         for chunk, ids, text, other in zip(chunks, found, plain, self.original.encode(plain, num_threads=1)):
             if not text:  # a marker at the end of a text, which the original adds to no empty one
                 other = self.original.encode("\n ")[len(self.original.encode("\n")) :]
-            if ids != other:
+            if list(ids) != other:
                 self.bad.add(chunk)
 
     def differs(self, texts: list[str], ids: list[bytes]) -> list[bool | None]:

@@ -608,6 +608,29 @@ def test_texts_are_compared_as_wholes(tmp_path):
     assert codec.differs(texts, ids) == [None, False, None]
 
 
+LINED = ["alpha\nbeta", "alpha\ngamma \n\n beta", "\n", " \n", "a\n\n\nb", "a\x00b\nab", "a  b\n  ab", "ab\n", "▁\n▁▁ab", "é\n\U0001f600 \n<0x0A>"]
+
+
+def test_chunks_end_at_line_ends():
+    """Words are kept without the words of the next line, and the ids are the original library's."""
+    from sentencepiece import SentencePieceProcessor
+
+    codec, original = pieces.Codec(path("piece_bpe_32k.model")), SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    ids = codec.encode(LINED)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [original.encode(t) for t in LINED]
+    assert "▁alpha" in codec and "beta" in codec and not any("\n" in c and c.strip("\n") for c in codec)
+    assert not codec.lossy - {"▁\n▁▁ab"} and codec.decode([np.frombuffer(x, "<u4").tolist() for x in ids[:8]]) == LINED[:8]
+
+
+def test_pieces_that_hold_line_ends_are_not_cut(tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    file = model_file(tmp_path, "lines.model", OWN + [("\n", -4, 1), ("b\n", -1.8, 1), ("b\na", -1.2, 1)], 2)
+    codec, original = pieces.Codec(file), SentencePieceProcessor(model_file=file)
+    for text in [*TEXTS, *LINED, "ab\nab\nba"]:
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == original.encode(text), text
+
+
 def test_parity_is_told_of_every_text(documents):
     """Whatever the checksum of its ids, a text is compared with the original library as a whole."""
     given = pieces.digests(documents, path("piece_bpe_32k.model"))
