@@ -27,8 +27,8 @@ HEAD = Struct("<iiBBHHHiiii")
 #: Letters of a pair of bases as one byte writes them.
 DOUBLE = [BASES[i >> 4] + BASES[i & 15] for i in range(256)]
 CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
-#: Bytes of a partition, of plain text in a block that is written, records of a batch, and records that must follow each other to begin at a guess.
-SPLIT, FILLED, ROWS, TRUSTED = 32 << 20, 0xFF00, 4096, 4
+#: Bytes of a partition, of plain text in a block that is written, records of a batch, records that must follow each other to begin at a guess, and bytes of each that are looked at.
+SPLIT, FILLED, ROWS, TRUSTED, AHEAD = 32 << 20, 0xFF00, 4096, 4, 1 << 16
 #: The place of a record: its file in the highest ten bits, its block's place in the file (up to 128 GB), its place in the block.
 FILE, OFFSET = 53, 16
 
@@ -125,6 +125,13 @@ class Cursor:
             self.place, n = self.place + len(part), n - len(part)
         return b"".join(parts)
 
+    def skip(self, n: int) -> None:
+        while n:
+            if self.settle() is None:
+                raise ValueError("the file ends within a record")
+            part = min(n, len(self.text) - self.place)
+            self.place, n = self.place + part, n - part
+
 
 @dataclass
 class Header:
@@ -153,37 +160,83 @@ def header(path: str) -> Header:
     return Header(text, names, lengths, cursor.blocks.size << OFFSET if end is None else end)
 
 
+def tagged(text: bytes, at: int, end: int) -> bool:
+    """Whether tags of known kinds fill text[at:end]."""
+    while at < end:
+        if at + 4 > end or not (65 <= text[at] <= 122 and 48 <= text[at + 1] <= 122):
+            return False
+        kind, at = chr(text[at + 2]), at + 3
+        if kind in "ZH":
+            at = text.find(0, at, end) + 1
+            if not at:
+                return False
+        elif kind == "A":
+            at += 1
+        elif kind == "B":
+            if at + 5 > end or chr(text[at]) not in TAGS or (n := unpack_from("<i", text, at + 1)[0]) < 0:
+                return False
+            at += 5 + n * Struct(TAGS[chr(text[at])]).size
+        elif kind in TAGS:
+            at += Struct(TAGS[kind]).size
+        else:
+            return False
+    return at == end
+
+
 def plausible(text: bytes, at: int, references: int) -> int | None:
-    """Where the record after one that begins at text[at] would begin; None if none can begin there."""
+    """Where the record after one that begins at text[at] would begin; None if none can begin there. What lies behind the text is not judged."""
     if at + 36 > len(text):
         return None
     size, ref, pos, name, _, _, ops, _, letters, mate, mate_pos = unpack_from("<iiiBBHHHiii", text, at)
     if not (-1 <= ref < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1 and name >= 1 and 0 <= letters and 32 <= size < 1 << 28):
         return None
-    if 32 + name + 4 * ops + (letters + 1) // 2 + letters > size:
+    behind = 32 + name + 4 * ops + (letters + 1) // 2 + letters
+    if behind > size:
         return None
     spelled = text[at + 36 : at + 36 + name]
     if len(spelled) == name and (spelled[-1] or any(c < 33 or c > 126 for c in spelled[:-1])):
         return None
+    if any(c & 15 >= len(OPERATIONS) for c in text[at + 36 + name : at + 36 + name + 4 * ops : 4]):
+        return None
+    if at + 4 + size <= len(text) and not tagged(text, at + 4 + behind, at + 4 + size):
+        return None
     return at + 4 + size
 
 
+def follows(blocks: Blocks, at: int, place: int, references: int) -> bool:
+    """Whether TRUSTED records, or all up to the end of the file, follow each other from there, however far they reach."""
+    cursor = Cursor(blocks, at, place)
+    try:
+        for _ in range(TRUSTED):
+            if cursor.settle() is None:
+                break
+            text = cursor.take(36)
+            if plausible(text, 0, references) is None:
+                return False
+            left = unpack_from("<i", text)[0] - 32
+            text += cursor.take(min(left, AHEAD))
+            if plausible(text, 0, references) is None:
+                return False
+            cursor.skip(left - (len(text) - 36))
+    except ValueError:
+        return False
+    return True
+
+
 def record_start(blocks: Blocks, at: int, stop: int, references: int) -> int | None:
-    """The virtual offset of the first record that begins in a block from at to before stop; None without one."""
+    """The virtual offset of the first record that begins in a block from at to before stop; None without one.
+
+    Bytes within a record can look like the head of a long one, so those that it would be followed by are always looked at.
+    """
     while at < stop:
         text, after = blocks.block(at)
         own = len(text)
         ahead = after
-        while ahead < blocks.size and len(text) < own + (1 << 18):
+        while ahead < blocks.size and len(text) < own + AHEAD:
             more, ahead = blocks.block(ahead)
             text += more
         for place in range(own):
-            here: int | None = place
-            for _ in range(TRUSTED):
-                here = plausible(text, here, references)
-                if here is None or here >= len(text):
-                    break
-            if here is not None and (here < len(text) or ahead < blocks.size or here == len(text)):
+            if plausible(text, place, references) is not None and follows(blocks, at, place, references):
                 return at << OFFSET | place
         at = after
     return None

@@ -138,3 +138,18 @@ def test_more_files_than_a_byte_counts(spark, tmp_path):
     found = bam.read_bam(spark, str(tmp_path / "many")).select("ord", "qname").collect()
     assert len(bam.files(str(tmp_path / "many"))) > 128
     assert sorted(r.qname for r in found) == sorted(f"r{i}" for i in range(n)) and len({r.ord for r in found}) == n and min(r.ord for r in found) > 0
+
+
+def test_parts_begin_at_records_where_their_bytes_look_like_longer_ones(spark, tmp_path):
+    """Two bytes before a record of the first contig, at places from 65,537 to 98,304, its own size and place read like the head of one of 7 MB."""
+    rows = [(f"q{100_000 + i}", 65, "1", 65_537 + 4 * i, 30, "32M", 0, 65_800 + 4 * i, 300, "ACGT" * 8, "I" * 32, {"XO": str(1_000_000 + i)}) for i in range(8_000)]
+    bam.write_bam(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "like"), CONTIGS, "kid")
+    path = bam.files(str(tmp_path / "like"))[0]
+    head, blocks = bam.header(path), bam.Blocks(path)
+    known = [here for here, _, _ in bam.records(blocks, head.end, blocks.size << bam.OFFSET)]
+    starts = [at for at in sorted({k >> bam.OFFSET for k in known}) if at << bam.OFFSET > head.end]
+    assert len(starts) > 8
+    for at in starts:
+        assert bam.record_start(blocks, at, blocks.size, len(head.names)) == next(k for k in known if k >= at << bam.OFFSET)
+    found = bam.read_bam(spark, path, split=10_000).select("qname", "start", "tags").collect()
+    assert sorted((r.qname, r.start, r.tags["XO"]) for r in found) == [(r[0], r[3], r[11]["XO"]) for r in rows]
