@@ -80,7 +80,7 @@ def indexed_file(spark, sf_dir):
     """Reads of the places of some orders by way of the index."""
     path = binary_file(spark, sf_dir)
     where = folder(spark, "index")
-    bam.build_index(bam.read_bam(spark, path, split=PART, extra=True)).write.parquet(where)
+    bam.build_index(bam.read_places(spark, path, split=PART)).write.parquet(where)
     o = ad.load(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
     low = F.col("o_custkey") * 700
     windows = o.select((F.col("o_orderkey") % 5).cast("int").alias("ref_idx"), low.cast("int").alias("start"), (low + F.col("o_orderkey") % 400).cast("int").alias("end"))

@@ -9,32 +9,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from struct import Struct, pack, unpack_from
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from kinseg import schemas
-from kinseg.functions.alignments import end_position
+from kinseg.functions.alignments import end_position  # noqa: F401 (tests take it from here)
+from kinseg.operators.relops import overlap_join
+from kinseg.sources.bamrows import FIELDS, FILE, OFFSET, OPERATIONS, SHIFTS, TAGS, columns, encoded, tags  # noqa: F401 (the last for tests)
 
-#: Fixed values of the format: its magic, that of a block, the empty block at the end, letters of bases and operations, sizes of tags.
+#: Fixed values of the format: its magic, that of a block, the empty block at the end.
 MAGIC, BLOCK = b"BAM\1", b"\x1f\x8b\x08\x04"
 LAST = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-TAGS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-HEAD = Struct("<iiBBHHHiiii")
-#: Letters of a pair of bases as one byte writes them.
-DOUBLE = [BASES[i >> 4] + BASES[i & 15] for i in range(256)]
-CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
-#: Bytes of a partition, of plain text in a block that is written, records of a batch, records that must follow each other to begin at a guess, and bytes of each that are looked at.
-SPLIT, FILLED, ROWS, TRUSTED, AHEAD = 32 << 20, 0xFF00, 4096, 4, 1 << 16
-#: The place of a record: its file in the highest ten bits, its block's place in the file (up to 128 GB), its place in the block.
-FILE, OFFSET = 53, 16
-
-FIELDS = "file int, ord long, stop long, qname string, flag int, chrom string, ref_idx int, start int, mapq int, cigar string, mate_ref_idx int, mate_start int, tlen int, seq string, qual string, tags map<string,string>"
-ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
-NAMES, KINDS = zip(*(f.split(" ") for f in FIELDS.split(", ")))
+#: Bytes of a partition, of plain text in a block that is written and of that taken apart at once, records that must follow each other to begin at a guess, and bytes of each that are looked at.
+SPLIT, FILLED, TAKEN, TRUSTED, AHEAD = 32 << 20, 0xFF00, 1 << 21, 4, 1 << 16
+#: As a power of two, the bytes of a file that a task of reads by place takes; the narrowest bins in which reads meet windows; what an index is made of.
+CHUNK, NARROW = 22, 1 << 10
+PLACED = ["file", "ord", "stop", "ref_idx", "start", "end"]
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -253,57 +247,53 @@ def records(blocks: Blocks, begin: int, stop: int) -> Iterator[tuple[int, int, b
         here = following
 
 
-def tags(data: bytes, at: int) -> dict[str, str]:
-    """Tags with their values as text, the first of equal names."""
-    out: dict[str, str] = {}
-    while at + 3 <= len(data):
-        name, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
-        if kind in "ZH":
-            end = data.index(0, at)
-            value, at = data[at:end].decode(), end + 1
-        elif kind == "A":
-            value, at = chr(data[at]), at + 1
-        elif kind == "B":
-            inner, n = chr(data[at]), unpack_from("<i", data, at + 1)[0]
-            form = Struct("<" + TAGS[inner][1] * n)
-            value = ",".join([inner, *(f"{x:g}" if inner == "f" else str(x) for x in form.unpack_from(data, at + 5))])
-            at += 5 + form.size
-        else:
-            form = Struct(TAGS[kind])
-            x = form.unpack_from(data, at)[0]
-            value, at = f"{x:g}" if kind == "f" else str(x), at + form.size
-        out.setdefault(name, value)
-    return out
-
-
-def decoded(file: int, here: int, after: int, data: bytes, names: list[str]) -> tuple:
-    """FIELDS of one record; what the text form writes as * is *."""
-    ref, pos, name, mapq, _, ops, flag, letters, mate, mate_pos, tlen = HEAD.unpack_from(data)
-    at = 32 + name
-    cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in unpack_from(f"<{ops}I", data, at)) or "*"
-    at += 4 * ops
-    half = (letters + 1) // 2
-    seq = "".join(map(DOUBLE.__getitem__, data[at : at + half]))[:letters] or "*"
-    quality = data[at + half : at + half + letters]
-    qual = "*" if not letters or quality[0] == 255 else bytes(q + 33 for q in quality).decode()
-    place = lambda n: file << FILE | n
-    known = lambda n: n if n >= 0 else None
-    return file, place(here), place(after), data[32 : 31 + name].decode(), flag, names[ref] if ref >= 0 else "*", known(ref), pos + 1, mapq, cigar, known(mate), mate_pos + 1, tlen, seq, qual, list(tags(data, at + half + letters).items())
-
-
-def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(zip(*held), KINDS)], list(NAMES))
-
-    for row in rows:
-        held.append(row)
-        if len(held) == ROWS:
-            yield made()
-            held.clear()
-    if held:
-        yield made()
+def stretch(blocks: Blocks, begin: int, stop: int, taken: int = TAKEN) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(text, places in it, virtual offsets and that behind the last) of the records that begin from virtual offset begin to before stop, some `taken` bytes at a time."""
+    at, place = begin >> OFFSET, begin & 0xFFFF
+    text, least = b"", place + 1
+    firsts: list[int] = []
+    begins: list[int] = []
+    length = Struct("<i").unpack_from
+    while True:
+        parts, n = [text], len(text)
+        while at < blocks.size and (n < least or (n < taken and at <= stop >> OFFSET)):
+            more, after = blocks.block(at)
+            if more:
+                firsts.append(n)
+                begins.append(at)
+                parts.append(more)
+                n += len(more)
+            at = after
+        text, done = b"".join(parts), at >= blocks.size
+        places: list[int] = []
+        here = place
+        while here + 4 <= n:
+            size = length(text, here)[0]
+            if size < 32:
+                raise ValueError("a record is shorter than its head")
+            # The last record waits for the block behind it, which tells its end.
+            if here + 4 + size > n or (here + 4 + size == n and not done):
+                break
+            places.append(here)
+            here += 4 + size
+        if here >= n and done and not places:
+            return
+        every = np.array([*places, here], np.int64)
+        of = np.searchsorted(firsts, every, side="right") - 1
+        virtual = np.array(begins, np.int64)[of] << OFFSET | (every - np.array(firsts, np.int64)[of])
+        if here >= n and done:
+            virtual[-1] = blocks.size << OFFSET
+        count = int(np.searchsorted(virtual[:-1], stop))
+        if count:
+            yield text, every[:count], virtual[: count + 1]
+        if count < len(places) or (here < n and virtual[-1] >= stop) or (here >= n and done):
+            return
+        if done:
+            raise ValueError("the file ends within a record")
+        shift = firsts[of[-1]]
+        firsts, begins = [f - shift for f in firsts[of[-1] :]], begins[of[-1] :]
+        text, place = text[shift:], here - shift
+        least = place + 5 if len(text) < place + 4 else place + 5 + length(text, place)[0]
 
 
 @dataclass
@@ -318,7 +308,7 @@ class Reader(DataSourceReader):
     """Each file in stretches of `split` bytes; a task finds the first block and the first record that begin in its own."""
 
     def __init__(self, options: dict):
-        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+        self.path, self.split, self.columns = options["path"], int(options.get("split", SPLIT)), options["columns"].split(",") if "columns" in options else list(FIELDS)
 
     def partitions(self) -> list[Part]:
         sizes = [(path, Blocks(path).size) for path in files(self.path)]
@@ -335,7 +325,8 @@ class Reader(DataSourceReader):
         else:
             begin = record_start(blocks, at, part.high, len(head.names))
         if begin is not None:
-            yield from batches(decoded(part.file, *r, head.names) for r in records(blocks, begin, part.high << OFFSET))
+            for text, places, here in stretch(blocks, begin, part.high << OFFSET):
+                yield columns(text, places, here[:-1], here[1:], part.file, head.names, self.columns)
 
 
 @dataclass
@@ -343,37 +334,20 @@ class Written(WriterCommitMessage):
     name: str
 
 
-def encoded(row, number: dict[str, int]) -> bytes:
-    """One record of the columns of FIELDS; tags are written as text, and places that are null as absent."""
-    name = row.qname.encode() + b"\0"
-    ops = [int(n) << 4 | OPERATIONS.index(op) for n, op in CIGAR.findall(row.cigar or "*")]
-    seq = "" if row.seq in (None, "*") else row.seq
-    codes = [BASES.index(c) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    quality = bytes([255]) * len(seq) if row.qual in (None, "*") else bytes(ord(c) - 33 for c in row.qual)
-    own = b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in (row.tags or {}).items())
-    ref = number.get(row.chrom, -1)
-    mate = -1 if row.mate_ref_idx is None else row.mate_ref_idx
-    start = 0 if row.start is None else row.start
-    span = sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8)) or 1
-    data = HEAD.pack(ref, start - 1, len(name), row.mapq or 0, bin_of(start - 1, start - 1 + span) & 0xFFFF, len(ops), row.flag or 0, len(seq), mate, (row.mate_start or 0) - 1, row.tlen or 0)
-    data += name + pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + quality + own
-    return pack("<i", len(data)) + data
-
-
 def compressed(text: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packer.compress(text) + packer.flush()
     return BLOCK + bytes([0, 0, 0, 0, 0, 255, 6, 0]) + b"BC" + pack("<HH", 2, len(body) + 25) + body + pack("<II", zlib.crc32(text), len(text))
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """A folder with one file per task, which takes its name only when all tasks are done."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.text, self.overwrite = options["path"], options.get("header", "@HD\tVN:1.6\n"), overwrite
         self.contigs = [(n, int(size)) for n, size in re.findall(r"^@SQ\tSN:([^\t]+)\tLN:(\d+)", self.text, re.MULTILINE)]
 
-    def write(self, rows) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         store, at = _store(self.path)
@@ -381,13 +355,14 @@ class Writer(DataSourceWriter):
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bam"
         text = self.text.encode()
         held = MAGIC + pack("<i", len(text)) + text + pack("<i", len(self.contigs)) + b"".join(pack("<i", len(n) + 1) + n.encode() + b"\0" + pack("<i", size) for n, size in self.contigs)
-        number = {n: i for i, (n, _) in enumerate(self.contigs)}
+        contigs = [n for n, _ in self.contigs]
         with store.open_output_stream(f"{at}/_{name}") as out:
-            for row in rows:
-                held += encoded(row, number)
-                while len(held) >= FILLED:
-                    out.write(compressed(held[:FILLED]))
-                    held = held[FILLED:]
+            for batch in iterator:
+                held += encoded(batch, contigs)
+                full = len(held) // FILLED * FILLED
+                for at_text in range(0, full, FILLED):
+                    out.write(compressed(held[at_text : at_text + FILLED]))
+                held = held[full:]
             if held:
                 out.write(compressed(held))
             out.write(LAST)
@@ -416,7 +391,8 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return FIELDS
+        wanted = self.options["columns"].split(",") if "columns" in self.options else FIELDS
+        return ", ".join(f"{c} {FIELDS[c]}" for c in wanted)
 
     def reader(self, schema) -> Reader:
         return Reader(dict(self.options))
@@ -432,8 +408,14 @@ def read_bam(spark: SparkSession, path: str, sample: str | None = None, bam_ord:
     return as_reads(spark.read.format("bam").option("split", split).load(path), own, bam_ord, extra)
 
 
+def read_places(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Where the records of read_bam(..., extra=True) lie, without their names, letters and tags: all that build_index() needs."""
+    spark.dataSource.register(BamSource)
+    return spark.read.format("bam").option("split", split).option("columns", ",".join(PLACED)).load(path)
+
+
 def as_reads(rows: DataFrame, sample: str, bam_ord: int, extra: bool = False) -> DataFrame:
-    rows = rows.select("*", F.lit(sample).alias("sample"), F.lit(bam_ord).alias("bam_ord")).withColumn("end", end_position().cast("int"))
+    rows = rows.select("*", F.lit(sample).alias("sample"), F.lit(bam_ord).alias("bam_ord"))
     return rows.select(*(f.split()[0] for f in schemas.READS.split(", ")), *(["file", "stop"] if extra else []))
 
 
@@ -441,12 +423,10 @@ def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], sampl
     """Reads (qname, flag, chrom, start, mapq, cigar, mate_ref_idx, mate_start, tlen, seq, qual, tags) as a folder of files, each in its task's order."""
     reads.sparkSession.dataSource.register(BamSource)
     text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs) + f"@RG\tID:1\tSM:{sample}\n"
-    columns = [n for n in NAMES if n not in ("file", "ord", "stop", "ref_idx")]
-    reads.select(*columns).write.format("bam").option("header", text).mode("overwrite").save(path)
+    own = [n for n in FIELDS if n not in ("file", "ord", "stop", "ref_idx", "end")]
+    reads.select(*own).write.format("bam").option("header", text).mode("overwrite").save(path)
 
 
-#: Levels of bins, each an eighth of the one above, down to 16 kb; numbers of a level's first bin.
-SHIFTS = {26: 1, 23: 9, 20: 73, 17: 585, 14: 4681}
 LINEAR = 14
 
 
@@ -466,24 +446,26 @@ def bin_column(low: Column, high: Column) -> Column:
 
 
 def build_index(reads: DataFrame) -> DataFrame:
-    """(file, ref_idx, bin, begin, stop, least, most): stretches of a file that hold the records of each bin, from read_bam(..., extra=True).
+    """(file, ref_idx, bin, begin, stop, least, most): stretches of a file that hold the records of each bin, from read_places() or read_bam(..., extra=True).
 
     Records that follow each other in a bin make one stretch, cut where over 64 kb of the file lie between. Bins of
-    16 kb also have the first and the last place of all records that reach into
+    16 kb also have, in a row of their own, the first and the last place of all records that reach into
     them, so that what lies outside need not be read, however large the bin that holds it. Files need not be sorted.
+    Both come from one reading.
     """
     placed = reads.filter("ref_idx is not null").withColumn("start", F.greatest("start", F.lit(1))).withColumn("last", F.greatest("end", "start"))
-    placed = placed.select("file", "ref_idx", F.col("ord").alias("begin"), "stop", (F.col("start") - 1).alias("low"), F.col("last").alias("high"))
-    binned = placed.withColumn("bin", bin_column(F.col("low"), F.col("high")))
-    slot = F.floor(F.shiftright(F.col("begin"), OFFSET) / (1 << 16))
-    parts = binned.groupBy("file", "ref_idx", "bin", slot.alias("slot")).agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"))
-    order = Window.partitionBy("file", "ref_idx", "bin").orderBy("slot")
+    placed = placed.select("file", "ref_idx", F.col("ord").alias("begin"), "stop", (F.col("start") - 1).cast("long").alias("low"), F.col("last").cast("long").alias("high"))
+    slot = F.shiftright(F.col("begin"), OFFSET + 16)
+    at = lambda bin, slot: F.struct(bin.cast("long").alias("bin"), slot.cast("long").alias("slot"))
+    reach = F.transform(F.sequence(F.shiftright("low", LINEAR), F.shiftright(F.col("high") - 1, LINEAR)), lambda w: at(w + SHIFTS[LINEAR], F.lit(None)))
+    each = placed.select("file", "ref_idx", "begin", "stop", F.explode(F.concat(F.array(at(bin_column(F.col("low"), F.col("high")), slot)), reach)).alias("at"))
+    parts = each.groupBy("file", "ref_idx", "at.bin", "at.slot").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop")).withColumn("linear", F.col("slot").isNull())
+    order = Window.partitionBy("file", "ref_idx", "bin", "linear").orderBy("slot")
     new = F.coalesce((F.col("slot") - F.lag("slot").over(order) > 1).cast("int"), F.lit(1))
     numbered = parts.withColumn("new", new).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stretches = numbered.groupBy("file", "ref_idx", "bin", "part").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop")).drop("part")
-    reach = placed.select("file", "ref_idx", "begin", "stop", F.explode(F.sequence(F.shiftright(F.col("low").cast("long"), LINEAR), F.shiftright((F.col("high") - 1).cast("long"), LINEAR))).alias("w"))
-    linear = reach.groupBy("file", "ref_idx", (F.col("w") + SHIFTS[LINEAR]).alias("bin")).agg(F.min("begin").alias("least"), F.max("stop").alias("most"))
-    return stretches.join(linear, ["file", "ref_idx", "bin"], "full")
+    found = numbered.groupBy("file", "ref_idx", "bin", "linear", "part").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"))
+    one = lambda c, linear, name: F.when(F.col("linear") == linear, F.col(c)).alias(name)
+    return found.select("file", "ref_idx", "bin", one("begin", False, "begin"), one("stop", False, "stop"), one("begin", True, "least"), one("stop", True, "most"))
 
 
 def stretches(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -506,30 +488,58 @@ def stretches(index: DataFrame, windows: DataFrame) -> DataFrame:
 def indexed_reads(spark: SparkSession, path: str, index: DataFrame, windows: DataFrame, sample: str | None = None, bam_ord: int = 0) -> DataFrame:
     """READS that overlap the windows (ref_idx, start, end), each once, taking apart only the blocks that the index names.
 
-    Windows and index meet by a join; tasks read the stretches it leaves.
+    Windows and index meet by a join. Tasks read the places of the records in what it leaves, cut into chunks of
+    the files; these meet the windows by a join, and only the records that overlap are read whole.
     """
     paths = files(path)
     own = next((header(f).sample for f in paths), "") if sample is None else sample
-    wanted = stretches(index, windows)
-    order = Window.partitionBy("file", F.floor(F.shiftright(F.col("begin"), OFFSET) / SPLIT)).orderBy("begin", "stop")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # Stretches that overlap are read once: each begins where those before it have ended.
-    fresh = wanted.withColumn("begin", F.greatest("begin", F.coalesce(before, "begin"))).filter("begin < stop")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[int, tuple[Blocks, list[str]]] = {}
-        mask = (1 << FILE) - 1
+    mask, line = (1 << FILE) - 1, OFFSET + CHUNK
+    tasks = max(spark.sparkContext.defaultParallelism, sum(Blocks(f).size for f in paths) >> CHUNK)
+    local = lambda c: F.col(c).bitwiseAND(F.lit(mask))
+    chunk = lambda c: F.shiftright(c, line)
+    wanted = stretches(index, windows).select("file", local("begin").alias("begin"), local("stop").alias("stop"))
+    cut = wanted.withColumn("chunk", F.explode(F.sequence(chunk(F.col("begin")), chunk(F.col("stop") - 1))))
+    cut = cut.select("file", "chunk", F.greatest("begin", F.shiftleft("chunk", line)).alias("begin"), F.least("stop", F.shiftleft(F.col("chunk") + 1, line)).alias("stop"))
+    before = F.max("stop").over(Window.partitionBy("file", "chunk").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    # Stretches that overlap are read once: each begins where those before it have ended. What they are is little, so tasks are as many as the files' size asks for.
+    fresh = cut.repartition(tasks, "file", "chunk").withColumn("begin", F.greatest("begin", F.coalesce(before, "begin"))).filter("begin < stop")
+
+    def opened(file: int, known: dict[int, tuple[Blocks, list[str]]]) -> tuple[Blocks, list[str]]:
+        if file not in known:
+            known[file] = Blocks(paths[file]), header(paths[file]).names
+        return known[file]
+
+    def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[Blocks, list[str]]] = {}
         for part in parts:
             for file, begin, stop in zip(*(part.column(c).to_pylist() for c in ("file", "begin", "stop"))):
-                if file not in opened:
-                    opened[file] = Blocks(paths[file]), header(paths[file]).names
-                blocks, names = opened[file]
-                yield from batches(decoded(file, *r, names) for r in records(blocks, begin & mask, stop & mask))
-
-    rows = as_reads(fresh.select("file", "begin", "stop").mapInArrow(run, FIELDS), own, bam_ord)
-    place = windows.select("ref_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end")).distinct()
-    bins = lambda a, b: F.explode(F.sequence(F.shiftright(a.cast("long"), LINEAR), F.shiftright(b.cast("long"), LINEAR)))
-    ours = rows.dropDuplicates(["ord"]).filter("ref_idx is not null")
-    near = ours.select("ord", "ref_idx", "start", F.greatest("end", "start").alias("last")).withColumn("_bin", bins(F.col("start"), F.col("last")))
-    hit = near.join(place.withColumn("_bin", bins(F.greatest("w_start", F.lit(0)), F.greatest("w_end", F.lit(0)))), ["ref_idx", "_bin"])
-    return ours.join(hit.filter("start <= w_end and w_start <= last").select("ord").distinct(), "ord", "left_semi")
+                blocks, names = opened(file, known)
+                if begin % (1 << line) == 0:
+                    # A stretch that goes on from the chunk before: its first record here is looked for.
+                    first = record_start(blocks, blocks.first(begin >> OFFSET), -(-stop >> OFFSET), len(names))
+                    if first is None:
+                        continue
+                    begin = first
+                for text, places, here in stretch(blocks, begin, stop):
+                    yield columns(text, places, here[:-1], here[1:], file, names, PLACED)
+
+    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[Blocks, list[str]]] = {}
+        for part in parts:
+            file, places_of = (part.column(c).to_numpy() for c in ("file", "ord"))
+            wanted = places_of & mask
+            # Records in blocks near each other are read in one go.
+            cuts = (np.flatnonzero((np.diff(file) != 0) | (np.diff(wanted >> OFFSET) > 1 << 16)) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(wanted)]):
+                blocks, names = opened(int(file[low]), known)
+                for text, places, here in stretch(blocks, int(wanted[low]), int(wanted[high - 1]) + 1):
+                    met = np.isin(here[:-1], wanted[low:high])
+                    if met.any():
+                        yield columns(text, places[met], here[:-1][met], here[1:][met], int(file[low]), names, list(FIELDS))
+
+    schema = lambda wanted: ", ".join(f"{c} {FIELDS[c]}" for c in wanted)
+    found = fresh.select("file", "begin", "stop").mapInArrow(near, schema(PLACED)).filter("ref_idx is not null")
+    found = found.select("file", "ord", "ref_idx", "start", F.greatest("end", "start").alias("end"))
+    hits = overlap_join(found, windows.select("ref_idx", "start", "end").filter("start <= end").distinct(), NARROW, key="ref_idx").select("file", chunk(local("ord")).alias("chunk"), "ord")
+    hits = hits.repartition(tasks, "file", "chunk").distinct().sortWithinPartitions("ord").select("file", "ord")
+    return as_reads(hits.mapInArrow(whole, schema(FIELDS)), own, bam_ord)

@@ -3,10 +3,11 @@
 import random
 from struct import pack
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinseg.sources import bam, tables
+from kinseg.sources import bam, bamrows, tables
 
 CONTIGS = [("1", 3_000_000), ("chr2", 500_000)]
 COLUMNS = ["qname", "flag", "chrom", "ref_idx", "start", "end", "mapq", "cigar", "mate_ref_idx", "mate_start", "tlen", "seq", "qual", "tags"]
@@ -153,3 +154,47 @@ def test_parts_begin_at_records_where_their_bytes_look_like_longer_ones(spark, t
         assert bam.record_start(blocks, at, blocks.size, len(head.names)) == next(k for k in known if k >= at << bam.OFFSET)
     found = bam.read_bam(spark, path, split=10_000).select("qname", "start", "tags").collect()
     assert sorted((r.qname, r.start, r.tags["XO"]) for r in found) == [(r[0], r[3], r[11]["XO"]) for r in rows]
+
+
+def test_an_index_comes_from_one_reading_and_reads_by_place_from_many_tasks(spark, made, tmp_path, monkeypatch):
+    """Stretches that go on over chunks of a file are read by the task of each chunk, and the index scans the files once."""
+    path, _ = made
+    found = bam.build_index(bam.read_places(spark, path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1
+    found.write.parquet(str(tmp_path / "index"))
+    monkeypatch.setattr(bam, "CHUNK", 12)
+    every = bam.read_bam(spark, path, extra=True)
+    windows = spark.createDataFrame([(0, 1, 1 << 28), (1, 70_000, 100_000), (1, 9, 3)], "ref_idx int, start int, end int")
+    got = bam.indexed_reads(spark, path, spark.read.parquet(str(tmp_path / "index")), windows)
+    assert got.rdd.getNumPartitions() >= sum(bam.Blocks(f).size for f in bam.files(path)) >> 12 > 8
+    assert plain(got) == plain(every.filter("ref_idx = 0 or (start <= 100000 and greatest(end, start) >= 70000)").filter("ref_idx is not null"))
+
+
+@pytest.mark.parametrize("taken", [1, 500, 100_000])
+def test_stretches_of_a_file_hold_the_records_that_are_met_one_by_one(made, taken):
+    path = bam.files(made[0])[1]
+    blocks, begin = bam.Blocks(path), bam.header(path).end
+    want = list(bam.records(blocks, begin, blocks.size << bam.OFFSET))
+    for low, high in ((0, len(want)), (7, 40), (len(want) - 1, len(want)), (5, 5)):
+        stop = want[high][0] if high < len(want) else blocks.size << bam.OFFSET
+        got = [(int(h), int(a), text[p + 4 : p + 4 + len(w[2])]) for text, places, here in bam.stretch(blocks, want[low][0], stop, taken) for p, h, a, w in zip(places, here, here[1:], want[low + sum(x < here[0] for x, _, _ in want[low:]) :])]
+        assert got == want[low:high]
+
+
+def test_tags_of_many_records_at_a_time():
+    """Numbers, letters, lists, fractions and equal names, of records of any number of tags."""
+    rng = random.Random(3)
+    kinds = [b"c\xfb", b"C\xfb", b"s" + pack("<h", -300), b"S" + pack("<H", 65_000), b"i" + pack("<i", -70_000), b"I" + pack("<I", 4_000_000_000), b"Ab", b"Z\0", b"Zxy z\0", "Zé\0".encode(), b"H1AE3\0"]
+    odd = [b"f" + pack("<f", 0.25), b"BS" + pack("<iHH", 2, 7, 9), b"BZ"[:1] + b"f" + pack("<if", 1, 1.5)]
+    texts = [b"".join(bytes([65 + rng.randrange(3), 65 + i]) + rng.choice(kinds + odd * (n % 5 == 0)) for i in range(rng.randrange(5))) + (b"NMZa\0NMZb\0" if n % 7 == 0 else b"") for n in range(300)]
+    ends = np.cumsum([len(t) for t in texts])
+    text = b"".join(texts)
+    got = bamrows.tag_column(text, np.frombuffer(text, np.uint8), ends - [len(t) for t in texts], ends).to_pylist()
+    assert [dict(g) for g in got] == [bam.tags(t, 0) for t in texts]
+
+
+def test_records_that_do_not_fit_are_refused(spark, tmp_path):
+    good = ("r", 0, "1", 5, 60, "4M", None, 0, 0, "ACGT", "IIII", {})
+    for at, value in ((0, "n" * 300), (4, 300), (10, "II"), (11, {"LONG": "x"})):
+        with pytest.raises(Exception, match="ValueError"):
+            bam.write_bam(spark.createDataFrame([good[:at] + (value,) + good[at + 1 :]], SCHEMA), str(tmp_path / f"bad{at}"), CONTIGS, "kid")
