@@ -60,6 +60,8 @@ SELECT call_id, ord::INT AS ord, CASE ord WHEN 0 THEN 0 ELSE 2048 END AS flag, s
 def contig_alignments(spark, sf_dir):
     """A contig of each supplier over a deletion, a wrong letter or a duplication of the supplier's window, both made of digests."""
     c = ad.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call_id"), (F.col("s_suppkey") % 3).alias("kind"))
+    # Keys are few bytes beside the letters made of them, so they are dealt over all tasks first.
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "call_id")
     digests = F.transform(F.sequence(F.lit(0), F.lit(LETTERS // 32 - 1)), lambda i: F.md5(F.concat(F.col("call_id"), F.lit("-"), i)))
     windows = c.withColumn("bases", F.translate(F.array_join(digests, ""), "0123456789abcdef", "ACGTACGTACGTACGT"))
     pick = lambda of, at: F.expr(_by_kind("kind", of, at))

@@ -160,3 +160,35 @@ def test_tables_of_kmers_are_never_sent_whole(spark):
     made = spark.createDataFrame([(1, 0, "ACGT" * 10)], "call_id long, contig int, seq string")
     met = alignment.chains(made, made.select("call_id", made.seq.alias("bases")))
     assert "SortMergeJoin" in plan(met) and "BroadcastHashJoin" not in plan(met)
+
+
+def test_alignments_taken_together_are_those_of_each_pair(monkeypatch):
+    """Pairs of unlike sizes share batches, small ones too; long texts, and letters that are no bases."""
+    rng = np.random.default_rng(6)
+    pairs = [("", "ACGT"), ("ACGT", ""), ("AAAA", "CCCC"), ("\x00\x01é漢", "\x00\x01é?"), (bases(1, 30) + bases(2, 4_100), bases(2, 4_100) + bases(3, 40))]
+    for n in range(60):
+        t = bases(n, int(rng.integers(1, 90)))
+        q = t[: len(t) // 2] + bases(n + 100, int(rng.integers(0, 9))) + t[len(t) // 2 + int(rng.integers(0, 9)) :]
+        pairs.append((q, t))
+    got = alignment.local_alignments(pairs)
+    assert got == [alignment.local_alignment(*p) for p in pairs]
+    monkeypatch.setattr(alignment, "ROW", 300)
+    assert got == alignment.local_alignments(pairs)
+    assert got[3][0] == 4 and got[4][:5] == (4_100, 30, 4_130, 0, 4_100) and got[:3] == [None] * 3
+    assert all(found[0] == gotoh(q, t) == score_of(found[5], q[found[1] : found[2]], t[found[3] : found[4]]) for (q, t), found in list(zip(pairs, got))[5:30] if found)
+
+
+def test_few_bytes_are_dealt_over_all_tasks_and_aligned_once(spark):
+    """One small partition of texts gives as many tasks as shuffles have, and no part is aligned twice."""
+    w = bases(7, 300)
+    made = spark.createDataFrame([(c, 0, w[20:120]) for c in range(8)], "call_id long, contig int, seq string").coalesce(1)
+    found = alignment.split_alignments(made, made.select("call_id", F.lit(w).alias("bases")))
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("MapInPandas") == 1 and shown.count("RepartitionByExpression") >= 3
+    assert {(r.start, r.end, r.cigar) for r in found.collect()} == {(21, 120, "100M")}
+
+
+def test_seeds_are_all_stretches_of_a_text(spark):
+    texts = [(n, bases(n, n)) for n in (18, 19, 82, 83, 84, 150, 1_280)]
+    got = alignment._seeds(spark.createDataFrame(texts, "call_id long, bases string"), "bases", 19, "r").collect()
+    assert sorted((r.call_id, r.r, r.kmer) for r in got) == [(n, i, t[i : i + 19]) for n, t in texts for i in range(len(t) - 18)]
