@@ -119,7 +119,8 @@ def sam(spark: SparkSession, path: str, sample: str | None = None, bam_ord: int
         sample = group.s if group else ""
     heads = lines.filter(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chrom"), F.monotonically_increasing_id().alias("_i"))
     dictionary = heads.select("chrom", (F.row_number().over(Window.orderBy("_i")) - 1).alias("ref_idx"))
-    c = F.split("value", "\t")
+    # Null for lines of the header, as conditions on fields may be looked at before the filter.
+    c = F.when(~F.col("value").startswith("@"), F.split("value", "\t"))
     rows = lines.filter(~F.col("value").startswith("@")).select(F.monotonically_increasing_id().alias("ord"), c.alias("c"))
     tags = F.map_from_entries(F.array_distinct(F.transform(F.slice("c", 12, F.size("c")), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1_000_000).alias("value")))))
     field = lambda i, kind="string": F.col("c")[i].cast(kind)
